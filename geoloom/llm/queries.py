@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import quality
+from geoloom.llm import packing, quality, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_url_filters": urls.op5_url_filters,
+    "op7_packing": packing.op7_packing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
+#: Where SQL cannot express the method (packing, minimax sharding), tests hold the query against brute force.
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.oracle(),
+    "op5_url_filters": urls.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
