@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import minhash, packing, quality, sharding, suffixes, urls, warc
+from geoloom.llm import minhash, neighbours, packing, quality, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filters": urls.op5_url_filters,
     "op7_packing": packing.op7_packing,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
