@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import minhash, neighbours, packing, quality, sharding, suffixes, urls, warc
+from geoloom.llm import minhash, neighbours, packing, pieces, quality, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filters": urls.op5_url_filters,
