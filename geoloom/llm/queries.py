@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import minhash, neighbours, packing, pieces, quality, sharding, suffixes, urls, warc
+from geoloom.llm import licenses, minhash, neighbours, packing, pieces, quality, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_packing": packing.op7_packing,
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
@@ -24,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc": warc.oracle(),
     "op5_url_filters": urls.oracle(),
+    "op6_license_scan": licenses.oracle(),
     "op10_quality_rules": quality.oracle(),
 }
