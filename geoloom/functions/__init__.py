@@ -1 +1 @@
-
+"""Column expressions and SQL functions."""

@@ -1 +1 @@
-
+"""Sources and the derived tables of the tests."""

@@ -1 +1 @@
-
+"""The stateless operators on streams."""
