@@ -31,6 +31,8 @@ K = 32
 OVERLAP = 14
 PERCENT = 85
 BLOCK = 1024
+#: Members of a list beyond which they are listed anew by their full sets.
+HOT_LIST = 128
 SLICE_BYTES = 4 << 20
 
 
@@ -66,22 +68,66 @@ def shared_at_least(n: Column, percent: int) -> Column:
     return F.least(F.lit(OVERLAP), F.ceil(n * percent / 100)).cast("int")
 
 
-def listed(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, c, n, central): each class under the rarest values that a partner must share one of."""
-    held = classes.filter("n > 0").select("c", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+def rarest_first(held: DataFrame) -> DataFrame:
+    """(c, n, k, vs, central) from (c, n, k, value): a class's values that others hold too, rarest first. Its other
+    values come before them in the order, so their number k - size(vs) counts as places taken."""
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    by_class = (
+    return (
         held.join(common, "value")
         .groupBy("c", "n", "k")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), F.sum("df").alias("central"))  # K values at most
+        .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), F.sum("df").alias("central"))  # one text's values
     )
+
+
+def listed(classes: DataFrame, percent: int) -> DataFrame:
+    """(value, c, n, most, central): each class under the rarest values that a partner must share one of; `most` is the
+    largest partner that the row stands for."""
+    held = classes.filter("n > 0").select("c", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     unique = F.col("k") - F.size("vs")
     wanted = F.greatest(F.col("k") - shared_at_least(F.col("n"), percent) + 1 - unique, F.lit(0))
-    return by_class.select("c", "n", "central", F.explode(F.slice("vs", F.lit(1), wanted)).alias("v")).select(
-        F.col("v.value").alias("value"), "c", "n", "central"
+    return rarest_first(held).select("c", "n", "central", F.explode(F.slice("vs", F.lit(1), wanted)).alias("v")).select(
+        F.col("v.value").alias("value"), "c", "n", F.floor(F.col("n") * 100 / percent).alias("most"), "central"
     )
 
 
+def listed_in_full(texts: DataFrame, percent: int) -> DataFrame:
+    """Like `listed`, from the full sets of `texts` (c, text), without chance: two sets of n and m values at the
+    threshold share percent * (n + m) / (100 + percent) values at least, so the j-th rarest value of a set need only be
+    listed for partners whose share could still be met by the values from the j-th on."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        np.seterr(over="ignore")
+        for batch in batches:
+            for part in arrow_slices(batch, "text", SLICE_BYTES):
+                sets = shingle_sets(part.column(1))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                values = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.repeat(sizes, sizes)), pa.array(values)], names=["c", "n", "value"])
+
+    held = texts.select("c", "text").mapInArrow(run, "c long, n long, value long").withColumn("k", F.col("n"))
+    unique = F.col("n") - F.size("vs")
+    least = F.ceil(F.col("n") * percent / 100)
+    # The last place j at which a partner of the least size would do.
+    wanted = F.greatest(F.col("n") - least + 1 - unique, F.lit(0)).cast("int")
+    rows = rarest_first(held).select("c", "n", "central", unique.alias("unique"), F.posexplode(F.slice("vs", F.lit(1), wanted)).alias("at", "v"))
+    rest = F.col("n") - F.col("unique") - F.col("at")  # values from this one on
+    return rows.select(
+        F.col("v.value").alias("value"), "c", "n", (F.floor(rest * (100 + percent) / percent) - F.col("n")).alias("most"), "central"
+    )
+
+
+def split_lists(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """`lists` with every list of over HOT_LIST members replaced: the members are listed anew by their full sets, so
+    that many variants of one text meet by what they share beyond it. A pair in a long list has both members there."""
+    long_lists = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT_LIST).select("value")
+    members = lists.join(long_lists, "value", "left_semi").select("c").distinct()
+    return lists.join(long_lists, "value", "left_anti").unionByName(listed_in_full(texts.join(members, "c", "left_semi"), percent))
+
+
 def alike_sizes(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
@@ -145,8 +191,11 @@ def star_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members of one list that lie in different components. Lists of one component fall out first."""
-    member = lists.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    """(a, b): members of one list that lie in different components. Lists of one component fall out first, then rows
+    whose every partner in the list is too large for them."""
+    member = lists.drop("central").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = member.groupBy("value").agg(F.min("n").alias("least"))
+    member = member.join(least, "value").filter("most >= least").drop("least")
     mixed = (
         member.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     )
@@ -154,15 +203,14 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         member.join(mixed.select("value", "size"), "value")
         .withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK)))
         .groupBy("value", "label", "block")
-        .agg(F.collect_list(F.struct("c", "n")).alias("members"))  # about BLOCK members at most
+        .agg(F.collect_list(F.struct("c", "n", "most")).alias("members"))  # about BLOCK members at most
     )
     left = blocks.select("value", F.col("label").alias("la"), F.col("members").alias("ma"))
     right = blocks.select("value", F.col("label").alias("lb"), F.col("members").alias("mb"))
-    crossed = left.join(right, "value").filter("la < lb").select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y"))
+    crossed = left.join(right, "value").filter("la < lb").select(F.explode("ma").alias("x"), "mb")
+    fitting = F.filter("mb", lambda y: (y["n"] <= F.col("x.most")) & (F.col("x.n") <= y["most"]) & (F.least(y["n"], "x.n") * 100 >= F.greatest(y["n"], "x.n") * percent))
     return (
-        crossed.filter(alike_sizes("x.n", "y.n", percent))
-        .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
-        .distinct()
+        crossed.select("x", F.explode(fitting).alias("y")).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     )
 
 
@@ -181,7 +229,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     links = saved(confirmed(star_pairs(lists, classes, percent), texts, percent), "near-links")
     first = saved(components(links), "near-first")
-    more = saved(estimated(open_pairs(lists, first, percent), classes).select("a", "b"), "near-open")
+    lists_2 = saved(split_lists(lists, texts, percent), "near-lists")
+    more = saved(estimated(open_pairs(lists_2, first, percent), classes).select("a", "b"), "near-open")
     links_2 = saved(confirmed(more, texts, percent), "near-links")
     final = components(links.unionByName(links_2))
     return (
