@@ -72,7 +72,7 @@ def run(
         path, error, written = "", "", 0
         try:
             layer, srid = layer_of(spec)
-            seen = Observation(f"written-{len(rows)}")
+            seen = Observation()
             path = sinks.write(exported(layer, spec, srid, selection), spec, seen)
             written = seen.get["n"]
         except Exception as e:  # noqa: BLE001  (the batch goes on)

@@ -136,7 +136,8 @@ def absolute_flag(text: Column, absolute: bool = True) -> Column:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(name, content, size) of all files below a folder; columns that are not used are not read."""
+    """(name, content, size) of all files below a folder; columns that are not used are not read. Spark's reader passes
+    over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     folder = root.split(":", 1)[-1].rstrip("/")
