@@ -375,9 +375,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return settled.unionByName(compared).unionByName(hot_spans(bodies.filter("hot"), length))
 
 
-def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, [kept]) for every row; `kept` is the text without its removed
-    bytes (a character that is cut in two goes whole). `keep` names further columns to carry."""
+def cut_rows(docs: DataFrame, key: str, text: str, length: int, with_text: bool, keep: list[str]) -> DataFrame:
+    """(carried, n_bytes, n_removed, n_spans, kept_sha256, [kept]) for every row: `carried` is a struct of the key and
+    the columns that `keep` names; `kept` is the text without its removed bytes (a character cut in two goes whole)."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -418,7 +418,7 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays([part.column(2), *columns], names=["carried", *names])
 
-    row = F.struct(F.col(key), *[F.col(c) for c in keep or []]).alias("carried")
+    row = F.struct(F.col(key), *[F.col(c) for c in keep]).alias("carried")
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id"), F.col(text).alias("text"))
     # One row per text with spans: their number is bounded by the text's length.
     spans = removed_spans(plain, length).groupBy("id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("spans"))
@@ -426,16 +426,21 @@ def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     source = joined.select("text", "spans", "carried")
     carried = source.schema["carried"].dataType.simpleString()
     kept = ", kept string" if with_text else ""
-    out = source.mapInArrow(run, f"carried {carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
-    return out.select("carried.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
+    return source.mapInArrow(run, f"carried {carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+
+
+def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    return cut_rows(docs, key, text, length, False, []).select("carried.*", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the removed bytes taken out of its text; all columns stay, n_chars follows the text where present."""
-    others = [c for c in docs.columns if c not in (key, text)]
-    result = cut(docs, key, text, length, with_text=True, keep=others)
-    values = {text: F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return result.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    result = cut_rows(docs, key, text, length, True, [c for c in docs.columns if c not in (key, text)])
+    values = {text: F.col("kept")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return result.select(*[values.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
