@@ -153,9 +153,13 @@ def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM):
 
 
 def add_reverse(points, edges, owners, others, degree: int) -> None:
-    """Edges owner -> other; an owner with too many is pruned."""
+    """Edges owner -> other that are not there yet; an owner with too many is pruned."""
     import numpy as np
 
+    new = ~(edges[owners] == others[:, None]).any(1)
+    owners, others = owners[new], others[new]
+    if not len(owners):
+        return
     order = np.argsort(owners, kind="stable")
     owners, others = owners[order], others[order]
     heads = np.flatnonzero(np.diff(owners, prepend=-1) != 0)
