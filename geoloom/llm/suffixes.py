@@ -363,8 +363,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     open_rows = rows.filter("gram IS NOT NULL")
     size = open_rows.agg(F.sum(place.bitwiseAND(F.lit(255)) + length), F.count(F.lit(1))).first()[0] or 0
-    hot = open_rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).select("gram", (F.col("n") > HOT).alias("hot"))
-    bodies = saved(contexts(docs, open_rows.join(hot, "gram"), length), "suffix-contexts")
+    # Few grams are hot; written down, they meet the rows in a join that can split a hot gram's rows.
+    hot = saved(open_rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("gram", F.lit(True).alias("hot")), "suffix-hot")
+    marked = open_rows.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    bodies = saved(contexts(docs, marked, length), "suffix-contexts")
     buckets = max(1, -(-size // BUCKET_BYTES))
     compared = (
         bodies.filter("not hot")
