@@ -71,7 +71,8 @@ def shared_at_least(n: Column, percent: int) -> Column:
 def rarest_first(held: DataFrame) -> DataFrame:
     """(c, n, k, vs, central) from (c, n, k, value): a class's values that others hold too, rarest first. Its other
     values come before them in the order, so their number k - size(vs) counts as places taken."""
-    common = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Written down, so that the join has an exchange of its own on this side and a very common value can be split.
+    common = saved(held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-common")
     return (
         held.join(common, "value")
         .groupBy("c", "n", "k")
@@ -180,6 +181,7 @@ def star_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     centre = lists.groupBy("value").agg(F.max(F.struct("central", -F.col("c"), "n")).alias("m")).select(
         "value", (-F.col("m.col2")).alias("a"), F.col("m.n").alias("na")
     )
+    centre = saved(centre, "near-centres")  # as above: long lists can be split
     pairs = (
         lists.join(centre, "value")
         .filter((F.col("c") != F.col("a")) & alike_sizes("n", "na", percent))
