@@ -305,6 +305,9 @@ def bucket_spans(length: int):
         ids, place = bucket.column("id").to_numpy(), bucket.column("place").to_numpy()
         mark, first, _ = unpacked(place)
         order = np.lexsort((first, mark, ids))
+        # A row that repeats an id and a text gives its contexts again: they are one occurrence, not a later one.
+        same = (np.diff(ids[order]) == 0) & (np.diff(mark[order]) == 0) & (np.diff(first[order]) == 0)
+        order = order[np.concatenate(([True], ~same))]
         ids, mark, first = ids[order], mark[order], first[order]
         which, start = repeated_windows(bucket.column("context").take(pa.array(order)).to_pylist(), length)
         at = np.sort(which * (1 << 20) + start)

@@ -51,6 +51,16 @@ def test_spans_match_brute_force(docs_of, prose, monkeypatch, hot, bucket, piece
     same(suffixes.cut(docs_of(rows).repartition(5)).collect(), rows, prose)
 
 
+def test_repeated_rows_keep_what_stands_once(docs_of, prose):
+    def text(seed):
+        return "".join(prose(seed + i, 40) + prose(700 + i, 30)[:80] for i in range(6))
+
+    rows = [(1, text(600))] * 2 + [(2, text(650))]
+    assert all(w[1] == 0 for w in brute([rows[0], rows[2]]))
+    got = suffixes.cut(docs_of(rows).repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in got) == [(1, 0, 0), (1, 0, 0), (2, 0, 0)]
+
+
 def test_texts_stay_valid_and_columns_stay(docs_of, prose):
     rows = [(1, "日本語テキスト" * 30), (2, "a" + "日本語テキスト" * 30 + "b"), (3, None), (4, prose(1, 10))]
     docs = docs_of(rows)
