@@ -2,9 +2,9 @@
 
 1. One pass gives each text its shingle set's size, digest and k least hash values (the shingle hash is the only hash
    function). Texts of one digest are one class from here on, whatever their number.
-2. A class lists itself under the rarest values of its sketch. Two sets at the threshold share at least OVERLAP of
-   their k values (but for a chance under 1e-7), so they share one of the k - OVERLAP + 1 rarest; values that only one
-   class holds are dropped first. Frequent passages thus never make a list.
+2. A class lists itself under the rarest values of its sketch. Two sets at the threshold share at least `overlap` of
+   their k values (but for a chance of MISS at most; `sketch_plan` works both out from the threshold), so they share
+   one of the k - overlap + 1 rarest; values that only one class holds are dropped first. Frequent passages thus never make a list.
 3. First round: the members of a list are compared with its most central member only, each with its best; links are
    confirmed on full sets and joined to components. Second round: members of one list that are still in different
    components are compared, in blocks. Pairs inside a component change nothing and are never made.
@@ -18,6 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,10 @@ from geoloom.llm.common import MIN_LONG, arrow_slices, saved, table
 from geoloom.llm.graph import components
 from geoloom.llm.shingles import shingle_sets
 
+#: Chance at most that a pair at the threshold shares fewer sketch values than is asked for.
+MISS = 2e-8
+#: Sketch sizes are multiples of this.
 K = 32
-#: Values that two sketches share at the least; of 32 draws that each agree with probability 0.85, fewer is a chance of 1e-8.
-OVERLAP = 14
 PERCENT = 85
 BLOCK = 1024
 #: Members of a list beyond which they are listed anew by their full sets.
@@ -36,8 +38,24 @@ HOT_LIST = 128
 SLICE_BYTES = 4 << 20
 
 
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, digest, sketch) per row: set size, 16-byte digest of the set, its K least values in order."""
+def sketch_plan(percent: int) -> tuple[int, int]:
+    """(k, overlap): sketch size, and the values that two sketches at the threshold share at the least. Of k draws that
+    each agree with probability percent / 100, fewer than `overlap` do with a chance of MISS at most: (32, 14) at 85,
+    (32, 11) at 80, (32, 2) at 50; low thresholds have longer sketches."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    p = percent / 100
+    k = K
+    while (1 - p) ** k > MISS:
+        k += K
+    overlap, chance = 0, 0.0
+    while overlap < k and (chance := chance + comb(k, overlap) * p**overlap * (1 - p) ** (k - overlap)) <= MISS:
+        overlap += 1
+    return k, overlap
+
+
+def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(id, n, digest, sketch) per row: set size, 16-byte digest of the set, its k least values in order."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -55,7 +73,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array([s[:K] for s in sets], pa.list_(pa.int64())),
+                        pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                     ],
                     names=["id", "n", "digest", "sketch"],
                 )
@@ -65,7 +83,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shared_at_least(n: Column, percent: int) -> Column:
-    return F.least(F.lit(OVERLAP), F.ceil(n * percent / 100)).cast("int")
+    return F.least(F.lit(sketch_plan(percent)[1]), F.ceil(n * percent / 100)).cast("int")
 
 
 def rarest_first(held: DataFrame) -> DataFrame:
@@ -133,17 +151,18 @@ def alike_sizes(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """`pairs` (a, b) with `estimate`: the share of the K least values of both sketches together that lie in both."""
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (a, b) with `estimate`: the share of the k least values of both sketches together that lie in both."""
+    k, overlap = sketch_plan(percent)
     sketch = classes.select("c", "sketch")
     both = pairs.join(sketch.select(F.col("c").alias("a"), F.col("sketch").alias("sa")), "a").join(
         sketch.select(F.col("c").alias("b"), F.col("sketch").alias("sb")), "b"
     )
-    least = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
+    least = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     return (
         both.withColumn("least", least)
         .withColumn("estimate", F.size(F.array_intersect("least", F.array_intersect("sa", "sb"))) / F.size("least"))
-        .filter(F.col("estimate") >= OVERLAP / K)
+        .filter(F.col("estimate") >= overlap / k)
         .drop("sa", "sb", "least")
     )
 
@@ -188,7 +207,7 @@ def star_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .select("a", F.col("c").alias("b"))
         .distinct()
     )
-    best = estimated(pairs, classes).groupBy("b").agg(F.max(F.struct("estimate", -F.col("a"))).alias("m"))
+    best = estimated(pairs, classes, percent).groupBy("b").agg(F.max(F.struct("estimate", -F.col("a"))).alias("m"))
     return best.select((-F.col("m.col2")).alias("a"), "b")
 
 
@@ -218,7 +237,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of `docs`."""
-    rows = saved(sketches(docs, key, text), "near-sketches")
+    rows = saved(sketches(docs, key, text, sketch_plan(percent)[0]), "near-sketches")
     classes = saved(
         rows.groupBy("digest").agg(F.min("id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes"
     )
@@ -232,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = saved(confirmed(star_pairs(lists, classes, percent), texts, percent), "near-links")
     first = saved(components(links), "near-first")
     lists_2 = saved(split_lists(lists, texts, percent), "near-lists")
-    more = saved(estimated(open_pairs(lists_2, first, percent), classes).select("a", "b"), "near-open")
+    more = saved(estimated(open_pairs(lists_2, first, percent), classes, percent).select("a", "b"), "near-open")
     links_2 = saved(confirmed(more, texts, percent), "near-links")
     final = components(links.unionByName(links_2))
     return (

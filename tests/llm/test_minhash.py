@@ -74,3 +74,15 @@ def test_graph_components(spark):
     want = {n: 1 for n in (1, 2, 3, 4)} | {n: 7 for n in (7, 8, 9)} | {100 + i: 100 for i in range(41)} | {0: 0} | {200 + i: 0 for i in range(30)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketch_plan_and_low_thresholds(docs_of, prose):
+    assert [minhash.sketch_plan(p) for p in (85, 80, 50, 100)] == [(32, 14), (32, 11), (32, 2), (32, 32)]
+    assert all((1 - p / 100) ** minhash.sketch_plan(p)[0] <= minhash.MISS for p in (1, 20, 40))
+    rows = []
+    for i in range(60):  # pairs at 0.5 and a little more, each alike to its partner only
+        words = [f"w{i}n{j}" for j in range(304)]
+        rows += [(2 * i, " ".join(words[:200])), (2 * i + 1, " ".join(words[64:264]))]
+    assert all(0.5 <= len(shingles(rows[k][1]) & shingles(rows[k + 1][1])) / len(shingles(rows[k][1]) | shingles(rows[k + 1][1])) < 0.52 for k in range(0, 120, 2))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), percent=50).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
