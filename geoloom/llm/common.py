@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LONG = -(2**63)
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(key: Column, text: Column) -> Column:
+    """24 bytes that stand for an id and a text: the id, so that keys are in the order of ids (null first), and 128 bits
+    of the text's digest (a null text is empty)."""
+    number = F.coalesce(key.cast("long"), F.lit(MIN_LONG)).bitwiseXOR(F.lit(MIN_LONG))
+    digest = F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32)
+    return F.unhex(F.concat(F.lpad(F.hex(number), 16, "0"), digest))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

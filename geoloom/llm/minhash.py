@@ -10,9 +10,10 @@
    components are compared, in blocks. Pairs inside a component change nothing and are never made.
 4. Every comparison is filtered by set size and by the union-sketch estimate, then decided on full sets.
 
-Rows that share an id are one document in the graph. Defined results: a text without words has an empty set and is
-linked with nothing; null ids count as the least id and come back as null; other columns are not read; an empty table
-gives an empty result.
+A document is an id with a text (see `text_key`): rows that repeat both are one, rows that share the id only are not.
+Classes are numbered in the order of their first documents. Defined results: a text without words has an empty set and
+is linked with nothing; null ids count as the least id and come back as null; of a group the first document is kept, by
+id, then by its text's digest; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import MIN_LONG, arrow_slices, saved, table
+from geoloom.llm.common import MIN_LONG, arrow_slices, partitions, saved, table, text_key
 from geoloom.llm.graph import components
 from geoloom.llm.shingles import shingle_sets
 
@@ -55,7 +56,7 @@ def sketch_plan(percent: int) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, n, digest, sketch) per row: set size, 16-byte digest of the set, its k least values in order."""
+    """(id, doc, n, digest, sketch) per row: its key, set size, 16-byte digest of the set, its k least values in order."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -66,20 +67,22 @@ def sketches(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         np.seterr(over="ignore")
         for batch in batches:
             for part in arrow_slices(batch, "text", SLICE_BYTES):
-                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(1))]
+                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(2))]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array([s[:k] for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "digest", "sketch"],
+                    names=["id", "doc", "n", "digest", "sketch"],
                 )
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, digest binary, sketch array<long>")
+    number = F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id")
+    rows = docs.select(number, text_key(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, doc binary, n long, digest binary, sketch array<long>")
 
 
 def shared_at_least(n: Column, percent: int) -> Column:
@@ -235,17 +238,16 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of `docs`."""
+def judged(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(id, doc, n, head_id, kept) for every row of `docs`: its group's least id, and whether it is the group's first document."""
     rows = saved(sketches(docs, key, text, sketch_plan(percent)[0]), "near-sketches")
-    classes = saved(
-        rows.groupBy("digest").agg(F.min("id").alias("c"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes"
-    )
+    sets = rows.groupBy("digest").agg(F.min("doc").alias("doc"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    in_order = sets.repartitionByRange(partitions(docs.sparkSession), "doc").sortWithinPartitions("doc")
+    classes = saved(in_order.withColumn("c", F.monotonically_increasing_id()), "near-classes")
     lists = saved(listed(classes, percent), "near-lists")
+    first_docs = classes.select("doc", "c").join(lists.select("c").distinct(), "c", "left_semi")
     texts = saved(
-        docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("c"), F.col(text).alias("text")).join(
-            lists.select("c").distinct(), "c", "left_semi"
-        ),
+        docs.select(text_key(F.col(key), F.col(text)).alias("doc"), F.col(text).alias("text")).join(first_docs, "doc").dropDuplicates(["doc"]).select("c", "text"),
         "near-texts",
     )
     links = saved(confirmed(star_pairs(lists, classes, percent), texts, percent), "near-links")
@@ -254,23 +256,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     more = saved(estimated(open_pairs(lists_2, first, percent), classes, percent).select("a", "b"), "near-open")
     links_2 = saved(confirmed(more, texts, percent), "near-links")
     final = components(links.unionByName(links_2))
-    return (
-        rows.select("id", "n", "digest")
-        .join(classes.select("digest", "c"), "digest")
+    head = classes.select(F.col("c").alias("label"), F.col("doc").alias("head"), F.col("id").alias("head_id"))
+    groups = (
+        classes.select("digest", "c")
         .join(final.select(F.col("node").alias("c"), "label"), "c", "left")
-        .select(
-            F.nullif("id", F.lit(MIN_LONG)).alias(key),
-            F.col("n").alias("n_shingles"),
-            F.nullif(F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("label", "c")), F.lit(MIN_LONG)).alias("component_id"),
-        )
-        .withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+        .select("digest", F.coalesce("label", "c").alias("label"))
+        .join(head, "label")
+    )
+    empty = F.col("n") == 0
+    return (
+        rows.select("id", "doc", "n", "digest")
+        .join(groups, "digest")
+        .select("id", "doc", "n", F.when(empty, F.col("id")).otherwise(F.col("head_id")).alias("head_id"), (empty | (F.col("doc") == F.col("head"))).alias("kept"))
+    )
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row of `docs`."""
+    return judged(docs, key, text, percent).select(
+        F.nullif("id", F.lit(MIN_LONG)).alias(key), F.col("n").alias("n_shingles"), F.nullif("head_id", F.lit(MIN_LONG)).alias("component_id"), "kept"
     )
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose document stands for its group; all columns stay."""
-    judged = near_duplicates(docs.select(key, text), key, text, percent).filter("not kept").select(F.col(key).alias("_drop")).distinct()
-    return docs.join(judged, docs[key].eqNullSafe(judged["_drop"]), "left_anti")
+    """One row of `docs` for each group, and every row without words; all columns stay."""
+    by_doc = judged(docs.select(key, text), key, text, percent).groupBy("doc").agg(F.min("kept").alias("kept"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    marked = saved(by_doc.filter("not kept or (n > 0 and rows > 1)").select(F.col("doc").alias("_doc"), "kept"), "near-marked")
+    keyed = docs.withColumn("_doc", text_key(docs[key], docs[text]))
+    alone = keyed.join(marked.select("_doc"), "_doc", "left_anti")
+    repeated = keyed.join(marked.filter("kept").select("_doc"), "_doc", "left_semi").dropDuplicates(["_doc"])
+    return alone.unionByName(repeated).drop("_doc")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,11 @@
    neighbouring suffixes by increasing value, up to LENGTH - 1. Boundaries still unset lie inside groups of equal
    windows; all but the first of a group are removed. A gram with over HOT contexts (the edge of a passage that
    very many texts share) is decided by aggregating the digests of its windows instead, so no bucket grows unbounded.
-4. The removed spans go back to the texts by id.
+4. The removed spans go back to the texts by their keys (id and text digest, see `text_key`).
 
 Order is by id, then position. Defined results: a null text is empty; a null id comes before all; rows that repeat an
-id and a text are one document (each row gets its result); rows with one id and different texts are told apart by 13
-bits of the text's crc32; texts under LENGTH bytes lose nothing; other columns are not read.
+id and a text are one document (each row gets its result); rows with one id and different texts are documents of their
+own, in the order of their texts' digests; texts under LENGTH bytes lose nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import MIN_LONG, arrow_slices, saved, table
+from geoloom.llm.common import arrow_slices, saved, table, text_key
 
 LENGTH = 100
 GRAM = 24
@@ -36,15 +36,22 @@ BUCKET_BYTES = 1 << 20
 HOT = 8192
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
-# `place` packs one anchor: 13 bits of the text's crc32, 34 bits of position, 8 bits of anchor - first start,
-# 8 bits of last start - first start.
+# `place` packs one anchor: 34 bits of position, 8 bits of anchor - first start, 8 bits of last start - first start.
 
 
 def unpacked(place):
-    """(text mark, first start, last start) of packed anchors; numpy arrays or integers."""
-    at = (place >> 16) & ((1 << 34) - 1)
-    first = at - ((place >> 8) & 255)
-    return place >> 50, first, first + (place & 255)
+    """(first start, last start) of packed anchors; numpy arrays or integers."""
+    first = (place >> 16) - ((place >> 8) & 255)
+    return first, first + (place & 255)
+
+
+def ranked(keys: list[bytes]):
+    """(the distinct keys in order, where each of `keys` stands among them)."""
+    import numpy as np
+
+    distinct = sorted(set(keys))
+    at = {k: i for i, k in enumerate(distinct)}
+    return distinct, np.fromiter((at[k] for k in keys), np.int64, len(keys))
 
 
 def anchors(data, starts, stops, length: int):
@@ -104,77 +111,76 @@ def padded(pieces: list[bytes]):
 
 
 def found_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, context, id, place) for `docs` (id, text); a null context marks a row that is settled already."""
+    """(gram, context, doc, place) for `docs` (doc, text); a null context marks a row that is settled already."""
 
     def run(batches: Iterator) -> Iterator:
-        import zlib
-
         import numpy as np
         import pyarrow as pa
 
         np.seterr(over="ignore")
         step = PIECE_BYTES - length + 1
         for batch in batches:
-            out = []
+            out, base = [], 0
             for part in arrow_slices(batch, "text", SLICE_BYTES):
-                ids, texts = part.column(0).to_numpy(), [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+                texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
                 cut = [(row, o, t[o : o + PIECE_BYTES]) for row, t in enumerate(texts) for o in range(0, max(1, len(t) - length + 1), step)]
                 data, starts, stops = padded([piece for _, _, piece in cut])
                 at, first, last, gram, context = anchors(data, starts, stops, length)
                 which = np.searchsorted(starts, first, side="right") - 1
                 row = np.array([c[0] for c in cut], np.int64)[which]
                 shift = np.array([c[1] for c in cut], np.int64)[which] - starts[which]
-                marks = np.array([zlib.crc32(t) & 0x1FFF for t in texts], np.int64)[row]
-                place = (marks << 50) | ((at + shift) << 16) | ((at - first) << 8) | (last - first)
-                out.append((gram, context, ids[row], place))
+                place = ((at + shift) << 16) | ((at - first) << 8) | (last - first)
+                out.append((gram, context, base + row, place))
+                base += len(texts)
             if not out:
                 continue
-            gram, context, ids, place = (np.concatenate(c) for c in zip(*out, strict=True))
-            order = np.lexsort((place, ids, context, gram))
-            gram, context, ids, place = gram[order], context[order], ids[order], place[order]
+            gram, context, rows, place = (np.concatenate(c) for c in zip(*out, strict=True))
+            keys, rank = ranked(batch.column(0).to_pylist())
+            spread = np.array([int.from_bytes(k[8:16], "big", signed=True) for k in keys], np.int64)
+            doc = rank[rows]
+            order = np.lexsort((place, doc, context, gram))
+            gram, context, doc, place = gram[order], context[order], doc[order], place[order]
             again = np.zeros(len(gram), bool)
             same = np.zeros(len(gram), bool)
             again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
-            same[1:] = again[1:] & (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])
+            same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
             # Settled rows need no partner: their gram is replaced, so that they spread over the shuffle.
-            gram = np.where(again, ids * _ODD_SIGNED + place, gram)
+            gram = np.where(again, spread[doc] + place * _ODD_SIGNED, gram)
             keep = ~same
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[keep]), pa.array(context[keep], mask=again[keep]), pa.array(ids[keep]), pa.array(place[keep])],
-                names=["gram", "context", "id", "place"],
+                [pa.array(gram[keep]), pa.array(context[keep], mask=again[keep]), pa.array(keys, pa.binary()).take(pa.array(doc[keep])), pa.array(place[keep])],
+                names=["gram", "context", "doc", "place"],
             )
 
-    return docs.mapInArrow(run, "gram long, context long, id long, place long")
+    return docs.mapInArrow(run, "gram long, context long, doc binary, place long")
 
 
 _ODD_SIGNED = 0x1E3779B97F4A7C15
 
 
 def undecided(found: DataFrame) -> DataFrame:
-    """(id, place, gram): settled anchors with a null gram, and the first of each context whose gram has several."""
+    """(doc, place, gram): settled anchors with a null gram, and the first of each context whose gram has several."""
     from pyspark.sql import Window as W
 
     by_gram = W.partitionBy("gram")
-    in_order = by_gram.orderBy("context", "id", "place")
+    in_order = by_gram.orderBy("context", "doc", "place")
     marked = (
-        found.withColumn("before", F.lag(F.struct("context", "id", "place")).over(in_order))
+        found.withColumn("before", F.lag(F.struct("context", "doc", "place")).over(in_order))
         .withColumn("lo", F.min("context").over(by_gram))
         .withColumn("hi", F.max("context").over(by_gram))
     )
     again = F.coalesce(F.col("before.context") == F.col("context"), F.lit(False))
-    same = again & (F.col("before.id") == F.col("id")) & (F.col("before.place") == F.col("place"))
+    same = again & (F.col("before.doc") == F.col("doc")) & (F.col("before.place") == F.col("place"))
     settled = F.col("context").isNull() | again
     return marked.filter(~same & (settled | (F.col("lo") != F.col("hi")))).select(
-        "id", "place", F.when(~settled, F.col("gram")).alias("gram")
+        "doc", "place", F.when(~settled, F.col("gram")).alias("gram")
     )
 
 
 def contexts(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
-    """(gram, hot, id, place, context): the bytes of each row of `open_rows` (id, place, gram, hot)."""
+    """(gram, hot, doc, place, context): the bytes of each row of `open_rows` (doc, place, gram, hot)."""
 
     def run(batches: Iterator) -> Iterator:
-        import zlib
-
         import numpy as np
         import pyarrow as pa
 
@@ -185,18 +191,17 @@ def contexts(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
                 counts = np.diff(lists.offsets.to_numpy())
                 texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
                 text = np.repeat(np.arange(len(texts)), counts)
-                place = rows.field("place").to_numpy(zero_copy_only=False)
-                mark, first, last = unpacked(place)
-                mine = mark == np.array([zlib.crc32(t) & 0x1FFF for t in texts], np.int64)[text]
-                bodies = [texts[t][a : b + length] for t, a, b in zip(text[mine].tolist(), first[mine].tolist(), last[mine].tolist(), strict=True)]
-                mask = pa.array(mine)
+                first, last = unpacked(rows.field("place").to_numpy(zero_copy_only=False))
+                bodies = [texts[t][a : b + length] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.field("gram").filter(mask), rows.field("hot").filter(mask), part.column(0).take(pa.array(text[mine])), rows.field("place").filter(mask), pa.array(bodies, pa.binary())],
-                    names=["gram", "hot", "id", "place", "context"],
+                    [rows.field("gram"), rows.field("hot"), part.column(0).take(pa.array(text)), rows.field("place"), pa.array(bodies, pa.binary())],
+                    names=["gram", "hot", "doc", "place", "context"],
                 )
 
-    wanted = open_rows.groupBy("id").agg(F.collect_list(F.struct("place", "gram", "hot")).alias("rows"))  # as many as one text has
-    return docs.join(wanted, "id").select("id", "text", "rows").mapInArrow(run, "gram long, hot boolean, id long, place long, context binary")
+    wanted = open_rows.groupBy("doc").agg(F.collect_list(F.struct("place", "gram", "hot")).alias("rows"))  # as many as one text has
+    # Rows that repeat an id and a text are read once, so that a context is one occurrence.
+    once = docs.dropDuplicates(["doc"])
+    return once.join(wanted, "doc").select("doc", "text", "rows").mapInArrow(run, "gram long, hot boolean, doc binary, place long, context binary")
 
 
 def suffix_order(text, depth: int):
@@ -296,32 +301,29 @@ def repeated_windows(bodies: list[bytes], length: int):
 
 
 def bucket_spans(length: int):
-    """For applyInArrow: a bucket's contexts to spans (id, mark, start, stop)."""
+    """For applyInArrow: a bucket's contexts to spans (doc, start, stop)."""
 
     def run(bucket):
         import numpy as np
         import pyarrow as pa
 
-        ids, place = bucket.column("id").to_numpy(), bucket.column("place").to_numpy()
-        mark, first, _ = unpacked(place)
-        order = np.lexsort((first, mark, ids))
-        # A row that repeats an id and a text gives its contexts again: they are one occurrence, not a later one.
-        same = (np.diff(ids[order]) == 0) & (np.diff(mark[order]) == 0) & (np.diff(first[order]) == 0)
-        order = order[np.concatenate(([True], ~same))]
-        ids, mark, first = ids[order], mark[order], first[order]
+        keys, rank = ranked(bucket.column("doc").to_pylist())
+        first, _ = unpacked(bucket.column("place").to_numpy())
+        order = np.lexsort((first, rank))
+        rank, first = rank[order], first[order]
         which, start = repeated_windows(bucket.column("context").take(pa.array(order)).to_pylist(), length)
         at = np.sort(which * (1 << 20) + start)
         fresh = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         ends = np.concatenate((fresh[1:], [len(at)])) - 1 if len(at) else fresh
         run_first, run_last, owner = at[fresh] & 0xFFFFF, at[ends] & 0xFFFFF, at[fresh] >> 20
         return pa.table(
-            {"id": ids[owner], "mark": mark[owner], "start": first[owner] + run_first, "stop": first[owner] + run_last + length}
+            {"doc": pa.array(keys, pa.binary()).take(pa.array(rank[owner])), "start": first[owner] + run_first, "stop": first[owner] + run_last + length}
         )
 
     return run
 
 
-SPANS = "id long, mark long, start long, stop long"
+SPANS = "doc binary, start long, stop long"
 
 
 def hot_spans(hot: DataFrame, length: int) -> DataFrame:
@@ -333,36 +335,35 @@ def hot_spans(hot: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            digests, ids, marks, starts = [], [], [], []
-            for key, place, body in zip(*(batch.column(c).to_pylist() for c in ("id", "place", "context")), strict=True):
-                mark, first, last = unpacked(place)
+            digests, docs, starts = [], [], []
+            for key, place, body in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "context")), strict=True):
+                first, last = unpacked(place)
                 for o in range(last - first + 1):
                     digests.append(hashlib.blake2b(body[o : o + length], digest_size=16).digest())
-                    ids.append(key)
-                    marks.append(mark)
+                    docs.append(key)
                     starts.append(first + o)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(starts, pa.int64())], names=["digest", "id", "mark", "start"]
+                [pa.array(digests, pa.binary()), pa.array(docs, pa.binary()), pa.array(starts, pa.int64())], names=["digest", "doc", "start"]
             )
 
-    rows = hot.mapInArrow(windows, "digest binary, id long, mark long, start long")
-    first = rows.groupBy("digest").agg(F.min(F.struct("id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = hot.mapInArrow(windows, "digest binary, doc binary, start long")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return (
         rows.join(first.select("digest", "first"), "digest")
-        .filter(F.struct("id", "mark", "start") != F.col("first"))
-        .select("id", "mark", "start", (F.col("start") + length).alias("stop"))
+        .filter(F.struct("doc", "start") != F.col("first"))
+        .select("doc", "start", (F.col("start") + length).alias("stop"))
     )
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, mark, start, stop), overlapping, for `docs` (id, text): the bytes to remove."""
+    """(doc, start, stop), overlapping, for `docs` (doc, text): the bytes to remove."""
     if not GRAM + 8 <= length <= GRAM + 255:
         raise ValueError(f"length must be {GRAM + 8} to {GRAM + 255}")
     rows = saved(undecided(found_anchors(docs, length)), "suffix-anchors")
     place = F.col("place")
-    at = F.shiftright(place, 16).bitwiseAND(F.lit((1 << 34) - 1)) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
+    at = F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(F.lit(255))
     settled = rows.filter("gram IS NULL").select(
-        "id", F.shiftright(place, 50).alias("mark"), at.alias("start"), (at + place.bitwiseAND(F.lit(255)) + length).alias("stop")
+        "doc", at.alias("start"), (at + place.bitwiseAND(F.lit(255)) + length).alias("stop")
     )
     open_rows = rows.filter("gram IS NOT NULL")
     size = open_rows.agg(F.sum(place.bitwiseAND(F.lit(255)) + length), F.count(F.lit(1))).first()[0] or 0
@@ -373,7 +374,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(1, -(-size // BUCKET_BYTES))
     compared = (
         bodies.filter("not hot")
-        .select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "id", "place", "context")
+        .select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "doc", "place", "context")
         .groupBy("bucket")
         .applyInArrow(bucket_spans(length), SPANS)
     )
@@ -386,7 +387,6 @@ def cut_rows(docs: DataFrame, key: str, text: str, length: int, with_text: bool,
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
-        import zlib
 
         import numpy as np
         import pyarrow as pa
@@ -401,11 +401,10 @@ def cut_rows(docs: DataFrame, key: str, text: str, length: int, with_text: bool,
                     left = raw
                     if spans.is_valid:
                         values = spans.values
-                        mark, a, b = (values.field(f).to_numpy(zero_copy_only=False) for f in ("mark", "start", "stop"))
-                        mine = mark == (zlib.crc32(raw) & 0x1FFF)
+                        a, b = (values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "stop"))
                         depth = np.zeros(len(raw) + 1, np.int64)
-                        np.add.at(depth, a[mine], 1)
-                        np.add.at(depth, b[mine], -1)
+                        np.add.at(depth, a, 1)
+                        np.add.at(depth, b, -1)
                         out = np.cumsum(depth[:-1]) > 0
                         gone, n_runs = int(out.sum()), int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1))
                         if gone:
@@ -424,10 +423,10 @@ def cut_rows(docs: DataFrame, key: str, text: str, length: int, with_text: bool,
                 yield pa.RecordBatch.from_arrays([part.column(2), *columns], names=["carried", *names])
 
     row = F.struct(F.col(key), *[F.col(c) for c in keep]).alias("carried")
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id"), F.col(text).alias("text"))
+    doc = text_key(F.col(key), F.col(text)).alias("doc")
     # One row per text with spans: their number is bounded by the text's length.
-    spans = removed_spans(plain, length).groupBy("id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("spans"))
-    joined = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id"), F.col(text).alias("text"), row).join(spans, "id", "left")
+    spans = removed_spans(docs.select(doc, F.col(text).alias("text")), length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = docs.select(doc, F.col(text).alias("text"), row).join(spans, "doc", "left")
     source = joined.select("text", "spans", "carried")
     carried = source.schema["carried"].dataType.simpleString()
     kept = ", kept string" if with_text else ""

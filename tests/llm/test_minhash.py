@@ -86,3 +86,16 @@ def test_sketch_plan_and_low_thresholds(docs_of, prose):
     assert all(0.5 <= len(shingles(rows[k][1]) & shingles(rows[k + 1][1])) / len(shingles(rows[k][1]) | shingles(rows[k + 1][1])) < 0.52 for k in range(0, 120, 2))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), percent=50).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_texts_of_one_id_are_kept_apart(docs_of, prose):
+    rows = []
+    for i in range(40):  # a pair at a time, all under the null id, and one copy under an id of its own
+        rows += [(None, prose(5000 + i, 100)), (None, prose(5000 + i, 100) + " end"), (900 + i, prose(5000 + i, 100) + " other")]
+    rows += [(7, prose(6000, 80)), (7, prose(6001, 80)), (7, prose(6001, 80)), (8, prose(6001, 80))]
+    got = minhash.near_duplicates(docs_of(rows)).collect()
+    assert {r.component_id for r in got if r.doc_id is None or r.doc_id >= 900} == {None}
+    assert sum(r.kept for r in got if r.doc_id is None) == 40 and not any(r.kept for r in got if (r.doc_id or 0) >= 900)
+    assert sorted((r.component_id, r.kept) for r in got if r.doc_id in (7, 8)) == [(7, False), (7, True), (7, True), (7, True)]
+    left = minhash.deduplicated(docs_of(rows)).collect()
+    assert len(left) == 42 and len({r.text.split()[50] + r.text[:40] for r in left}) == 42

@@ -83,3 +83,11 @@ def test_suffix_steps_against_sorting():
         assert keys == sorted(keys)
         differ = suffixes.equal_groups(text, order, depth)
         assert differ.tolist() == [True] + [a != b for a, b in zip(keys, keys[1:])]
+
+
+def test_texts_of_one_id_are_kept_apart(docs_of, prose):
+    rows = [(None, prose(2000 + i, 60)) for i in range(600)] + [(None, prose(2000 + i, 30)) for i in range(0, 600, 10)]
+    key = lambda t: (hashlib.sha256(t.encode()).digest(), t)
+    want = brute([(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: key(r[1])))])
+    got = suffixes.cut(docs_of(rows).repartition(5)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want) and any(w[1] for w in want)
