@@ -3,14 +3,18 @@
 Equal vectors are one node that keeps its smallest ids, so a vector held by a third of all rows is one node. Nodes are
 dealt to shards of bounded size by hash. A shard's graph is built in rounds of growing size: a greedy search from the
 entry proposes neighbours among the nodes already in, pruning keeps an edge only if no kept neighbour is nearer to its
-target by the factor ALPHA, and reverse edges are pruned alike. Every query then searches every shard in blocks, and
-the ten best of all shards are exact distances on the original vectors.
+target by the factor ALPHA, and reverse edges are pruned alike. Every query then searches every shard: a shard's graph
+goes to one task once, its queries stream in behind it, and the ten best of all shards are exact distances on the
+original vectors.
 
-Searches run for many queries at once in numpy: each step expands the best unexpanded node of every query.
+Searches run for many queries at once in numpy: each step expands the best unexpanded node of every query. All nodes
+of the beam that are as near as the last one wanted count, so ties are settled by id; only where more than SEARCH_BEAM
+distinct vectors of a shard are equally near may some of them be missing.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors are
-compared with those of their own length only; rows that repeat an id and a vector are candidates once; a null id takes
-no part; fewer than ten candidates give all of them.
+compared with those of their own length only; rows that repeat an id and a vector are candidates once; of several
+vectors under one id all are candidates, each id is ranked once by its nearest, and the least vector is the query; a
+null id takes no part; fewer than ten candidates give all of them.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ ENTRIES = 32
 ALPHA = 1.2
 QUERY_BLOCK = 512
 NEAREST = 10
+#: Differences of vectors that are held at a time.
+DISTANCE_BYTES = 64 << 20
 
 
 def valid(vector):
@@ -51,11 +57,23 @@ def nodes(rows: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
 
 
 def distances(points, a, b):
-    """Squared distances between rows a (n) of `points` and rows b (n, m)."""
+    """Squared distances between rows a (n) of `points` and rows b (n, m), in slices of bounded size."""
     import numpy as np
 
-    diff = points[b] - points[a][:, None, :]
-    return np.einsum("nmd,nmd->nm", diff, diff)
+    out = np.empty(b.shape, np.float32)
+    rows = max(1, DISTANCE_BYTES // max(1, 4 * b.shape[1] * points.shape[1]))
+    for at in range(0, len(a), rows):
+        diff = points[b[at : at + rows]] - points[a[at : at + rows]][:, None, :]
+        np.einsum("nmd,nmd->nm", diff, diff, out=out[at : at + rows])
+    return out
+
+
+def between(a, b):
+    """Squared distances between all rows of a and all rows of b, without their differences in memory."""
+    import numpy as np
+
+    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.maximum(squares, 0)
 
 
 def beam_search(points, edges, queries, entries, beam: int):
@@ -70,7 +88,7 @@ def beam_search(points, edges, queries, entries, beam: int):
     node = np.full((q, beam + d), -1, np.int32)
     done = np.ones((q, beam + d), bool)
     seen = np.zeros((q, len(points)), bool)
-    start = ((queries[:, None, :] - points[entries][None, :, :]) ** 2).sum(2)
+    start = between(queries, points[entries])
     order = np.argsort(start, axis=1)
     m = len(entries)
     node[:, :m], done[:, :m], near[:, :m] = entries[order], False, np.take_along_axis(start, order, 1)
@@ -142,7 +160,7 @@ def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM):
         new = order[have : have + step]
         found = beam_search(points, edges, points[new], order[: min(have, ENTRIES)], beam)
         # The round's own nodes propose each other too, as none of them is in the graph yet.
-        near = np.argsort(((points[new][:, None, :] - points[new][None, :, :]) ** 2).sum(2), axis=1)[:, 1 : 1 + min(8, step)] if step > 1 else np.empty((step, 0), np.int64)
+        near = np.argsort(between(points[new], points[new]), axis=1)[:, : 1 + min(8, step)]
         edges[new] = robust_prune(points, new, np.concatenate((found, new[near].astype(np.int32)), axis=1), degree)
         sources = np.repeat(new, degree)
         targets = edges[new].ravel()
@@ -222,41 +240,61 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
+        graph, shard = (), None
         for batch in batches:
-            for r in batch.to_pylist():
-                points = np.frombuffer(r["points"], np.float32).reshape(r["n"], r["dim"])
-                edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1)
-                counts = np.frombuffer(r["id_counts"], np.int64)
-                begins = np.cumsum(counts) - counts
-                ids = np.frombuffer(r["ids"], np.int64)
-                wanted = np.array([q["vector"] for q in r["block"]], np.float32)
-                found = beam_search(points, edges, wanted, np.frombuffer(r["entries"], np.int32), min(beam, r["n"]))
-                rows = []
-                for q, hits in zip(r["block"], found, strict=True):
-                    hits = hits[hits >= 0]
-                    diff = points[hits].astype(np.float64) - np.array(q["vector"], np.float64)
-                    score = np.sqrt((diff * diff).sum(1))
-                    take = np.argsort(score, kind="stable")[: nearest + 1]
-                    rows += [(q["id"], int(v), float(s)) for h, s in zip(hits[take], score[take], strict=True) for v in ids[begins[h] : begins[h] + counts[h]]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"]
-                )
-
-    size = queries.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    blocks = (
-        queries.join(F.broadcast(size), "dim")  # one row per vector length
-        .withColumn("number", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / QUERY_BLOCK)))
-        .groupBy("dim", "number")
-        .agg(F.collect_list(F.struct("id", "vector")).alias("block"))  # about QUERY_BLOCK queries
+            at = 0
+            of_graph = batch.column("n").is_valid().to_pylist()
+            shards = list(zip(batch.column("dim").to_pylist(), batch.column("shard").to_pylist(), strict=True))
+            while at < batch.num_rows:
+                if of_graph[at]:  # a shard's first row
+                    shard = shards[at]
+                    r = batch.slice(at, 1).to_pylist()[0]
+                    counts = np.frombuffer(r["id_counts"], np.int64)
+                    graph = (
+                        np.frombuffer(r["points"], np.float32).reshape(r["n"], -1), np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1),
+                        np.frombuffer(r["entries"], np.int32), np.frombuffer(r["ids"], np.int64), np.cumsum(counts) - counts, counts,
+                    )
+                    at += 1
+                    continue
+                stop = at + 1
+                while stop < batch.num_rows and stop - at < QUERY_BLOCK and not of_graph[stop] and shards[stop] == shards[at]:
+                    stop += 1
+                if shards[at] == shard:  # else the hash has left that shard empty
+                    block = batch.slice(at, stop - at)
+                    yield answers(graph, block.column("id"), block.column("vector"))
+                at = stop
+
+    def answers(graph: tuple, query_ids, vectors):
+        import numpy as np
+        import pyarrow as pa
+
+        points, edges, entries, ids, begins, counts = graph
+        wanted = np.array(vectors.to_pylist(), np.float32)
+        found = beam_search(points, edges, wanted, entries, min(beam, len(points)))
+        rows = []
+        for q, vector, hits in zip(query_ids.to_pylist(), wanted.astype(np.float64), found, strict=True):
+            hits = hits[hits >= 0]
+            diff = points[hits].astype(np.float64) - vector
+            score = np.sqrt((diff * diff).sum(1))
+            # The query's own node is one of them; all that are as near as the last wanted one stay.
+            take = np.flatnonzero(score <= np.partition(score, nearest)[nearest]) if len(score) > nearest + 1 else range(len(score))
+            rows += [(q, int(v), float(score[i])) for i in take for v in ids[begins[hits[i]] : begins[hits[i]] + counts[hits[i]]]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"]
+        )
+
+    last = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
+    asked = queries.join(F.broadcast(last), "dim").select(  # one row per vector length
+        "dim", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "id", "vector"
     )
-    shards = graphs.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    dealt = blocks.join(shards, "dim").withColumn("shard", F.explode("shards")).drop("shards")
-    hits = graphs.join(dealt, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double")
+    sent = graphs.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("n").isNull())
+    hits = sent.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         hits.filter("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.min("score").alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= nearest)
         .select("query_id", "rank", "vec_id", "score")
@@ -266,5 +304,5 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding")).filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
     graphs = saved(index(saved(nodes(rows, "vec_id", "embedding", NEAREST + 1), "vector-nodes")), "vector-graphs")
-    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.size("embedding").alias("dim")).dropDuplicates(["id"])
+    queries = rows.filter("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("id")).agg(F.min("embedding").alias("vector")).withColumn("dim", F.size("vector"))
     return search(graphs, queries)
