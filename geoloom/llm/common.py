@@ -24,11 +24,11 @@ def text_key(key: Column, text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder. A temporary one only where the session names none and runs on this machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,10 +40,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, and a lost executor loses no copy."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Work(df.sparkSession, name).saved(df, "rows", codec)
+
+
+class Work:
+    """The tables that one job writes to the shared folder and reads back, by name, so that it can drop those that
+    nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, scratch_path(spark, name), {}
+
+    def saved(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        known = self.paths.setdefault(name, [])
+        known.append(f"{self.root}/{name}-{len(known)}")
+        df.write.option("compression", codec).parquet(known[-1])
+        return self.spark.read.schema(df.schema).parquet(known[-1])
+
+    def drop(self, *names: str) -> None:
+        context = self.spark.sparkContext
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:
