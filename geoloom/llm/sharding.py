@@ -5,14 +5,18 @@ groups. The smallest feasible shard capacity is found by binary search, each cap
 walk only asks "which group end lies last at or before x", so the driver keeps a bounded list of group ends: where
 the list leaves a capacity open, the stretches in doubt are read again at a finer step, until they are whole.
 
+The greedy walk leaves the last shards empty where one group sets the capacity. So the cuts are laid anew within that
+capacity, as evenly as the listed ends allow; a group above the average counts as one shard, and what lies before and
+behind it shares the other shards by size.
+
 Defined results: a null text is one group of its own (crc32 of no bytes, size 8), an empty text another; null ids
-come first in order; repeated rows keep their own slots; an empty table gives an empty result; shards may stay empty
-when there are fewer groups than shards or one group exceeds the average.
+come first in order; repeated rows keep their own slots; an empty table gives an empty result; shards stay empty
+where there are fewer groups than shards.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +49,41 @@ def smallest(lo: int, hi: int, feasible) -> int:
     return lo
 
 
+def even_cuts(ends: list[int], capacity: int, shards: int, giants: list[tuple[int, int]]) -> list[int]:
+    """Cuts at known ends (the last is the total) into `shards` that hold `capacity` at most, which must be feasible, as
+    even as can be. `giants`: (size, end) of the largest groups, descending."""
+    total = ends[-1]
+    rest, left, big = total, shards, []
+    for size, end in giants:
+        if left == 1 or size * left <= rest:
+            break
+        big.append((end, size))
+        rest, left = rest - size, left - 1
+    share = rest / left
+
+    def place(x: int) -> float:
+        """Where x lies if each giant took one share."""
+        return x - sum(size - share for end, size in big if end <= x)
+
+    known = [0, *ends]
+    latest = [total] * (shards + 1)  # the least end at which shard i may stop, so that the rest can be reached
+    for i in range(shards - 1, 0, -1):
+        latest[i] = known[bisect_left(known, latest[i + 1] - capacity)] if latest[i + 1] > capacity else 0
+    at, cuts = 0, []
+    for i in range(1, shards):
+        # Up to the next giant (or through it, if it comes first) as many shards as its bytes are worth, of one size each.
+        average = (place(total) - place(at)) / (shards - i + 1)
+        stop = next((end - size for end, size in sorted(big) if end > at), total)
+        ahead = place(stop) - place(at)
+        goal = place(at) + (ahead / max(1, round(ahead / average)) if ahead > 0 and average > 0 else share)
+        lo = max(bisect_right(known, at), bisect_left(known, latest[i]))  # a group at least, while there are any
+        hi = bisect_right(known, at + capacity)
+        near = bisect_left(known, goal, lo, hi, key=place)
+        at = min(known[max(lo, near - 1) : min(near + 1, hi)], key=lambda e: (abs(place(e) - goal), e), default=at)
+        cuts.append(at)
+    return [*cuts, total]
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     """Ends (running sums) at which to cut, for `groups` with columns `size` and `end` (running sum in order)."""
     total, largest, count = groups.agg(F.max("end"), F.max("size"), F.count(F.lit(1))).first()
@@ -52,7 +91,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
         return []
     floor = max(-(-total // shards), largest)
     step, spans = max(1, -(-count // HELD)), [(0, total)]
-    ends: set[int] = {total}
+    giants = [tuple(r) for r in groups.select("size", "end").orderBy(F.desc("size"), "end").limit(shards).collect()]
+    ends: set[int] = {total} | {e for size, end in giants for e in (end - size, end) if e}
     while True:
         near = F.lit(False)
         for a, b in spans:
@@ -62,7 +102,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
         known = sorted(ends)
         sure = smallest(floor, total, lambda c: greedy(known, c, shards, total, True) is not None)
         if step == 1:
-            return greedy(known, sure, shards, total, True)
+            return even_cuts(known, sure, shards, giants)
         maybe = smallest(floor, sure, lambda c: greedy(known, c, shards, total, False) is not None)
         # A cut lies between the walk of known ends at the least capacity and the free walk at the largest.
         low, high = [], []

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -49,3 +50,29 @@ def test_empty_and_single(docs_of):
     assert sharding.sharded(docs_of([]).limit(0), 24).count() == 0
     one = sharding.sharded(docs_of([(1, "a")]), 24).collect()
     assert [(r.shard, r.slot) for r in one] == [(0, 0)]
+
+
+def test_near_equal_around_a_giant_group(docs_of, prose):
+    rows = [(i, prose(i, 60)) for i in range(300)] + [(300, "giant " * 30_000)] + [(301 + i, prose(400 + i, 60)) for i in range(300)]
+    load = {}
+    for r in sharding.sharded(docs_of(rows), 24).collect():
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    assert sorted(load) == list(range(24))
+    others = sorted(load.values())[:-1]
+    assert max(load.values()) == 180_008 and max(others) < 1.35 * min(others)
+
+
+def test_even_cuts_stay_within_the_least_capacity():
+    rng = random.Random(1)
+    for _ in range(500):
+        sizes = [rng.choice([1, 2, 5, rng.randint(1, 50)]) for _ in range(rng.randint(1, 60))]
+        if rng.random() < 0.5:
+            sizes[rng.randrange(len(sizes))] = rng.randint(1, 2 * sum(sizes))
+        shards = rng.choice([1, 2, 3, 5, 24])
+        ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+        capacity = least_capacity(sizes, shards)
+        giants = sorted(zip(sizes, ends), key=lambda x: (-x[0], x[1]))[:shards]
+        cuts = sharding.even_cuts(ends, capacity, shards, giants)
+        loads = [b - a for a, b in zip([0, *cuts], cuts)]
+        assert len(cuts) == shards and cuts[-1] == ends[-1] and set(cuts) <= set(ends) and max(loads) <= capacity
+        assert sum(x > 0 for x in loads) == min(shards, len(sizes))
