@@ -2,13 +2,13 @@
 
 Each partition keeps a fixed number of open windows. A document longer than a window first fills whole windows of its
 own; its rest goes to the open window that it fills best; when none has room, the fullest window is emitted and a new
-one opened. What is open at the end of the partitions is merged in groups of bounded size, largest first.
-Sequences are written down before the merge, so a retried task cannot change what others have used.
+one opened. What is still open at the end of the partitions is merged in groups of bounded size, largest first; emitted
+windows are final. Sequences are written down before the merge, so a retried task cannot change what others have used.
 
 Ids: those of the byte-level BPE in the tokenizer file, built from its vocabulary (its ids are its merge ranks), plus
 an end id. Texts are cut at single spaces between non-blank characters, where the pre-tokenizer always cuts, and the
 ids of a word are kept in a table of bounded size: 5 times fewer CPU seconds than encoding each text.
-Strings of special tokens inside a text are ordinary text.
+A string of an added token inside a text is that token's id, and the text before and after it is encoded apart.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each for itself; null and repeated
 ids are carried as they are; other columns are not read; an empty table gives no pieces.
@@ -17,6 +17,7 @@ ids are carried as they are; other columns are not read; an empty table gives no
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +55,13 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", []) if t.get("special")}
+        added = model.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must stand for their exact strings")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         symbols = byte_of_symbol()
-        ranks = {bytes(symbols[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
+        ranks = {bytes(symbols[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.added}
         self.bpe = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words: dict[str, bytes] = {}
 
@@ -66,6 +71,12 @@ class Encoder:
         return np.asarray(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return b"".join(self.added[p] if p in self.added else self.plain(p) for p in self.cut.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or any(b in text for b in OTHER_BLANKS):
@@ -136,7 +147,8 @@ class Windows:
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens, window, offset, [ids]) before the merge, written down."""
+    """(key, start, length, ids_crc32, doc_tokens, window, offset, [ids]) before the merge, written down. A window that
+    is open at the end of its partition has a row of length 0 at its end."""
     fields = [
         T.StructField(key, docs.schema[key].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
         T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("window", T.LongType()), T.StructField("offset", T.LongType()),
@@ -169,12 +181,18 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             if with_ids:
                 arrays.append(pa.array(ids_column, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+            key_type = batch.schema.field(0).type
+        if windows.open:
+            n = len(windows.open)
+            zero, (fill, window) = pa.array([0] * n, pa.int64()), (pa.array(c, pa.int64()) for c in zip(*windows.open, strict=True))
+            ends = [pa.nulls(n, key_type), zero, zero, zero, zero, window, fill, *[pa.nulls(n, pa.binary())] * with_ids]
+            yield pa.RecordBatch.from_arrays(ends, names=[f.name for f in fields])
 
     return saved(docs.select(key, text).mapInArrow(pack, T.StructType(fields)), "packed-pieces")
 
 
 def merge_windows(windows: DataFrame, length: int) -> DataFrame:
-    """(window, sequence_id, base) for windows (window, fill) that are not full: groups of bounded size, largest first."""
+    """(window, sequence_id, base) for open windows (window, fill): groups of about MERGED_AT_ONCE, largest first."""
     import pandas as pd
 
     count = windows.count()
@@ -200,9 +218,9 @@ def merge_windows(windows: DataFrame, length: int) -> DataFrame:
 def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset; with `with_ids` also their ids (little-endian)."""
     placed = pieces(docs, tokenizer, key, text, length, with_ids)
-    fills = placed.groupBy("window").agg(F.sum("length").alias("fill")).filter(F.col("fill") < length)
-    moved = saved(merge_windows(fills, length), "packed-moves")
-    return placed.join(moved, "window", "left").select(
+    left_open = placed.filter("length = 0").select("window", F.col("offset").alias("fill"))
+    moved = saved(merge_windows(left_open, length), "packed-moves")
+    return placed.filter("length > 0").join(moved, "window", "left").select(
         key, "start", "length", "ids_crc32", "doc_tokens",
         F.coalesce("sequence_id", "window").alias("sequence_id"),
         (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"),

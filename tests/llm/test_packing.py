@@ -11,13 +11,12 @@ pytest.importorskip("public_tokenizers")
 
 ODD = [
     None, "", " ", "a", " lead", "trail ", "two  spaces", "tab\tin", "line\n\nfeeds\n", "it's we'll I'D", "123 4 5x", "日本語 テキスト", "😀 ok", "a b c", "x　y z",
-    "<|endoftext|> as text", "end .", "\n", "a \n b", "é" * 50, "word " * 3000 + "end",
+    "<|endoftext|> as text", "a<|endoftext|>b", "two <|endoftext|><|endoftext|> in a row", " <|endoftext|> ", "<|endoftext", "end .", "\n", "a \n b", "é" * 50, "word " * 3000 + "end",
 ]
 
 
 def expected(text):
     t = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
