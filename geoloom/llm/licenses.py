@@ -1,12 +1,16 @@
-"""License scans: normalised lines compared with licence templates by the Dice coefficient over word bigrams, native.
+"""License scans: normalised texts compared with licence templates by the Dice coefficient over word bigrams, native.
 
-A text's lines are normalised (lower case, other than letters, digits and dots become blanks) and set against each
-template. Two sets of a and b bigrams can reach the coefficient t only if a lies between b*t/(2-t) and b*(2-t)/t: a
-template is compared only within these bounds. A match shares so many bigrams that some of the template's longest
-words must stand in the line, which rules out most lines before any bigram is made. One projection, no shuffle.
+A whole text is normalised (lower case, other than letters, digits and dots become blanks; lines do not matter) and
+set against each template of m words: every run of m words that starts with one of the template's bigrams (shorter at
+the text's end) is compared by its distinct bigrams. Templates are one-line notices and whole licences alike.
 
-Defined results: a null or blank text has no match; a line of one word has no bigram and no match; of equal scores the
-template that comes first by name is taken; repeated rows are judged one by one; other columns pass through.
+Two sets of a and b bigrams can reach the coefficient t only if a lies between b*t/(2-t) and b*(2-t)/t, so a run
+outside these bounds is not compared; and a run that reaches t holds at least t/(2-t) of the template's bigrams, so a
+template is a candidate only for texts that hold so many anywhere. Texts without any word that a match must hold are
+passed over before that. One projection, no shuffle.
+
+Defined results: a null or blank text has no match; a text of one word has no bigram and no match; of equal scores the
+template that comes first by name is taken; repeated rows are judged one by one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,24 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import table
+from geoloom.llm.license_texts import NOTICES, TEXTS
 
 THRESHOLD = 0.8
+#: (license, text); a license may have several.
+TEMPLATES = [*NOTICES.items(), *TEXTS.items()]
+
 
-# Short licence notices, as they stand in files.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Use of this source code is governed by a BSD 2-Clause license that can be found in the LICENSE file.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+def templates_in(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Templates from files, each named by its file; as many as there are licences."""
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    return sorted((r["name"].rsplit(".", 1)[0] if r["name"].endswith((".txt", ".md")) else r["name"], r["value"]) for r in files.collect())
 
 
 def template_words(notice: str) -> list[str]:
@@ -46,73 +43,93 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def line_words(line: Column) -> Column:
-    cleaned = F.regexp_replace(F.lower(line), r"[^a-z0-9.]+", " ")
+def text_words(text: Column) -> Column:
+    cleaned = F.regexp_replace(F.lower(text), r"[^a-z0-9.]+", " ")
     return F.array_remove(F.transform(F.split(cleaned, " "), lambda w: F.btrim(w, F.lit("."))), "")
 
 
-def hints(grams: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words of which a line that reaches the threshold holds at least one. A match shares `need` of a template's
-    bigrams at the least, so one of any len - need + 1 of them; the longest word of each of those is looked for."""
+def least_shared(n: int, threshold: float) -> int:
+    """Bigrams of a template of n that a run at the threshold holds at least: with s shared and a in the run,
+    2s >= t(a + n) and a >= s give s >= tn / (2 - t)."""
+    return max(1, -int(-n * threshold // (2 - threshold) + 1e-9))
+
+
+def hints(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which a text with a match holds at least one: a match lacks so few of a template's bigrams that one of
+    those with its longest words is left."""
     words: set[str] = set()
-    for g in grams.values():
-        smallest = -(-len(g) * threshold // (2 - threshold))
-        need = int(-(-threshold * (smallest + len(g)) // 2))
-        longest = sorted((max(x.split(" "), key=len) for x in g), key=lambda w: (-len(w), w))
-        words.update(re.escape(w) for w in longest[: len(g) - need + 1])
+    for g in grams:
+        spare = len(g) - least_shared(len(g), threshold)
+        covered: set[str] = set()
+        for w in sorted({w for x in g for w in x.split(" ")}, key=lambda w: (-len(w), w)):
+            if len(covered) > spare:
+                break
+            covered.update(x for x in g if w in x.split(" "))
+            words.add(w)
     return sorted(words)
 
 
-def scanned(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with n_license_lines, license and dice: how many lines reach the threshold, and the best match."""
-    grams = {name: bigrams(template_words(notice)) for name, notice in sorted((TEMPLATES if templates is None else templates).items())}
-    grams = {name: g for name, g in grams.items() if g}
-    none = F.lit(None).cast("struct<dice:double,license:string>")
-    if not grams:
-        return docs.withColumns({"n_license_lines": F.lit(0).cast("long"), "license": F.lit(None).cast("string"), "dice": F.lit(None).cast("double")})
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_templates, license, dice) for every row: how many templates reach the threshold, and the best match."""
+    wanted = [(name, template_words(notice)) for name, notice in (TEMPLATES if templates is None else templates)]
+    wanted = sorted((name, len(words), bigrams(words)) for name, words in wanted if len(words) > 1)
+    match = "struct<dice:double,license:string>"
+    if not wanted:
+        return docs.select(key, F.lit(0).cast("long").alias("n_templates"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    def best(line_grams: Column) -> Column:
-        n = F.size(line_grams)
-        scores = [
-            F.when(
-                n.between(len(g) * low, len(g) * high),
-                F.struct((2.0 * F.size(F.array_intersect(line_grams, F.array(*map(F.lit, g)))) / (n + len(g))).alias("dice"), F.lit(name).alias("license")),
-            ).otherwise(none)
-            for name, g in grams.items()
+    all_grams = sorted({x for _, _, g in wanted for x in g})
+    table_of = F.array(
+        *[
+            F.struct(F.lit(name).alias("license"), F.lit(m).alias("words"), F.lit(least_shared(len(g), threshold)).alias("need"), F.array(*map(F.lit, g)).alias("grams"))
+            for name, m, g in wanted
         ]
-        # The largest score; of equals the first by name.
-        return F.aggregate(F.array(*scores), none, lambda m, s: F.when(s.isNotNull() & (m.isNull() | (s["dice"] > m["dice"])), s).otherwise(m))
+    )
+
+    def best_run(t: Column) -> Column:
+        """The best coefficient of a run with template t."""
+        n = F.size(t["grams"])
+
+        def dice(at: Column) -> Column:
+            run = F.array_distinct(F.slice("grams", at + 1, t["words"] - 1))
+            fits = F.size(run).between(F.ceil(n * low - 1e-9), F.floor(n * high + 1e-9))
+            return F.when(fits, 2.0 * F.size(F.array_intersect(run, t["grams"])) / (F.size(run) + n))
+
+        starts = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(t["grams"], F.get("grams", i)))
+        return F.struct(F.array_max(F.transform(starts, dice)).alias("dice"), t["license"].alias("license"))
 
     body = F.coalesce(F.col(text), F.lit(""))
-    hinted = F.filter(F.split(body, "\n"), lambda x: F.rlike(F.lower(x), F.lit("|".join(hints(grams, threshold)))))
-    words = F.transform(hinted, line_words)
-    pairs = F.transform(
-        words,
-        lambda w: F.array_distinct(F.transform(F.when(F.size(w) >= 2, F.slice(w, F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<string>")), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))),
-    )
-    matches = F.filter(F.transform(pairs, best), lambda m: m.isNotNull() & (m["dice"] >= threshold))
-    top = F.aggregate(F.col("_matches"), none, lambda m, s: F.when(m.isNull() | (s["dice"] > m["dice"]) | ((s["dice"] == m["dice"]) & (s["license"] < m["license"])), s).otherwise(m))
-    return (
-        docs.withColumn("_matches", matches)
-        .withColumn("_top", top)
-        .withColumns({"n_license_lines": F.size("_matches").cast("long"), "license": F.col("_top.license"), "dice": F.round("_top.dice", 9)})
-        .drop("_matches", "_top")
-    )
+    hinted = F.rlike(F.lower(body), F.lit("|".join(map(re.escape, hints([g for _, _, g in wanted], threshold)))))
+    none = F.array().cast("array<string>")
+    words = docs.select(key, F.when(hinted, text_words(body)).otherwise(none).alias("_words"))
+    grams = words.select(key, F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("_words", i + 1))).alias("grams"))
+    held = grams.select(key, "grams", F.array_distinct(F.filter("grams", lambda g: g.isin(*all_grams))).alias("held"))
+    candidates = F.filter(table_of, lambda t: F.size(F.array_intersect("held", t["grams"])) >= t["need"])
+    few = F.size("held") < min(least_shared(len(g), threshold) for _, _, g in wanted)
+    matches = F.when(few, F.array().cast(f"array<{match}>")).otherwise(F.filter(F.transform(candidates, best_run), lambda x: x["dice"] >= threshold))
+    found = held.select(key, matches.alias("matches"))
+    # The largest coefficient; of equals the first by name.
+    top = F.element_at(F.array_sort(F.transform("matches", lambda x: F.struct((-x["dice"]).alias("d"), x["license"].alias("license")))), 1)
+    best = F.when(F.size("matches") > 0, top)
+    return found.select(key, F.size("matches").cast("long").alias("n_templates"), best["license"].alias("license"), F.round(-best["d"], 9).alias("dice"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scanned(docs).select("doc_id", "n_license_lines", "license", "dice")
+    return scanned(table(spark, sf_dir, "documents"))
 
 
 def oracle() -> str:
-    rows = ", ".join(f"('{name}', [{', '.join(repr(g) for g in bigrams(template_words(notice)))}])" for name, notice in sorted(TEMPLATES.items()))
+    """The same runs of words, without the filters before them."""
+    texts = [(name, template_words(text)) for name, text in TEMPLATES]
+    rows = ", ".join(f"({i}, '{name}', {len(words)}, [{', '.join(map(repr, bigrams(words)))}])" for i, (name, words) in enumerate(texts))
+    low, high = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     return f"""
-WITH t(license, g) AS (VALUES {rows}),
-l AS (SELECT doc_id, row_number() OVER () AS line_id, list_filter(list_transform(string_split(regexp_replace(lower(line), '[^a-z0-9.]+', ' ', 'g'), ' '), lambda w: trim(w, '.')), lambda w: w <> '') AS w
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-b AS (SELECT doc_id, line_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS h FROM l WHERE len(w) > 1),
-s AS (SELECT doc_id, line_id, license, 2.0 * len(list_intersect(h, g)) / (len(h) + len(g)) AS dice FROM b, t),
-m AS (SELECT * FROM s WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY dice DESC, license) = 1),
-a AS (SELECT doc_id, count(*) AS n, arg_min(license, struct_pack(d := -dice, l := license)) AS license, max(dice) AS dice FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(a.n, 0)::bigint AS n_license_lines, a.license, round(a.dice, 9) AS dice FROM documents d LEFT JOIN a USING (doc_id)"""
+WITH t(id, license, m, g) AS (VALUES {rows}),
+w AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.]+', ' ', 'g'), ' '), lambda w: trim(w, '.')), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) > 1),
+p AS (SELECT doc_id, unnest(b) AS gram, unnest(range(1, len(b) + 1)) AS at FROM b),
+s AS (SELECT doc_id, at, id, license, m, g FROM p JOIN (SELECT id, license, m, g, unnest(g) AS gram FROM t) USING (gram)),
+r AS (SELECT doc_id, id, license, g, list_distinct(b[at:at + m - 2]) AS h FROM s JOIN b USING (doc_id)),
+d AS (SELECT doc_id, id, license, 2.0 * len(list_intersect(h, g)) / (len(h) + len(g)) AS dice FROM r WHERE len(h) BETWEEN len(g) * {low} - 1e-9 AND len(g) * {high} + 1e-9),
+x AS (SELECT doc_id, id, license, max(dice) AS dice FROM d GROUP BY doc_id, id, license HAVING max(dice) >= {THRESHOLD}),
+a AS (SELECT doc_id, count(*) AS n, arg_min(license, struct_pack(d := -dice, l := license)) AS license, max(dice) AS dice FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.n, 0)::bigint AS n_templates, a.license, round(a.dice, 9) AS dice FROM documents d LEFT JOIN a USING (doc_id)"""
