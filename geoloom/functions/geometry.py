@@ -159,12 +159,62 @@ def as_type(geom: Column, gtype: str) -> Column:
     return made
 
 
+def _by_kind(kind: Column, point: Column, line: Column, polygon: Column) -> Column:
+    return F.when(kind == "Point", point).when(kind == "LineString", line).when(kind == "Polygon", polygon)
+
+
+def _joined(parts: Column, one) -> Column:
+    return F.array_join(F.transform(parts, one), ", ")
+
+
 def wkt(geom: Column) -> Column:
-    """Well-known text of a single-part geometry, two dimensions."""
-    text = lambda ring: F.concat(F.lit("("), F.array_join(F.transform(ring, lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), ", "), F.lit(")"))
-    rings = F.get(geom["parts"], 0)["rings"]
+    """Well-known text of all parts; with has_z each vertex has three numbers."""
+    z = F.when(geom["has_z"], " Z").otherwise("")
+
+    def vertex(q: Column) -> Column:
+        plain = F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))
+        return F.when(geom["has_z"], F.concat_ws(" ", plain, F.coalesce(q["z"], F.lit(0.0)).cast("string"))).otherwise(plain)
+
+    ring = lambda r: F.concat(F.lit("("), _joined(r, vertex), F.lit(")"))
+    first = lambda p: ring(F.get(p["rings"], 0))
+    rings = lambda p: F.concat(F.lit("("), _joined(p["rings"], ring), F.lit(")"))
+    body = lambda p: _by_kind(p["kind"], first(p), first(p), rings(p))
+    tagged = lambda p: F.concat(F.upper(p["kind"]), z, F.lit(" "), body(p))
+    multi = F.concat(F.upper(geom["gtype"]), z, F.lit(" ("), _joined(geom["parts"], body), F.lit(")"))
+    return (
+        F.when(geom["gtype"] == "GeometryCollection", F.concat(F.lit("GEOMETRYCOLLECTION"), z, F.lit(" ("), _joined(geom["parts"], tagged), F.lit(")")))
+        .when(geom["gtype"].startswith("Multi"), multi)
+        .otherwise(tagged(F.get(geom["parts"], 0)))
+    )
+
+
+def geojson(geom: Column) -> Column:
+    """A geometry as JSON text, coordinates nested as its type asks."""
+
+    def vertex(q: Column) -> Column:
+        plain = F.array(q["x"], q["y"])
+        return F.when(geom["has_z"], F.array(q["x"], q["y"], F.coalesce(q["z"], F.lit(0.0)))).otherwise(plain)
+
+    line = lambda r: F.to_json(F.transform(r, vertex))
+    ring = lambda p: F.get(p["rings"], 0)
+    polygon = lambda p: F.to_json(F.transform(p["rings"], lambda r: F.transform(r, vertex)))
+    coordinates = lambda p: _by_kind(p["kind"], F.to_json(vertex(F.get(ring(p), 0))), line(ring(p)), polygon(p))
+    shape = lambda kind, inner: F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), inner, F.lit("}"))
+    listed = lambda one: F.concat(F.lit("["), F.array_join(F.transform(geom["parts"], one), ","), F.lit("]"))
+    part = F.get(geom["parts"], 0)
     return (
-        F.when(geom["gtype"] == "Point", F.concat(F.lit("POINT "), text(F.get(rings, 0))))
-        .when(geom["gtype"] == "LineString", F.concat(F.lit("LINESTRING "), text(F.get(rings, 0))))
-        .when(geom["gtype"] == "Polygon", F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, text), ", "), F.lit(")")))
+        F.when(geom["gtype"] == "GeometryCollection", F.concat(F.lit('{"type":"GeometryCollection","geometries":'), listed(lambda p: shape(p["kind"], coordinates(p))), F.lit("}")))
+        .when(geom["gtype"].startswith("Multi"), shape(geom["gtype"], listed(coordinates)))
+        .otherwise(shape(geom["gtype"], coordinates(part)))
     )
+
+
+def vertices(geom: Column) -> Column:
+    """All points of all rings of all parts."""
+    return F.flatten(F.flatten(F.transform(geom["parts"], lambda p: p["rings"])))
+
+
+def box(geom: Column) -> dict[str, Column]:
+    """xmin, ymin, xmax, ymax of the vertices."""
+    x, y = F.transform(vertices(geom), lambda q: q["x"]), F.transform(vertices(geom), lambda q: q["y"])
+    return {"xmin": F.array_min(x), "ymin": F.array_min(y), "xmax": F.array_max(x), "ymax": F.array_max(y)}

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that a file or table name must not hold.
-UNSAFE = r"\/:*?\"<>|'%;#&=+$,()[]{}@!^~` "
 UNSAFE_CLASS = r"""[\\/:*?"<>|'%;#&=+$,()\[\]{}@!^~` _]+"""
 # Extensions of files that travel with a source, of text-like files, and prefixes of remote sources.
 SIDECAR_EXTENSIONS = (".qml", ".sld", ".tfw", ".pgw", ".jgw", ".gw", ".wld", ".aux.xml")

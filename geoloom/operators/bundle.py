@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import names
-from geoloom.operators.ranks import ranked_within, running_sum
+from geoloom.operators.ranks import durable, ranked_within, running_sum
+from geoloom.sources import folders
 
 # --- gathering ----------------------------------------------------------------------------------------------------
 
@@ -64,40 +65,51 @@ def with_folders(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def bundle_names(files: DataFrame) -> DataFrame:
-    """`files` (pos, path, folder) with `name`: folder/basename, later ones of a name with _1, _2, ... in order of pos.
-
-    Ranks give the suffixes. Where a suffixed name meets a file of that very name, the files whose names differ only by
-    such suffixes are named again one by one; they are the only ones that can meet."""
+    """`files` (pos, path, folder) with `name`: folder/basename, or folder/stem_k.ext with the least k >= 1 that is free
+    when files take their names in order of pos.
+
+    Every file starts at the least k it can have, its rank among the files of its basename. Of files that ask for one
+    name the first by pos keeps it, as no later one can ever have it; the others of that basename go on behind what
+    files before them hold, and so do all that come after them, until no name is asked for twice. Only names that
+    could meet (equal but for suffixes) take part in these rounds."""
+    base = ["folder", "_stem", "_ext"]
     split = files.withColumns({"_base": names.basename(F.col("path")), "_ext": names.extension(F.col("path"))})
-    split = split.withColumn("_plain", F.substr("_base", F.lit(1), F.length("_base") - F.length("_ext")))
-    ranked = ranked_within(split, ["folder", "_base"], ["pos"], "_rank")
-    suffix = F.when(F.col("_rank") > 1, F.concat(F.lit("_"), (F.col("_rank") - 1).cast("string"))).otherwise("")
-    named = ranked.withColumn("name", F.concat("folder", F.lit("/"), "_plain", suffix, "_ext")).withColumn(
-        "_family", F.regexp_replace("_plain", r"(_\d+)+$", "")
-    )
-    clash = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("folder").alias("folder"), F.first("_family").alias("_family"), F.first("_ext").alias("_ext")).filter("n > 1")
-    families = clash.select("folder", "_family", "_ext").distinct()
-    on = ["folder", "_family", "_ext"]
-    plain = named.join(families, on, "left_anti")
+    split = split.withColumn("_stem", F.substr("_base", F.lit(1), F.length("_base") - F.length("_ext"))).drop("_base")
+    ranked = ranked_within(split, base, ["pos"], "_rank").withColumn("_k", F.col("_rank") - 1)
+    suffix = F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise("")
+    name = F.concat("folder", F.lit("/"), "_stem", suffix, "_ext")
     out = [*files.columns, "name"]
-
-    def rename(pdf):
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        used: set[str] = set()
-        fresh = []
-        for folder, base, plain_name, ext in zip(pdf["folder"], pdf["_base"], pdf["_plain"], pdf["_ext"], strict=True):
-            name, k = f"{folder}/{base}", 0
-            while name in used:
-                k += 1
-                name = f"{folder}/{plain_name}_{k}{ext}"
-            used.add(name)
-            fresh.append(name)
-        pdf["name"] = fresh
-        return pdf[out]
-
-    clashing = named.join(families, on, "left_semi")
-    schema = clashing.select(*out).schema
-    return plain.select(*out).unionByName(clashing.groupBy(*on).applyInPandas(rename, schema))
+    named = durable(ranked.withColumns({"name": name, "_family": F.regexp_replace("_stem", r"(_[1-9]\d*)+$", "")}))
+    meeting = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("folder").alias("folder"), F.first("_family").alias("_family"), F.first("_ext").alias("_ext"))
+    families = meeting.filter("n > 1").select("folder", "_family", "_ext").distinct()
+    on = ["folder", "_family", "_ext"]
+    apart = named.join(families, on, "left_anti")
+    rows = durable(named.join(families, on, "left_semi"))
+    while True:
+        held = rows.groupBy("name").agg(F.min("pos").alias("holder"), F.first("folder").alias("folder"), F.first("_ext").alias("_ext"))
+        lost = rows.join(held.select("name", "holder"), "name").filter("pos > holder")
+        first_lost = durable(lost.groupBy(*base).agg(F.min_by(F.struct("_rank", "_k", "pos"), "_rank").alias("at")).select(*base, "at.*"))
+        if first_lost.isEmpty():
+            return apart.select(*out).unionByName(rows.select(*out))
+        rows = durable(pushed_on(rows, first_lost, held, base).withColumn("name", name))
+
+
+def pushed_on(rows: DataFrame, lost: DataFrame, held: DataFrame, base: list[str]) -> DataFrame:
+    """`rows` with `_k` raised: the file in `lost` (base, _rank, _k, pos; one a basename) goes behind the run of names
+    that files before it hold, the later files of its basename behind it in order."""
+    plain = F.substr("name", F.length("folder") + 2, F.length("name") - F.length("folder") - 1 - F.length("_ext"))
+    suffixed = held.withColumn("_plain", plain).select(
+        "folder", "_ext", "holder", F.regexp_extract("_plain", r"^(.*)_[1-9]\d*$", 1).alias("_stem"), F.regexp_extract("_plain", r"_([1-9]\d*)$", 1).alias("_number")
+    )
+    numbered = suffixed.filter("_number <> ''").withColumn("_number", F.col("_number").cast("long"))
+    start = F.greatest("_k", F.lit(1))
+    ahead = lost.join(numbered, base).filter((F.col("holder") < F.col("pos")) & (F.col("_number") >= start))
+    # The run from `start` on: the i-th number held is start + i - 1.
+    run = ranked_within(ahead, base, ["_number"], "_i").filter(F.col("_number") == start + F.col("_i") - 1).groupBy(*base).agg(F.count(F.lit(1)).alias("_run"))
+    moved = lost.join(run, base, "left").select(*base, F.col("_rank").alias("_from"), (start + F.coalesce("_run", F.lit(0))).alias("_to"))
+    later = F.col("_rank") >= F.col("_from")
+    least = F.col("_to") + F.col("_rank") - F.col("_from")
+    return rows.join(moved, base, "left").withColumn("_k", F.when(later, F.greatest("_k", least)).otherwise(F.col("_k"))).drop("_from", "_to")
 
 
 # --- references ---------------------------------------------------------------------------------------------------
@@ -137,11 +149,18 @@ def absolute_flag(text: Column, absolute: bool = True) -> Column:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(name, content, size) of all files below a folder; columns that are not used are not read. Spark's reader passes
-    over empty files."""
+    over empty files, so these come from a listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     folder = root.split(":", 1)[-1].rstrip("/")
-    return files.select(names.relative_to(plain, "/" + folder.lstrip("/")).alias("name"), "content", F.col("length").alias("size"))
+    full = files.select(names.relative_to(plain, "/" + folder.lstrip("/")).alias("name"), "content", F.col("length").alias("size"))
+    empty = folders.listing(spark, root).filter("size = 0").select("name", F.lit(b"").alias("content"), "size")
+    return full.unionByName(empty)
+
+
+def in_path_order(files: DataFrame) -> DataFrame:
+    """Files sorted by name."""
+    return files.orderBy("name")
 
 
 def hashed(entries: DataFrame) -> DataFrame:
@@ -168,9 +187,9 @@ def totals(indexed: DataFrame) -> DataFrame:
 
 
 def blobs(entries: DataFrame) -> DataFrame:
-    """(hash, content, raw_size), each content once. Hashes meet first; contents are fetched for the first names only."""
-    first = hashed(entries).groupBy("hash").agg(F.min("name").alias("name"))
-    return entries.join(first, "name").select("hash", "content", F.octet_length("content").cast("long").alias("raw_size"))
+    """(hash, content, raw_size), each content once; of equal contents one a task leaves it."""
+    kept = entries.groupBy(F.sha2("content", 256).alias("hash")).agg(F.min_by("content", "name").alias("content"))
+    return kept.select("hash", "content", F.octet_length("content").cast("long").alias("raw_size"))
 
 
 def pack(entries: DataFrame, path: str, dependencies: DataFrame | None = None, rewrites: DataFrame | None = None, created: str = "", plugin_version: str = "") -> None:
@@ -222,9 +241,8 @@ def restore(bundle: DataFrame, folder: str) -> int:
         import uuid
 
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = folders.store_of(folder)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = posixpath.join(root, name)
@@ -258,10 +276,13 @@ def dependencies(files: DataFrame) -> DataFrame:
     return lists.select(F.get(ordered, 0).alias("primary"), F.slice(ordered, F.lit(2), F.size("l")).alias("companions"))
 
 
-def manifest_json(described: DataFrame, depends: DataFrame, rewrites: DataFrame, created: str, plugin_version: str) -> DataFrame:
+def manifest_json(described: DataFrame, depends: DataFrame, rewrites: DataFrame, created: str, plugin_version: str, most: int = 1_000_000) -> DataFrame:
     """(manifest): one JSON document of (name, type, size, hash), (primary, companions) and (uri, path).
 
-    A single document is the format; collections too large for one keep the tables that `pack` writes."""
+    A single document is the format; collections of more than `most` entries are refused and keep the tables that
+    `pack` writes."""
+    if described.count() > most:
+        raise ValueError(f"a manifest of more than {most} entries stays in tables")
     e = described.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("type", "size", "hash"))))).alias("entries"))
     d = depends.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("primary", "companions")))).alias("dependencies"))
     r = rewrites.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("uri", "path")))).alias("uri_rewrites"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.functions import crs
+from geoloom.functions import catalogue, crs
 from geoloom.functions import geometry as G
 
 GEOMETRY_COLUMNS = ("geom", "x", "y", "xmin", "ymin", "xmax", "ymax")
@@ -25,6 +25,8 @@ GEORSS_COLUMNS = (
 LONLAT_DRIVERS = ("GeoRSS", "GML", "KML")
 BARE_DRIVERS = ("DXF", "DGN")
 TILE_CRS = (4326, 3857)
+#: Why a row is put aside.
+OUTSIDE, ILLEGAL = "outside the target system", "geometry type"
 
 
 @dataclass(frozen=True)
@@ -65,8 +67,8 @@ class ExportSpec:
 
 
 def by_expression(df: DataFrame, expression: str) -> DataFrame:
-    """Rows for which a SQL expression holds; a blank one keeps all. A bad one raises when the plan is made."""
-    return df.filter(F.expr(expression)) if expression.strip() else df
+    """Rows for which a filter text (see `catalogue`) holds; a blank one keeps all. A bad one raises when the plan is made."""
+    return df.filter(catalogue.condition(df.sparkSession, expression)) if expression.strip() else df
 
 
 def by_selection(df: DataFrame, selection: DataFrame, key: str = "fid") -> DataFrame:
@@ -94,7 +96,7 @@ def by_extent(df: DataFrame, extent: tuple[float, float, float, float] | None) -
 
 def preview(df: DataFrame, expression: str) -> DataFrame:
     """(matched, total, percent) of a filter, in one pass."""
-    matched = F.count_if(F.expr(expression)) if expression.strip() else F.count(F.lit(1))
+    matched = F.count_if(catalogue.condition(df.sparkSession, expression)) if expression.strip() else F.count(F.lit(1))
     counts = df.agg(matched.alias("matched"), F.count(F.lit(1)).alias("total"))
     return counts.withColumn("percent", F.when(F.col("total") == 0, 0.0).otherwise(F.round(100.0 * F.col("matched") / F.col("total"), 1)))
 
@@ -171,6 +173,15 @@ def reprojected_points(df: DataFrame, source: int, target: int, strict: bool = F
     return df.withColumns({"x": x, "y": y})
 
 
+def reprojected_boxes(df: DataFrame, source: int, target: int) -> DataFrame:
+    """Boxes without a geometry by their corners, which bound them exactly between EPSG:4326 and EPSG:3857."""
+    if source == target:
+        return df
+    low = crs.reprojected(F.col("xmin"), F.col("ymin"), source, target)
+    high = crs.reprojected(F.col("xmax"), F.col("ymax"), source, target)
+    return df.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), (*low, *high), strict=True)))
+
+
 def quarantined(df: DataFrame, column: str, reason: str) -> tuple[DataFrame, DataFrame]:
     """Rows with and without a value in `column`; the latter with a reason."""
     return df.filter(F.col(column).isNotNull()), df.filter(F.col(column).isNull()).withColumn("reason", F.lit(reason))
@@ -201,30 +212,85 @@ def effective_extent(own, overall, overall_srid: int, layer_srid: int):
     return None if None in row else tuple(row)
 
 
+def effective_extents(specs: DataFrame, overall: tuple[float, float, float, float] | None, overall_srid: int, srids: tuple[int, ...]) -> DataFrame:
+    """`specs` (layer_srid and an extent of their own or null) with the extent to use: their own, else the overall one
+    with its corners in the layer's system, which must be one of `srids`."""
+    if overall is None:
+        return specs
+    corners = {"xmin": (0, 0), "ymin": (0, 1), "xmax": (1, 0), "ymax": (1, 1)}
+    moved = {s: [crs.reprojected(F.lit(overall[i]), F.lit(overall[i + 1]), overall_srid, s) for i in (0, 2)] for s in srids}
+    own = F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymax").isNotNull()
+    out = {}
+    for name, (corner, axis) in corners.items():
+        shared = F.lit(None).cast("double")
+        for s, points in moved.items():
+            shared = F.when(F.col("layer_srid") == s, points[corner][axis]).otherwise(shared)
+        out[name] = F.when(own, F.col(name)).otherwise(shared)
+    return specs.withColumns(out)
+
+
+def target_srids(specs: DataFrame) -> DataFrame:
+    """`specs` (driver, target_srid, layer_srid) with `target` and, where there is none, `reason`: `target_srid` for many."""
+    wanted = F.coalesce("target_srid", "layer_srid").cast("int")
+    zones = (wanted.between(32601, 32660)) | (wanted.between(32701, 32760))
+    reason = (
+        F.when(~(wanted.isin(4326, 3857) | zones), "unknown reference system")
+        .when((F.col("driver") == "MBTiles") & ~wanted.isin(*TILE_CRS), "system not allowed")
+    )
+    target = F.when(F.col("driver").isin(*LONLAT_DRIVERS), F.lit(4326)).otherwise(wanted)
+    return specs.withColumn("reason", reason).withColumn("target", F.when(F.col("reason").isNull(), target))
+
+
+def in_row_order(rows: DataFrame, key: str = "fid") -> DataFrame:
+    """Rows in the order of their table."""
+    return rows.orderBy(key)
+
+
 # --- the whole ----------------------------------------------------------------------------------------------------
 
 
-def exported(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
-    """The rows and columns that a spec writes. Filters come first and on plain columns."""
+def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
+    """The rows that a spec asks for with their geometry changed (type, Z, Multi), then reprojected, then their boxes
+    taken anew; `_reason` says why a row cannot be written, null where it can. Filters come first and on plain columns."""
     rows = by_extent(layer, spec.extent)
     if spec.selected_only:
         if selection is None:
             raise ValueError("no selection was given")
         rows = by_selection(rows, selection)
     rows = by_expression(rows, spec.filter_expression)
-    names = [] if spec.skip_attributes else bound_columns(spec.driver, chosen(layer, spec.field_names))
     target = target_srid(spec, source_srid)
-    if "x" in rows.columns:
-        rows = reprojected_points(rows, source_srid, target)
-    if "geom" in rows.columns and (source_srid == target or spec.geometry_type == "NoGeometry"):
-        if spec.geometry_type and spec.geometry_type != "NoGeometry":
-            rows = rows.withColumn("geom", G.as_type(F.col("geom"), spec.geometry_type)).filter("geom IS NOT NULL")
-        if spec.force_z or spec.driver == "DGN":
-            rows = rows.withColumn("geom", G.forced_z(F.col("geom")))
-        if spec.force_multi:
-            rows = rows.withColumn("geom", G.forced_multi(F.col("geom")))
-    elif "geom" in rows.columns:
-        rows = rows.withColumn("geom", reprojected_geometry(F.col("geom"), source_srid, target))
+    reason = F.lit(None).cast("string")
+    if spec.geometry_type == "NoGeometry":
+        return rows.withColumn("_reason", reason)
+    if "x" in rows.columns and source_srid != target:
+        there = F.col("x").isNotNull() & F.col("y").isNotNull()
+        moved = reprojected_points(rows.withColumn("_there", there), source_srid, target)
+        outside = F.col("_there") & (F.col("x").isNull() | F.col("y").isNull())
+        rows = moved.withColumn("_reason", F.when(outside, OUTSIDE)).drop("_there")
+    else:
+        rows = rows.withColumn("_reason", reason)
+    if "geom" not in rows.columns:
+        return reprojected_boxes(rows, source_srid, target) if "xmin" in rows.columns else rows
+    geom = F.col("geom")
+    if spec.geometry_type:
+        made = G.as_type(geom, spec.geometry_type)
+        rows = rows.withColumns({"_reason": F.coalesce("_reason", F.when(geom.isNotNull() & made.isNull(), ILLEGAL)), "geom": made})
+    if spec.force_z or spec.driver == "DGN":
+        rows = rows.withColumn("geom", F.when(geom.isNotNull(), G.forced_z(geom)))
+    if spec.force_multi:
+        rows = rows.withColumn("geom", F.when(geom.isNotNull(), G.forced_multi(geom)))
+    if source_srid != target:
+        rows = rows.withColumn("geom", F.when(geom.isNotNull(), reprojected_geometry(geom, source_srid, target)))
+        lost = F.exists(G.vertices(geom), lambda q: q["x"].isNull() | q["y"].isNull())
+        rows = rows.withColumn("_reason", F.coalesce("_reason", F.when(lost, OUTSIDE)))
+        if "xmin" in rows.columns:
+            rows = rows.withColumns(G.box(geom))
+    return rows
+
+
+def written_columns(layer: DataFrame, rows: DataFrame, spec: ExportSpec) -> list[Column]:
+    """The attributes of a spec under their names and types, then the geometry columns."""
+    names = [] if spec.skip_attributes else bound_columns(spec.driver, chosen(layer, spec.field_names))
     shape = [] if spec.geometry_type == "NoGeometry" else [c for c in GEOMETRY_COLUMNS if c in rows.columns]
     out = []
     for f in layer.schema.fields:
@@ -232,7 +298,19 @@ def exported(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
             made = retyped(F.col(f.name), spec.field_types.get(f.name), spec.strict_types)
             metadata = f.metadata if spec.include_constraints else {}
             out.append(made.alias(export_name(f, spec.field_export_names, spec.use_aliases), metadata=metadata))
-    return rows.select(*out, *shape)
+    return [*out, *map(F.col, shape)]
+
+
+def exported(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
+    """The rows and columns that a spec writes. Rows without a geometry stay; see `rejected` for those that cannot."""
+    rows = prepared(layer, spec, source_srid, selection)
+    return rows.filter("_reason IS NULL").select(*written_columns(layer, rows, spec))
+
+
+def rejected(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
+    """The rows, as they are in the layer, that a spec asks for and cannot write, with `reason`."""
+    whole = layer.withColumn("_whole", F.struct(*layer.columns))
+    return prepared(whole, spec, source_srid, selection).filter("_reason IS NOT NULL").select("_whole.*", F.col("_reason").alias("reason"))
 
 
 def reprojected_geometry(geom: Column, source: int, target: int) -> Column:

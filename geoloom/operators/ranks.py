@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.sources.scratch import shared_folder
+
 
 def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names (spark.checkpoint.dir), or a temporary one where it has none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='geoloom-')}")
+    """A checkpoint in the folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,6 +49,19 @@ def running_sum(df: DataFrame, size: str, order: list[str], name: str = "offset"
     )
 
 
+def with_previous(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """`df` with prev_<column>: the values of the row before in the given order within the values of `by`, null for the
+    first. A value may span partitions; the last row of each partition is handed to the next."""
+    rows = in_order(df, [*by, *order])
+    held = F.struct(*by, *columns)
+    ends = rows.groupBy("_part").agg(F.max_by(held, "_row").alias("_end"))
+    ahead = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_before"))  # one row a partition
+    inside = F.lag(held).over(W.partitionBy("_part").orderBy("_row"))
+    joined = rows.join(F.broadcast(ahead), "_part").withColumn("_prev", F.coalesce(inside, "_before"))
+    same = _all([F.col(f"_prev.{c}").eqNullSafe(F.col(c)) for c in by])
+    return joined.withColumns({f"prev_{c}": F.when(same, F.col(f"_prev.{c}")) for c in columns}).drop("_part", "_row", "_before", "_prev")
+
+
 def _all(conditions):
     out = conditions[0]
     for c in conditions[1:]:

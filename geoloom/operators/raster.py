@@ -46,11 +46,16 @@ def labelled(cells: DataFrame, srid: int) -> DataFrame:
     return cells.withColumn("srid", F.lit(srid))
 
 
-def warped(cells: DataFrame, source: int, target: int, x0: float, y0: float, xres: float, yres: float) -> DataFrame:
+def warped(cells: DataFrame, source: int, target: int, x0: float, y0: float, xres: float, yres: float, method: str = "nearest") -> DataFrame:
     """Cell centres in another system, then on its grid."""
     x, y = crs.reprojected(F.col("x"), F.col("y"), source, target)
     moved = cells.withColumns({"x": x, "y": y}).filter("x IS NOT NULL AND y IS NOT NULL")
-    return labelled(resampled(moved, x0, y0, xres, yres), target)
+    return labelled(resampled(moved, x0, y0, xres, yres, method), target)
+
+
+def read_container(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """One raster of a container; the others' files are not read."""
+    return spark.read.parquet(path).filter(F.col("layer") == layer)
 
 
 def write_container(cells: DataFrame, path: str) -> None:

@@ -6,78 +6,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Drivers in preferred order, with label, extension and, where Spark has a writer, its format.
-VECTOR = """
-GPKG|GeoPackage|.gpkg|table
-ESRI Shapefile|Shapefile|.shp|
-GeoJSON|GeoJSON|.geojson|json
-GeoJSONSeq|GeoJSON (Newline Delimited)|.geojsonl|json
-KML|KML|.kml|xml
-LIBKML|LIBKML|.kml|xml
-CSV|CSV|.csv|csv
-FlatGeobuf|FlatGeobuf|.fgb|
-GPX|GPX|.gpx|xml
-GML|GML|.gml|xml
-TopoJSON|TopoJSON|.topojson|
-SQLite|SQLite|.sqlite|table
-SpatiaLite|SpatiaLite|.sqlite|table
-DXF|DXF|.dxf|
-DGN|Microstation DGN|.dgn|
-MapInfo File|MapInfo TAB|.tab|
-Parquet|GeoParquet|.parquet|parquet
-Arrow|Arrow|.arrow|
-MBTiles|MBTiles|.mbtiles|
-OpenFileGDB|OpenFileGDB|.gdb|table
-FileGDB|ESRI File Geodatabase|.gdb|table
-GeoRSS|GeoRSS|.xml|xml
-MVT|MVT (Mapbox Vector Tiles)|.mvt|
-PMTiles|PMTiles|.pmtiles|
-JSONFG|JSONFG (OGC JSON)|.json|
-MapML|MapML|.mapml|
-PDF|PDF (Geospatial)|.pdf|
-VDV|VDV (Transit Data)|.vdv|
-JML|JML (OpenJUMP)|.jml|
-PGDUMP|PGDUMP (PostgreSQL SQL)|.sql|text
-MiraMonVector|MiraMon Vector|.pol|
-OGR_GMT|GMT ASCII (.gmt)|.gmt|text
-Selafin|Selafin|.slf|
-WAsP|WAsP (.map)|.map|
-XLSX|XLSX|.xlsx|
-ODS|ODS|.ods|
-"""
-RASTER = """
-GTiff|GeoTIFF|.tif|
-COG|Cloud Optimized GeoTIFF|.tif|
-VRT|Virtual Raster|.vrt|
-ENVI|ENVI (.hdr)|.dat|
-EHdr|EHdr (ESRI BIL)|.bil|
-ECW|ECW (Wavelet)|.ecw|
-PNG|PNG|.png|
-JPEG|JPEG|.jpg|
-JPEG2000|JPEG2000|.jp2|
-WEBP|WebP|.webp|
-JPEGXL|JPEG XL|.jxl|
-GIF|GIF|.gif|
-NetCDF|NetCDF|.nc|
-BMP|BMP|.bmp|
-MBTiles|MBTiles|.mbtiles|
-HFA|ERDAS Imagine (.img)|.img|
-PCIDSK|PCIDSK|.pix|
-NITF|NITF|.ntf|
-GRIB|GRIB (.grb)|.grb|
-SAGA|SAGA GIS (.sdat)|.sdat|
-Zarr|Zarr|.zarr|
-AAIGrid|AAIGrid (ASCII)|.asc|
-DTED|DTED|.dt2|
-SRTMHGT|SRTMHGT|.hgt|
-XYZ|XYZ Grid|.xyz|csv
-PDF|PDF (Geospatial)|.pdf|
-PCRaster|PCRaster|.map|
-ILWIS|ILWIS|.mpr|
-RST|RST (Idrisi)|.rst|
-ZMap|ZMap|.zmap|
-SIGDEM|SIGDEM|.sigdem|
-Terragen|Terragen|.ter|
-"""
+VECTOR = (
+    ("GPKG", "GeoPackage", ".gpkg", "table"),
+    ("ESRI Shapefile", "Shapefile", ".shp", None),
+    ("GeoJSON", "GeoJSON", ".geojson", "json"),
+    ("GeoJSONSeq", "GeoJSON (Newline Delimited)", ".geojsonl", "json"),
+    ("KML", "KML", ".kml", "xml"),
+    ("LIBKML", "LIBKML", ".kml", "xml"),
+    ("CSV", "CSV", ".csv", "csv"),
+    ("FlatGeobuf", "FlatGeobuf", ".fgb", None),
+    ("GPX", "GPX", ".gpx", "xml"),
+    ("GML", "GML", ".gml", "xml"),
+    ("TopoJSON", "TopoJSON", ".topojson", None),
+    ("SQLite", "SQLite", ".sqlite", "table"),
+    ("SpatiaLite", "SpatiaLite", ".sqlite", "table"),
+    ("DXF", "DXF", ".dxf", None),
+    ("DGN", "Microstation DGN", ".dgn", None),
+    ("MapInfo File", "MapInfo TAB", ".tab", None),
+    ("Parquet", "GeoParquet", ".parquet", "parquet"),
+    ("Arrow", "Arrow", ".arrow", None),
+    ("MBTiles", "MBTiles", ".mbtiles", None),
+    ("OpenFileGDB", "OpenFileGDB", ".gdb", "table"),
+    ("FileGDB", "ESRI File Geodatabase", ".gdb", "table"),
+    ("GeoRSS", "GeoRSS", ".xml", "xml"),
+    ("MVT", "MVT (Mapbox Vector Tiles)", ".mvt", None),
+    ("PMTiles", "PMTiles", ".pmtiles", None),
+    ("JSONFG", "JSONFG (OGC JSON)", ".json", None),
+    ("MapML", "MapML", ".mapml", None),
+    ("PDF", "PDF (Geospatial)", ".pdf", None),
+    ("VDV", "VDV (Transit Data)", ".vdv", None),
+    ("JML", "JML (OpenJUMP)", ".jml", None),
+    ("PGDUMP", "PGDUMP (PostgreSQL SQL)", ".sql", "text"),
+    ("MiraMonVector", "MiraMon Vector", ".pol", None),
+    ("OGR_GMT", "GMT ASCII (.gmt)", ".gmt", "text"),
+    ("Selafin", "Selafin", ".slf", None),
+    ("WAsP", "WAsP (.map)", ".map", None),
+    ("XLSX", "XLSX", ".xlsx", None),
+    ("ODS", "ODS", ".ods", None),
+)
+RASTER = (
+    ("GTiff", "GeoTIFF", ".tif", None),
+    ("COG", "Cloud Optimized GeoTIFF", ".tif", None),
+    ("VRT", "Virtual Raster", ".vrt", None),
+    ("ENVI", "ENVI (.hdr)", ".dat", None),
+    ("EHdr", "EHdr (ESRI BIL)", ".bil", None),
+    ("ECW", "ECW (Wavelet)", ".ecw", None),
+    ("PNG", "PNG", ".png", None),
+    ("JPEG", "JPEG", ".jpg", None),
+    ("JPEG2000", "JPEG2000", ".jp2", None),
+    ("WEBP", "WebP", ".webp", None),
+    ("JPEGXL", "JPEG XL", ".jxl", None),
+    ("GIF", "GIF", ".gif", None),
+    ("NetCDF", "NetCDF", ".nc", None),
+    ("BMP", "BMP", ".bmp", None),
+    ("MBTiles", "MBTiles", ".mbtiles", None),
+    ("HFA", "ERDAS Imagine (.img)", ".img", None),
+    ("PCIDSK", "PCIDSK", ".pix", None),
+    ("NITF", "NITF", ".ntf", None),
+    ("GRIB", "GRIB (.grb)", ".grb", None),
+    ("SAGA", "SAGA GIS (.sdat)", ".sdat", None),
+    ("Zarr", "Zarr", ".zarr", None),
+    ("AAIGrid", "AAIGrid (ASCII)", ".asc", None),
+    ("DTED", "DTED", ".dt2", None),
+    ("SRTMHGT", "SRTMHGT", ".hgt", None),
+    ("XYZ", "XYZ Grid", ".xyz", "csv"),
+    ("PDF", "PDF (Geospatial)", ".pdf", None),
+    ("PCRaster", "PCRaster", ".map", None),
+    ("ILWIS", "ILWIS", ".mpr", None),
+    ("RST", "RST (Idrisi)", ".rst", None),
+    ("ZMap", "ZMap", ".zmap", None),
+    ("SIGDEM", "SIGDEM", ".sigdem", None),
+    ("Terragen", "Terragen", ".ter", None),
+)
 # Drivers that need a live connection.
 CONNECTED = (
     "MySQL", "PostgreSQL", "PGeo", "MSSQLSpatial", "SDE", "Oracle", "Carto", "AmigoCloud", "Elasticsearch", "CouchDB",
@@ -86,9 +86,8 @@ CONNECTED = (
 FALLBACK_EXTENSION = ".gpkg"
 
 
-def _rows(text: str, kind: str) -> list[tuple[str, str, str, str, int, str | None]]:
-    lines = [line.split("|") for line in text.strip().splitlines()]
-    return [(driver, kind, label, ext, i, fmt or None) for i, (driver, label, ext, fmt) in enumerate(lines)]
+def _rows(formats, kind: str) -> list[tuple[str, str, str, str, int, str | None]]:
+    return [(driver, kind, label, ext, i, fmt) for i, (driver, label, ext, fmt) in enumerate(formats)]
 
 
 ROWS = _rows(VECTOR, "vector") + _rows(RASTER, "raster")
@@ -110,6 +109,11 @@ def formats(spark: SparkSession) -> DataFrame:
     return spark.sql(values_sql(ROWS, "driver, kind, label, ext, ord, spark_format"))
 
 
+def counts_by_kind(formats: DataFrame) -> DataFrame:
+    """(kind, n)"""
+    return formats.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def connected(spark: SparkSession) -> DataFrame:
     return spark.sql(values_sql([(d,) for d in CONNECTED], "driver"))
 

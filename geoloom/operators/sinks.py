@@ -53,11 +53,12 @@ def shape_text(df: DataFrame) -> Column | None:
 
 
 def geojson_rows(df: DataFrame) -> DataFrame:
-    """(type, geometry, properties): a feature a row."""
+    """(type, geometry, properties): a feature a row, for points and for polygons of one part, whose coordinates have a
+    fixed nesting; see `geojson_lines` for all shapes."""
     plain = [c for c in df.columns if c not in GEOMETRY_COLUMNS]
     if "geom" in df.columns:
         rings = F.transform(F.get(F.col("geom.parts"), 0)["rings"], lambda r: F.transform(r, lambda q: F.array(q["x"], q["y"])))
-        shape = F.struct(F.col("geom.gtype").alias("type"), rings.alias("coordinates"))
+        shape = F.when(F.col("geom.gtype") == "Polygon", F.struct(F.col("geom.gtype").alias("type"), rings.alias("coordinates")))
     elif "x" in df.columns:
         shape = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
     else:
@@ -65,6 +66,19 @@ def geojson_rows(df: DataFrame) -> DataFrame:
     return df.select(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*plain).alias("properties") if plain else F.lit(None).cast("string").alias("properties"))
 
 
+def geojson_lines(df: DataFrame) -> DataFrame:
+    """(value): a feature a line, of any shape; a missing geometry is null."""
+    plain = [c for c in df.columns if c not in GEOMETRY_COLUMNS]
+    if "geom" in df.columns:
+        shape = G.geojson(F.col("geom"))
+    elif "x" in df.columns:
+        shape = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(F.array("x", "y")), F.lit("}")))
+    else:
+        shape = F.lit(None).cast("string")
+    properties = F.to_json(F.struct(*plain)) if plain else F.lit("{}")
+    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(shape, F.lit("null")), F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
+
+
 def insert_lines(df: DataFrame, table: str) -> DataFrame:
     """INSERT statements, one a row."""
     plain = [c for c in df.columns if c not in GEOMETRY_COLUMNS]
@@ -77,12 +91,12 @@ def insert_lines(df: DataFrame, table: str) -> DataFrame:
 
 
 def gmt_lines(df: DataFrame) -> DataFrame:
-    """Points as 'x y' lines, other shapes as a '>' line and their first ring's points."""
+    """Points as 'x y' lines; of other shapes each ring of each part as a '>' line and its points."""
     if "x" in df.columns and "geom" not in df.columns:
         return df.select(F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
-    ring = F.get(F.get(F.col("geom.parts"), 0)["rings"], 0)
-    lines = F.transform(ring, lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string")))
-    return df.select(F.concat(F.lit(">\n"), F.array_join(lines, "\n")).alias("value"))
+    rings = F.flatten(F.transform(F.col("geom.parts"), lambda p: p["rings"]))
+    block = lambda ring: F.concat(F.lit(">\n"), F.array_join(F.transform(ring, lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), "\n"))
+    return df.select(F.array_join(F.transform(rings, block), "\n").alias("value"))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -117,7 +131,7 @@ def write(df: DataFrame, spec: ExportSpec, seen: Observation | None = None) -> s
         return name
     path = output_path(spec)
     if spec.driver in ("GeoJSON", "GeoJSONSeq"):
-        rows = geojson_rows(rows)
+        rows, form = geojson_lines(rows), "text"
     elif spec.driver == "PGDUMP":
         rows = insert_lines(rows, spec.name)
     elif spec.driver == "OGR_GMT":
@@ -149,11 +163,6 @@ def clashes(planned: DataFrame, existing: DataFrame) -> DataFrame:
     return planned.join(existing.select("path"), "path", "left_semi")
 
 
-def layer_tree_json(nodes: DataFrame) -> DataFrame:
-    """(value): a flat tree as JSON, one line a node with its path; see operators.tree."""
-    return nodes.select(F.to_json(F.struct("id", "parent", "name", "layer", "path")).alias("value"))
-
-
 def table_names(specs: DataFrame) -> DataFrame:
     """Container names of specs (group_path, name): the group's path before the name, both cut to 63 characters."""
     joined = F.concat_ws("_", F.nullif(F.col("group_path"), F.lit("")), F.col("name"))

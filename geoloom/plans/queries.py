@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,9 @@ from geoloom.functions import catalogue, crs, names
 from geoloom.functions import geometry as G
 from geoloom.operators import batch, bundle, export, raster, registry, sinks, tree
 from geoloom.operators.export import ExportSpec
-from geoloom.sources import views
+from geoloom.operators.ranks import with_previous
+from geoloom.sources import archives, views
+from geoloom.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,12 +65,87 @@ def extent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.by_extent(views.features(spark, sf_dir), (0.0, 0.0, 20.0, 20.0)).select("fid", "event_type", "value", "x", "y")
 
 
-@query(f"SELECT fid, round(x, 6) AS x, round(y, 6) AS y FROM {FEATURES} WHERE x BETWEEN 7 AND 11 AND y BETWEEN 0 AND 80")
+# The meridian arc and the expansion in longitude by powers of the eccentricity, another series than the operator's.
+_UTM = f"""(SELECT fid, lon, lat, 500000 + 0.9996 * nu * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120) AS east,
+  0.9996 * (m + nu * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a ** 6 / 720)) AS north
+  FROM (SELECT *, {crs.RADIUS!r} / sqrt(1 - e * sin(phi) ** 2) AS nu, tan(phi) ** 2 AS t, ep * cos(phi) ** 2 AS c, radians(lon - 9) * cos(phi) AS a,
+    {crs.RADIUS!r} * ((1 - e / 4 - 3 * e ** 2 / 64 - 5 * e ** 3 / 256) * phi - (3 * e / 8 + 3 * e ** 2 / 32 + 45 * e ** 3 / 1024) * sin(2 * phi)
+      + (15 * e ** 2 / 256 + 45 * e ** 3 / 1024) * sin(4 * phi) - 35 * e ** 3 / 3072 * sin(6 * phi)) AS m
+    FROM (SELECT fid, x AS lon, y AS lat, radians(y) AS phi, {crs.FLATTENING * (2 - crs.FLATTENING)!r} AS e, {crs.FLATTENING * (2 - crs.FLATTENING) / (1 - crs.FLATTENING * (2 - crs.FLATTENING))!r} AS ep FROM {FEATURES} WHERE x BETWEEN 7 AND 11 AND y BETWEEN 0 AND 80)))"""
+
+
+@query(f"SELECT fid, round(lon, 6) AS x, round(lat, 6) AS y, round(east, 1) AS east, round(north, 1) AS north FROM {_UTM}")
 def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zone 32 and back again."""
+    """Zone 32, and back again."""
     points = export.by_extent(views.features(spark, sf_dir), (7.0, 0.0, 11.0, 80.0))
     there = export.reprojected_points(points, 4326, 32632)
-    return export.reprojected_points(there, 32632, 4326).select("fid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    back = export.reprojected_points(there.withColumns({"east": F.col("x"), "north": F.col("y")}), 32632, 4326)
+    return back.select("fid", *[F.round(c, 6).alias(c) for c in ("x", "y")], *[F.round(c, 1).alias(c) for c in ("east", "north")])
+
+
+_SHAPES = "(SELECT p_partkey AS shape_id, p_partkey % 4 AS turn, p_partkey % 11 = 0 AS missing, (p_partkey % 100)::double AS x0, (p_partkey % 50)::double AS y0, p_size::double AS s FROM part)"
+_RING = "x0 || '{c}' || y0 || '{v}' || (x0 + s) || '{c}' || y0 || '{v}' || (x0 + s) || '{c}' || (y0 + s) || '{v}' || x0 || '{c}' || (y0 + s) || '{v}' || x0 || '{c}' || y0"
+_RING_2 = _RING.replace("(x0 + s)", "(x0 + 60.0::double + s)").replace("x0 ||", "(x0 + 60.0::double) ||")
+_LINE = "x0 || '{c}' || y0 || '{v}' || (x0 + s) || '{c}' || y0 || '{v}' || (x0 + s) || '{c}' || (y0 + s)"
+_JSON, _WKT = {"c": ",", "v": "],["}, {"c": " ", "v": ", "}
+
+
+@query(f"""SELECT shape_id, CASE WHEN missing THEN NULL WHEN turn = 0 THEN '{{"type":"Polygon","coordinates":[[[' || {_RING.format(**_JSON)} || ']]]}}' WHEN turn = 1 THEN '{{"type":"LineString","coordinates":[[' || {_LINE.format(**_JSON)} || ']]}}'
+    WHEN turn = 2 THEN '{{"type":"MultiPolygon","coordinates":[[[[' || {_RING.format(**_JSON)} || ']]],[[[' || {_RING_2.format(**_JSON)} || ']]]]}}' ELSE '{{"type":"Point","coordinates":[' || x0 || ',' || y0 || ']}}' END AS geojson,
+  CASE WHEN missing THEN NULL WHEN turn = 0 THEN 'POLYGON ((' || {_RING.format(**_WKT)} || '))' WHEN turn = 1 THEN 'LINESTRING (' || {_LINE.format(**_WKT)} || ')'
+    WHEN turn = 2 THEN 'MULTIPOLYGON (((' || {_RING.format(**_WKT)} || ')), ((' || {_RING_2.format(**_WKT)} || ')))' ELSE 'POINT (' || x0 || ' ' || y0 || ')' END AS wkt FROM {_SHAPES}""")
+def geojson_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of four types as GeoJSON lines and as well-known text."""
+    lines = sinks.geojson_lines(views.shapes(spark, sf_dir).select("shape_id", "geom", G.wkt(F.col("geom")).alias("wkt")))
+    feature = F.from_json("value", "geometry string, properties struct<shape_id:bigint,wkt:string>")
+    return lines.select(feature.alias("f")).select("f.properties.shape_id", F.col("f.geometry").alias("geojson"), "f.properties.wkt")
+
+
+@query(f"""SELECT shape_id, reason, CASE WHEN reason IS NULL AND NOT missing THEN 'MultiLineString' END AS gtype, CASE WHEN reason IS NULL AND NOT missing THEN CASE turn WHEN 0 THEN 5 ELSE 3 END END AS n_points,
+  CASE WHEN reason IS NULL AND NOT missing THEN 0.0::double END AS z, CASE WHEN reason IS NULL AND NOT missing THEN round((x0 + s) * {crs.DEGREE!r}, 3) END AS xmax,
+  CASE WHEN reason IS NULL AND NOT missing THEN round({crs.RADIUS!r} * ln(tan(pi() / 4 + radians(y0 + s) / 2)), 3) END AS ymax
+  FROM (SELECT *, CASE WHEN missing THEN NULL WHEN turn >= 2 THEN 'geometry type' WHEN y0 + s >= 90 THEN 'outside the target system' END AS reason FROM {_SHAPES})""")
+def geometry_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with Z and Multi in Web Mercator out of all shapes, with the rows that cannot be written and why."""
+    layer = views.shapes(spark, sf_dir)
+    spec = ExportSpec("shapes", "lines", field_names=("shape_id",), geometry_type="LineString", force_z=True, force_multi=True, target_srid=3857)
+    points = F.when(F.col("geom").isNotNull(), G.vertices(F.col("geom")))
+    good = export.exported(layer, spec).select(
+        "shape_id", F.lit(None).cast("string").alias("reason"), F.col("geom.gtype").alias("gtype"), F.size(points).alias("n_points"), F.array_max(F.transform(points, lambda q: q["z"])).alias("z"),
+        F.round("xmax", 3).alias("xmax"), F.round("ymax", 3).alias("ymax"),
+    )
+    good = good.withColumn("n_points", F.when(F.col("gtype").isNotNull(), F.col("n_points")))
+    return good.unionByName(export.rejected(layer, spec).select("shape_id", "reason"), allowMissingColumns=True)
+
+
+@query(f"""SELECT fid AS box_id, round(x0, 3) AS xmin, round(y0, 3) AS ymin, round(x1, 3) AS xmax, round(y1, 3) AS ymax, round((x1 - x0) * (y1 - y0) / 1000000, 3) AS area
+  FROM (SELECT fid, xmin * {crs.DEGREE!r} AS x0, (xmin + side) * {crs.DEGREE!r} AS x1, {crs.RADIUS!r} * ln(tan(pi() / 4 + radians(ymin) / 2)) AS y0, {crs.RADIUS!r} * ln(tan(pi() / 4 + radians(ymin + side) / 2)) AS y1 FROM {BOXES} WHERE ymin + side < 85)""")
+def reproject_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = views.boxes(spark, sf_dir).withColumnRenamed("fid", "box_id")
+    out = export.exported(layer, ExportSpec("boxes", "boxes", field_names=("box_id",), filter_expression="ymin + side < 85", target_srid=3857))
+    return out.select("box_id", *[F.round(c, 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.round(G.area(F.col("geom")) / 1000000, 3).alias("area"))
+
+
+@query(f"""SELECT c_custkey AS spec_id, CASE WHEN driver IN ('GeoRSS', 'GML', 'KML') AND wanted IN (4326, 3857, 32632) THEN 4326 WHEN driver = 'MBTiles' AND wanted NOT IN (4326, 3857) THEN NULL WHEN wanted NOT IN (4326, 3857, 32632) THEN NULL ELSE wanted END::int AS target,
+  CASE WHEN wanted NOT IN (4326, 3857, 32632) THEN 'unknown reference system' WHEN driver = 'MBTiles' AND wanted NOT IN (4326, 3857) THEN 'system not allowed' END AS reason
+  FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'KML' WHEN 1 THEN 'MBTiles' WHEN 2 THEN 'CSV' ELSE 'GML' END AS driver, CASE c_custkey % 5 WHEN 0 THEN 3857 WHEN 1 THEN 32632 WHEN 2 THEN 2154 ELSE 4326 END AS wanted FROM customer)""")
+def spec_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = views.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS spec_id", "CASE c_custkey % 4 WHEN 0 THEN 'KML' WHEN 1 THEN 'MBTiles' WHEN 2 THEN 'CSV' ELSE 'GML' END AS driver",
+        "CASE c_custkey % 5 WHEN 0 THEN 3857 WHEN 1 THEN 32632 WHEN 2 THEN 2154 END AS target_srid", "4326 AS layer_srid",
+    )
+    return export.target_srids(specs).select("spec_id", "target", "reason")
+
+
+@query(f"""SELECT spec_id, CASE WHEN own THEN -10.0::double WHEN srid = 4326 THEN -90.0::double ELSE {round(-90 * crs.DEGREE, 3)!r}::double END AS xmin, CASE WHEN own THEN 10.0::double WHEN srid = 4326 THEN 45.0::double ELSE round({crs.RADIUS!r} * ln(tan(pi() / 4 + radians(45.0) / 2)), 3) END AS ymax
+  FROM (SELECT c_custkey AS spec_id, c_custkey % 3 = 0 AS own, CASE c_custkey % 2 WHEN 0 THEN 4326 ELSE 3857 END AS srid FROM customer)""")
+def spec_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda v: f"CASE WHEN c_custkey % 3 = 0 THEN {v}d END"
+    specs = views.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS spec_id", "CASE c_custkey % 2 WHEN 0 THEN 4326 ELSE 3857 END AS layer_srid", f"{own(-10.0)} AS xmin", f"{own(-10.0)} AS ymin", f"{own(10.0)} AS xmax", f"{own(10.0)} AS ymax",
+    )
+    out = export.effective_extents(specs, (-90.0, -45.0, 90.0, 45.0), 4326, (4326, 3857))
+    return out.select("spec_id", F.round("xmin", 3).alias("xmin"), F.round("ymax", 3).alias("ymax"))
 
 
 @query("SELECT count(*) FILTER (value > 50 AND event_type = 'click')::bigint AS matched, count(*)::bigint AS total, round(100.0 * count(*) FILTER (value > 50 AND event_type = 'click') / count(*), 1)::double AS percent FROM events")
@@ -179,7 +254,37 @@ def box_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT user_id, round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 6) AS length, min(x) AS xmin, max(y) AS ymax
   FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM {FEATURES} WINDOW w AS (PARTITION BY user_id ORDER BY ts, fid)) GROUP BY user_id""")
 def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tracks(spark, sf_dir).select("user_id", F.round(G.length(F.col("geom")), 6).alias("length"), "xmin", "ymax")
+    """The lengths of users' tracks, summed over neighbours in order, so that no user's points meet in one row."""
+    points = with_previous(views.features(spark, sf_dir).select("user_id", "ts", "fid", "x", "y"), ["user_id"], ["ts", "fid"], ["x", "y"])
+    step = F.sqrt((F.col("x") - F.col("prev_x")) ** 2 + (F.col("y") - F.col("prev_y")) ** 2)
+    return points.groupBy("user_id").agg(F.round(F.coalesce(F.sum(step), F.lit(0.0)), 6).alias("length"), F.min("x").alias("xmin"), F.max("y").alias("ymax"))
+
+
+@query(f"""SELECT fid, round(side * side, 6) AS area, round(4 * side, 6) AS perimeter, round(xmin + side / 2, 6) AS cx, 0.0::double AS length, 1 AS n, round(32 * sin(2 * pi() / 32) / 2 * 4, 6) AS disc
+  FROM {BOXES} WHERE side * side > 2 AND 4 * side < 16 AND fid <> 7 AND round(side * 10)::int % 10 < 8""")
+def expr_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter text with measures and variables, and the measures themselves."""
+    rows = export.by_expression(
+        views.boxes(spark, sf_dir), "$area > 2 AND $perimeter < 16 AND $id <> 7 AND num_geometries($geometry) = 1 AND centroid(geom).x > -999 AND to_int(round(attribute('side') * 10)) % 10 < 8"
+    )
+    catalogue.register(spark)
+    return rows.withColumn("p", G.make_point(F.lit(1.0), F.lit(2.0))).selectExpr(
+        *map(catalogue.spark_sql, (
+            "fid", "round(area(geom), 6) AS area", "round($perimeter, 6) AS perimeter", "round(centroid(geom).x, 6) AS cx", "$length AS length", "num_geometries(geom) AS n", "round(area(buffer(p, 2)), 6) AS disc",
+        ))
+    )
+
+
+@query("""SELECT event_id AS fid, event_type::varchar AS text, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS titled, try_cast('2024-01-' || lpad((1 + event_id % 40)::varchar, 2, '0') AS date)::varchar AS day
+  FROM events WHERE value < 80 AND event_id <> 5 AND event_type LIKE '%i%' AND value IS NOT NULL AND NOT (event_type IS NULL) AND (event_id % 40 < 31 OR event_id % 2 = 0)""")
+def expr_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter text with quoted names, lenient conversions and attributes by name."""
+    layer = views.features(spark, sf_dir)
+    text = """"value" < 80 AND $id != 5 AND like("event_type", '%i%') AND attribute($currentfeature, 'value') IS NOT NULL AND NOT ("event_type" IS NULL)
+      AND (to_date('2024-01-' || lpad(to_string(1 + $id % 40), 2, '0')) IS NOT NULL OR to_int(to_string($id % 2)) = 0) AND to_datetime('no date') IS NULL AND today() <= to_date(now())"""
+    catalogue.register(spark)
+    columns = ("fid", 'to_string("event_type") AS text', "title(event_type) AS titled", "to_string(to_date('2024-01-' || lpad(to_string(1 + $id % 40), 2, '0'))) AS day")
+    return export.by_expression(layer, text).selectExpr(*map(catalogue.spark_sql, columns))
 
 
 # --- names, specs, registry -----------------------------------------------------------------------------------------
@@ -245,10 +350,9 @@ def layer_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS name, true AS success, count(*)::bigint AS features_written FROM events GROUP BY event_type UNION ALL SELECT 'broken', false, 0")
 def batch_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One export for each kind of event, and one spec whose filter names no column: it fails alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
     layer = views.features(spark, sf_dir)
     kinds = [r["event_type"] for r in layer.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of kinds
-    path = f"{folder.rstrip('/')}/geoloom/export-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "export")
     specs = [ExportSpec("events", k, filter_expression=f"event_type = '{k}'", output_path=path) for k in kinds]
     specs.insert(1, ExportSpec("events", "broken", filter_expression="no_such_column > 1", output_path=path))
     return batch.run(spark, specs, lambda spec: (layer, 4326)).select("name", "success", "features_written")
@@ -332,12 +436,73 @@ def bundle_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.verified(indexed, tampered)
 
 
-@query("SELECT '' AS name, '' AS side WHERE false")
+@query(f"SELECT name, sha256(text) AS hash, strlen(text)::bigint AS raw_size FROM {ENTRIES}")
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a packed and opened snapshot differs in from its entries: nothing."""
-    entries = views.entries(spark, sf_dir)
-    opened = bundle.index(entries).select("name", "hash").join(bundle.blobs(entries).select("hash", "content"), "hash")
-    return bundle.differences(entries, opened)
+    """A snapshot packed, opened, restored to a folder and read from there."""
+    path = scratch_path(spark, "bundle")
+    bundle.pack(views.entries(spark, sf_dir).select("name", "content"), f"{path}/packed")
+    bundle.restore(bundle.open_bundle(spark, f"{path}/packed"), f"{path}/files")
+    return bundle.hashed(bundle.read_files(spark, f"{path}/files"))
+
+
+@query(f"SELECT name, 'resource' AS type, strlen(text)::bigint AS size, sha256(text) AS hash, name || '.orig' AS path, 4 AS version FROM {ENTRIES}")
+def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot's manifest written as one JSON document and read again."""
+    entries = views.entries(spark, sf_dir).select("name", "content")
+    rewrites = entries.select(names.to_bundle_uri(F.col("name")).alias("uri"), F.concat("name", F.lit(".orig")).alias("path"))
+    none = entries.limit(0).select(F.col("name").alias("primary"), F.array("name").alias("companions"))
+    document = bundle.manifest_json(bundle.manifest_entries(entries), none, rewrites, "2024-01-01T00:00:00", "1.0")
+    read = bundle.read_manifest(document.select(F.encode("manifest", "UTF-8").alias("content")))
+    rows = read.select("manifest.version", F.explode("manifest.entries").alias("name", "e"), F.col("manifest.uri_rewrites").alias("r"))
+    return rows.select("name", "e.type", "e.size", "e.hash", F.element_at("r", names.to_bundle_uri(F.col("name"))).alias("path"), "version")
+
+
+@query(f"""SELECT doc_id || '.arc' AS path, 0 AS entry, lang || '/' || doc_id || '.txt' AS name, 7::bigint AS flags, strlen(text)::bigint AS data_size, (doc_id * 2654435761)::varchar AS hash, NULL AS problem FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0
+  UNION ALL SELECT doc_id || '.arc', 1, 'styles/' || doc_id || '.qml', 1, 0, '0', NULL FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0
+  UNION ALL SELECT doc_id || '.arc', NULL, NULL, NULL, NULL, NULL, 'truncated' FROM documents WHERE text IS NOT NULL AND doc_id % 13 = 0""")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of many archives, and the archives that cannot be read."""
+    files = views.archives(spark, sf_dir, b"ARCH")
+    rows = archives.listed(files, b"ARCH").select("path", "entry", "name", "flags", "data_size", F.col("hash").cast("string").alias("hash"))
+    return rows.unionByName(archives.quarantined(files, b"ARCH"), allowMissingColumns=True)
+
+
+@query(f"SELECT name, CASE WHEN position('.' IN name) > 0 THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END || '_files' AS folder, doc_id || '.txt' AS relative, true AS text_like FROM {ENTRIES}")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    relative = names.relative_to(F.concat(F.lit("/root/"), F.substring_index("name", "/", -1)), "/root")
+    return views.entries(spark, sf_dir).select("name", names.restore_folder(name).alias("folder"), relative.alias("relative"), names.text_like(name).alias("text_like"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '^(wms:|wmts:|xyz:|wcs:|http://|https://)') AND page_id % 2 = 0")
+def remote_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = views.table(spark, sf_dir, "pages").select("page_id", F.expr("CASE WHEN page_id % 2 = 0 THEN url ELSE concat('/d/', url) END").alias("source"))
+    return batch.remote_rasters(layers).select("page_id", F.col("source").alias("url"))
+
+
+@query(f"SELECT layer_id, f.driver FROM {_KINDS} l JOIN ({registry.values_sql(registry.ROWS, 'driver, kind, label, ext, ord, spark_format')}) f ON l.kind = f.kind WHERE spark_format IS NOT NULL AND layer_id % 5 <> 0 UNION ALL SELECT layer_id, 'KML' FROM {_KINDS} WHERE layer_id % 5 = 0")
+def spec_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats for each layer, its own where it has any; settings of layers that are gone do not count."""
+    layers = views.layers(spark, sf_dir)
+    settings = views.table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS INT) AS layer_id", "'KML' AS driver").filter("layer_id % 5 = 0").unionByName(layers.filter("layer_id = 0").selectExpr("layer_id", "'KML' AS driver"))
+    written = registry.formats(spark).filter("spark_format IS NOT NULL")
+    return batch.fanned_out(layers, written, batch.current_settings(settings, layers)).select("layer_id", "driver")
+
+
+@query(f"SELECT (SELECT count(*) FROM {_KINDS})::bigint AS loaded, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_acctbal > 0)::bigint AS selected, (SELECT count(*) FROM {_KINDS} WHERE kind = 'vector')::bigint AS filtered")
+def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = views.table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_nationkey").alias("layer_id"))
+    return batch.layer_counts(views.layers(spark, sf_dir), chosen, "kind = 'vector'")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus <> 'F')::bigint AS ok, count(*) FILTER (o_orderstatus = 'F')::bigint AS failed, sum(o_orderkey % 7)::double AS seconds, count(*) FILTER (o_orderstatus = 'F')::bigint AS failed_lines FROM orders")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of many exports summed up, and their report lines."""
+    results = views.table(spark, sf_dir, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS name", "'CSV' AS driver", "o_orderstatus <> 'F' AS success", "'/out' AS output_path", "'bad' AS error", "o_orderkey AS features_written", "CAST(o_orderkey % 7 AS DOUBLE) AS seconds"
+    )
+    lines = batch.result_lines(results).agg(F.count_if(F.col("line").startswith("FAILED ")).alias("failed_lines"))
+    return batch.summary(results).crossJoin(lines)  # one row each
 
 
 @query("SELECT name, CASE WHEN name IN ('project.qgs') THEN 'project' WHEN starts_with(name, 'vectors/') OR starts_with(name, 'vector/') THEN 'vector' WHEN starts_with(name, 'rasters/') OR starts_with(name, 'raster/') THEN 'raster' WHEN ends_with(name, '.qml') OR ends_with(name, '.sld') THEN 'style' ELSE 'resource' END AS type, strlen(text)::bigint AS size, sha256(text) AS hash FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'vectors/' WHEN 1 THEN 'raster/' ELSE '' END || doc_id || CASE doc_id % 3 WHEN 0 THEN '.qml' ELSE '.txt' END AS name, text FROM documents)")
@@ -394,17 +559,43 @@ def group_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.group_paths(views.tree(spark, sf_dir))
 
 
+@query("""WITH n AS (SELECT 'r' || r_regionkey AS id, 0 AS depth, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::int AS children FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 1, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::int FROM nation UNION ALL SELECT 's' || s_suppkey, 2, 0 FROM supplier) SELECT * FROM n""")
+def layer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer tree as JSON lines, read again."""
+    node = F.from_json("value", "id string, depth int, children array<string>")
+    return tree.tree_json(views.tree(spark, sf_dir)).select(node.alias("n")).select("n.id", "n.depth", F.size("n.children").alias("children"))
+
+
 # --- raster cells -----------------------------------------------------------------------------------------------------
 
 
 @query(f"""SELECT trow, tcol, arg_min(v, {{'d': (x - (tcol + 0.5) * 4) ** 2 + (y - (trow + 0.5) * 3) ** 2, 'y': y, 'x': x}}) AS value FROM (SELECT *, nullif(value, -9999) AS v, floor(x / 4)::bigint AS tcol, floor(y / 3)::bigint AS trow
-  FROM {CELLS} WHERE x BETWEEN 10 AND 80 AND y BETWEEN 5 AND 60) WHERE v IS NOT NULL GROUP BY trow, tcol""")
+  FROM {CELLS}, (SELECT max(y) AS top FROM {CELLS}) WHERE x BETWEEN 10 AND 80 AND y BETWEEN floor(top * 0.1) AND floor(top * 0.9)) WHERE v IS NOT NULL GROUP BY trow, tcol""")
 def raster_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = raster.cropped(views.cells(spark, sf_dir), (10.0, 5.0, 80.0, 60.0))
+    """The inner part of the raster on a coarser grid."""
+    cells = views.cells(spark, sf_dir)
+    top = export.layer_extent(cells).first()["ymax"]
+    cut = raster.cropped(cells, (10.0, float(int(top * 0.1)), 80.0, float(int(top * 0.9))))
     filled = raster.without_nodata(cut, -9999.0).filter("value IS NOT NULL")
     return raster.resampled(filled, 0.0, 0.0, 4.0, 3.0).select("trow", "tcol", "value")
 
 
+@query(f"""SELECT floor(my / 1000000)::bigint AS trow, floor(mx / 1000000)::bigint AS tcol, round(avg(value), 6) AS value, 3857 AS srid FROM (SELECT x * {crs.DEGREE!r} AS mx, {crs.RADIUS!r} * ln(tan(pi() / 4 + radians(y) / 2)) AS my, value FROM {FEATURES}) GROUP BY 1, 2""")
+def raster_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in Web Mercator."""
+    cells = views.features(spark, sf_dir).select("x", "y", "value")
+    return raster.warped(cells, 4326, 3857, 0.0, 0.0, 1e6, 1e6, "average").select("trow", "tcol", F.round("value", 6).alias("value"), "srid")
+
+
+@query(f"SELECT count(*)::bigint AS n, round(sum(value), 3) AS total FROM {CELLS} WHERE row % 3 = 1")
+def raster_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rasters in one container, of which one is read."""
+    path = scratch_path(spark, "rasters")
+    raster.write_container(views.cells(spark, sf_dir).withColumn("layer", F.concat(F.lit("r"), F.col("row") % 3)), path)
+    return raster.read_container(spark, path, "r1").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @query(f"SELECT floor(y / 5)::bigint AS trow, floor(x / 5)::bigint AS tcol, round(avg(nullif(value, -9999)), 6) AS value FROM {CELLS} GROUP BY 1, 2")
 def raster_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster.without_nodata(views.cells(spark, sf_dir), -9999.0)

@@ -1,4 +1,4 @@
-"""Listing of packed archives in plain SQL functions: header and seek table are decoded, payloads are not.
+"""Listing of packed archives: header and seek table are decoded, payloads are not.
 
 Layout (all little-endian): 4 bytes of magic, version as 32 bits, then 64-bit fields. Versions 3 and 4: flags, seek
 offset, payload offset, payload size, raw total; at the seek offset the number of entries (32 bits), entries of 44 bytes
@@ -9,12 +9,12 @@ bits) and data, entry by entry.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ENTRY_BYTES = 44
-
 
 def unsigned(data: Column, at, width: int) -> Column:
     """Little-endian number of `width` bytes at byte `at` (from 0)."""
@@ -55,20 +55,37 @@ def quarantined(files: DataFrame, magic: bytes) -> DataFrame:
 
 
 def listed(files: DataFrame, magic: bytes) -> DataFrame:
-    """(path, entry, name, flags, data_size, raw_size, hash) of archives of versions 3 and 4."""
+    """(path, entry, name, flags, data_size, raw_size, hash) of archives of versions 3 and 4: of an archive only its
+    seek table and names go on, and each is gone through once."""
+
+    def entries(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        row = np.dtype([("flags", "<u4"), ("length", "<u4"), ("at", "<u4"), ("data_at", "<u8"), ("data_size", "<u8"), ("raw_size", "<u8"), ("hash", "<u8")])
+        for batch in batches:
+            for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = min(int.from_bytes(index[:4], "little"), (len(index) - 4) // row.itemsize)
+                found = np.frombuffer(index, row, max(n, 0), 4) if n > 0 else np.empty(0, row)
+                heap = index[4 + n * row.itemsize :]
+                stops = np.cumsum(found["length"], dtype=np.int64)
+                names = [heap[stop - size : stop].decode("utf-8", "replace") for stop, size in zip(stops.tolist(), found["length"].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array(names, pa.string()),
+                        *(pa.array(found[c].astype(np.int64)) for c in ("flags", "data_size", "raw_size")),
+                        pa.array(map(Decimal, found["hash"].tolist()), pa.decimal128(20, 0)),
+                    ],
+                    names=["path", "entry", "name", "flags", "data_size", "raw_size", "hash"],
+                )
+
     good = headers(files, magic).filter("problem IS NULL AND version IN (3, 4)")
-    data, table = F.col("content"), F.col("seek_offset")
-    counted = good.withColumn("entries", unsigned(data, table, 4).cast("int")).filter("entries > 0")
-    base = table + 4 + F.col("entry") * ENTRY_BYTES
-    rows = counted.withColumn("entry", F.explode(F.sequence(F.lit(0), F.col("entries") - 1))).select(
-        "path", "entry", "content", "entries", "seek_offset", unsigned(data, base, 4).cast("long").alias("flags"), unsigned(data, base + 4, 4).cast("int").alias("name_length"),
-        unsigned(data, base + 20, 8).cast("long").alias("data_size"), unsigned(data, base + 28, 8).cast("long").alias("raw_size"), unsigned(data, base + 36, 8).alias("hash"),
-    )
-    before = W.partitionBy("path").orderBy("entry").rowsBetween(W.unboundedPreceding, -1)  # one archive's entries
-    heap = table + 4 + F.col("entries") * ENTRY_BYTES
-    start = heap + F.coalesce(F.sum("name_length").over(before), F.lit(0)) + 1
-    name = F.decode(F.substr(data, start.cast("int"), F.col("name_length")), "UTF-8")
-    return rows.select("path", "entry", name.alias("name"), "flags", "data_size", "raw_size", "hash")
+    start = F.col("seek_offset")
+    stop = F.when(F.col("payload_offset") > start, F.col("payload_offset")).otherwise(F.octet_length("content"))
+    index = F.substr("content", (start + 1).cast("int"), (stop - start).cast("int"))
+    return good.select("path", index.alias("index")).mapInArrow(
+        entries, "path string, entry int, name string, flags long, data_size long, raw_size long, hash decimal(20,0)"
+    )
 
 
 def listed_v2(files: DataFrame, magic: bytes) -> DataFrame:

@@ -44,6 +44,47 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("geom", G.make_box(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")))
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` as squares, open lines, pairs of squares and points, by turns; every 11th has no geometry."""
+    at = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS shape_id", "p_partkey % 4 AS turn", "CAST(p_partkey % 100 AS DOUBLE) AS x0", "CAST(p_partkey % 50 AS DOUBLE) AS y0", "CAST(p_size AS DOUBLE) AS side",
+    )
+    x, y, side = F.col("x0"), F.col("y0"), F.col("side")
+    square = G.make_box(x, y, x + side, y + side)
+    line = G.make_line(F.array(G.point(x, y), G.point(x + side, y), G.point(x + side, y + side)))
+    pair = F.struct(
+        F.lit("MultiPolygon").alias("gtype"), F.lit(4326).alias("srid"), F.lit(False).alias("has_z"),
+        F.concat(square["parts"], G.make_box(x + 60, y, x + 60 + side, y + side)["parts"]).alias("parts"),
+    ).cast(G.GEOM_TYPE)
+    turn = F.col("turn")
+    geom = F.when(F.col("shape_id") % 11 == 0, F.lit(None)).when(turn == 0, square).when(turn == 1, line).when(turn == 2, pair).otherwise(G.make_point(x, y))
+    made = at.withColumn("geom", geom)
+    return made.withColumns(G.box(F.col("geom")))
+
+
+def archives(spark: SparkSession, sf_dir: str, magic: bytes) -> DataFrame:
+    """`documents` as packed archives (path, content) of version 4, each of a text and an empty entry; every 13th is cut off."""
+
+    def number(value, width: int):
+        digits = F.lpad(F.hex(value), 2 * width, "0")
+        return F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1)])
+
+    text, style = F.format_string("%s/%d.txt", "lang", "doc_id"), F.format_string("styles/%d.qml", "doc_id")
+    size = F.octet_length("text").cast("long")
+    long = lambda v: F.lit(v).cast("long")
+
+    def seek_row(name, flags: int, at, n, mark):
+        return F.concat(number(long(flags), 4), number(F.length(name).cast("long"), 4), number(long(0), 4), number(at, 8), number(n, 8), number(n, 8), number(mark, 8))
+
+    rows = F.concat(seek_row(text, 7, long(0), size, F.col("doc_id") * 2654435761), seek_row(style, 1, size, long(0), long(0)))
+    index = F.concat(number(long(2), 4), rows, F.hex(F.encode(text, "UTF-8")), F.hex(F.encode(style, "UTF-8")))
+    head = F.concat(F.hex(F.lit(magic)), number(long(4), 4), number(long(0), 8), number(long(48), 8), number((long(48) + F.length(index) / 2).cast("long"), 8), number(size, 8), number(size, 8))
+    whole = F.concat(head, index, F.hex(F.encode("text", "UTF-8")))
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    cut = F.when(F.col("doc_id") % 13 == 0, F.substring(whole, 1, 40)).otherwise(whole)
+    return docs.select(F.format_string("%d.arc", "doc_id").alias("path"), F.unhex(cut).alias("content"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as raster cells; -9999 is no data."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import names
 from geoloom.operators import bundle
-from geoloom.operators.ranks import ranked_within, running_sum
+from geoloom.operators.ranks import ranked_within, running_sum, with_previous
 from geoloom.sources import archives, views
 
 MAGIC = b"ARCH"
@@ -35,7 +36,9 @@ def test_pack_open_restore(spark, entries, tmp_path):
     assert bytes(bundle.entry(spark, f"{tmp_path}/b", "empty").first().content) == b"" and bundle.entry(spark, f"{tmp_path}/b", "no").count() == 0
     assert bundle.restore(opened, f"{tmp_path}/out") == 5
     back = bundle.read_files(spark, f"file://{tmp_path}/out")
-    assert [(r.name, r.side) for r in bundle.differences(entries, back.select("name", "content")).collect()] == [("empty", "left")]
+    assert bundle.differences(entries, back.select("name", "content")).count() == 0
+    assert [r.name for r in bundle.in_path_order(back.select("name")).collect()] == sorted(r.name for r in entries.collect())
+    assert bundle.read_files(spark, f"file://{tmp_path}/out").select("name").distinct().count() == back.count() == 5
     escape = spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary")
     with pytest.raises(ValueError, match="leaves the folder"):
         bundle.restore(escape, f"{tmp_path}/out")
@@ -57,6 +60,8 @@ def test_verify(spark, entries):
         (["a_1.txt", "a.txt", "a.txt"], ["a_1.txt", "a.txt", "a_2.txt"]),
         (["x", "x", "x"], ["x", "x_1", "x_2"]),
         (["a.txt", "b.txt", "a.csv", ".h", ".h"], ["a.txt", "b.txt", "a.csv", ".h", ".h_1"]),
+        (["a_1", "a_2", "a_4", "a", "a", "a", "a_01", "a_2"], ["a_1", "a_2", "a_4", "a", "a_3", "a_5", "a_01", "a_2_1"]),
+        (["a", "a", "a_1", "a_1", "a_1_1", "a"], ["a", "a_1", "a_1_1", "a_1_2", "a_1_1_1", "a_2"]),
     ],
 )
 def test_bundle_names(spark, files, want):
@@ -64,6 +69,37 @@ def test_bundle_names(spark, files, want):
     assert [r.name for r in bundle.bundle_names(df).orderBy("pos").collect()] == [f"resources/{w}" for w in want]
 
 
+def test_bundle_names_against_taking_turns(spark):
+    rng = random.Random(3)
+    for most in (2, 4, 9):
+        files = [(i, f"/d/{rng.choice('ab')}{''.join(f'_{rng.randint(1, most)}' for _ in range(rng.choice((0, 0, 1, 2))))}.txt", "r") for i in range(60)]
+        taken, want = set(), []
+        for _, path, _ in files:
+            stem = path[3:-4]
+            free = next(n for n in (f"{stem}{f'_{k}' if k else ''}.txt" for k in range(100)) if n not in taken)
+            taken.add(free)
+            want.append(f"r/{free}")
+        df = spark.createDataFrame(files, "pos int, path string, folder string").repartition(3)
+        assert [r.name for r in bundle.bundle_names(df).orderBy("pos").collect()] == want
+
+
+def test_manifest_size(entries):
+    none = entries.limit(0)
+    with pytest.raises(ValueError, match="stays in tables"):
+        bundle.manifest_json(bundle.manifest_entries(entries), none, none, "", "", most=4)
+
+
+def test_previous(spark):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i, f"v{i}") for i in range(100)], "k int, v int, t string").repartition(6)
+    got = {r.v: r.prev_t for r in with_previous(df, ["k"], ["v"], ["t"]).collect()}
+    last, want = {}, {}
+    for i in range(100):
+        k = i % 3 if i % 7 else None
+        want[i] = last.get(k)
+        last[k] = f"v{i}"
+    assert got == want and with_previous(df.limit(0), ["k"], ["v"], ["t"]).count() == 0
+
+
 def test_gathering(spark):
     paths = lambda *p: spark.createDataFrame([(i, x) for i, x in enumerate(p)], "pos int, path string")
     listing = paths("/a/r.shp", "/a/r.qml", "/a/r.aux.xml", "/a/s.tif", "/b/r.qml", "/a/t.qml")

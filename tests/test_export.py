@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,3 +182,47 @@ def test_geojson_of_boxes(spark, sf_dir):
     row = sinks.geojson_rows(views.boxes(spark, sf_dir).select("name", "geom")).first()
     assert row.type == "Feature" and row.geometry.type == "Polygon" and len(row.geometry.coordinates[0]) == 5
     assert G.GEOM_TYPE
+
+
+def test_overrides_and_reprojection_together(spark, sf_dir):
+    far = G.make_line(F.array(G.point(F.lit(0.0), F.lit(80.0)), G.point(F.lit(0.0), F.lit(95.0))))
+    layer = views.shapes(spark, sf_dir).withColumn("geom", F.when(F.col("shape_id") == 1, far).otherwise(F.col("geom")))
+    spec = ExportSpec("s", "o", field_names=("shape_id",), geometry_type="LineString", force_z=True, force_multi=True, target_srid=3857)
+    good, bad = export.exported(layer, spec).collect(), export.rejected(layer, spec).collect()
+    assert len(good) + len(bad) == layer.count() and {r.reason for r in bad} == {export.ILLEGAL, export.OUTSIDE}
+    assert {f.name for f in export.rejected(layer, spec).schema} == {*layer.columns, "reason"}
+    assert any(r.geom is None for r in good)
+    for r in good:
+        if r.geom is not None:
+            xs = [q.x for q in r.geom.parts[0].rings[0]]
+            assert r.geom.gtype == "MultiLineString" and r.geom.has_z and r.geom.srid == 3857 and (r.xmin, r.xmax) == (min(xs), max(xs))
+    none = export.exported(layer, ExportSpec("s", "o", geometry_type="NoGeometry", target_srid=3857))
+    assert none.count() == layer.count() and not {"geom", "xmin"} & set(none.columns)
+
+
+def test_shape_files(spark, sf_dir, tmp_path):
+    layer = views.shapes(spark, sf_dir).select("shape_id", "geom")
+    specs = [ExportSpec("s", "o", driver=d, output_path=f"file://{tmp_path}") for d in ("GeoJSONSeq", "OGR_GMT", "CSV", "PGDUMP")]
+    paths = sinks.write_many(export.exported(layer, specs[0]), specs)
+    features = [json.loads(r.value) for r in spark.read.text(paths[0]).collect()]
+    assert len(features) == layer.count()
+    by_type = {f["geometry"]["type"]: f["geometry"]["coordinates"] for f in features if f["geometry"]}
+    assert set(by_type) == {"Point", "LineString", "Polygon", "MultiPolygon"} and len(by_type["MultiPolygon"]) == 2 and isinstance(by_type["Point"][0], float)
+    rings = layer.filter("geom IS NOT NULL").selectExpr("sum(aggregate(geom.parts, 0, (a, p) -> a + size(p.rings)))").first()[0]
+    assert spark.read.text(paths[1]).filter("value = '>'").count() == rings
+    rows = spark.read.option("header", "true").csv(paths[2])
+    assert rows.filter("wkt LIKE 'MULTIPOLYGON%'").count() == layer.filter("geom.gtype = 'MultiPolygon'").count() > 0
+    assert spark.read.text(paths[3]).filter("value LIKE '%MULTIPOLYGON (((%'").count() == rows.filter("wkt LIKE 'MULTIPOLYGON%'").count()
+    existing = spark.createDataFrame([(paths[0],), ("/other",)], "path string")
+    planned = spark.createDataFrame([(sinks.output_path(s),) for s in specs], "path string")
+    assert [r.path for r in sinks.clashes(planned, existing).collect()] == [paths[0]]
+
+
+def test_names_and_counts(spark, sf_dir):
+    specs = spark.createDataFrame([("a_b", "my roads"), ("", "x"), (None, "y" * 80)], "group_path string, name string")
+    assert [r.table_name for r in sinks.table_names(specs).collect()] == ["a_b_my_roads", "x", "y" * 63]
+    assert {r.kind: r.n for r in registry.counts_by_kind(registry.formats(spark)).collect()} == {"vector": 36, "raster": 32}
+    layers = spark.createDataFrame([("WMS:url=x",), ("/a/b.tif",), ("https://h/x.tif",), (None,)], "source string")
+    assert [r.source for r in batch.remote_rasters(layers).collect()] == ["WMS:url=x", "https://h/x.tif"]
+    boxes = views.boxes(spark, sf_dir)
+    assert [r.fid for r in export.in_row_order(boxes.select("fid")).collect()] == sorted(r.fid for r in boxes.collect())

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -99,3 +100,51 @@ def test_catalogue(spark):
         "age(TIMESTAMP '2024-01-03 00:00:00', TIMESTAMP '2024-01-01 00:00:00')"
     ).first()
     assert row[:8] == ("Ab Cd", True, 0.0, 2, None, 1000.0, "5", None) and row[8].hour == 3 and row[9].days == 2
+
+
+def test_texts_of_all_shapes(spark):
+    p = lambda x, y: G.point(F.lit(x), F.lit(y))
+    box = lambda a: G.make_box(F.lit(a), F.lit(0.0), F.lit(a + 1), F.lit(1.0))
+    line, dot = G.make_line(F.array(p(0, 0), p(1, 2))), G.make_point(F.lit(1.0), F.lit(2.0))
+    many = lambda kind, *g: g[0].withField("gtype", F.lit(kind)).withField("parts", F.concat(*[x["parts"] for x in g]))
+    ring = lambda a: f"(({a}.0 0.0, {a + 1}.0 0.0, {a + 1}.0 1.0, {a}.0 1.0, {a}.0 0.0))"
+    wanted = {
+        "MULTIPOINT ((1.0 2.0), (1.0 2.0))": many("MultiPoint", dot, dot), "MULTILINESTRING ((0.0 0.0, 1.0 2.0), (0.0 0.0, 1.0 2.0))": many("MultiLineString", line, line),
+        f"MULTIPOLYGON ({ring(0)}, {ring(5)})": many("MultiPolygon", box(0.0), box(5.0)),
+        f"GEOMETRYCOLLECTION (POLYGON {ring(0)}, POINT (1.0 2.0), LINESTRING (0.0 0.0, 1.0 2.0))": many("GeometryCollection", box(0.0), dot, line),
+        "POINT Z (1.0 2.0 0.0)": G.forced_z(dot), "MULTIPOINT ((1.0 2.0)) ".strip(): G.forced_multi(dot),
+    }
+    assert list(one(spark, *[G.wkt(g) for g in wanted.values()])) == list(wanted)
+    shapes = [json.loads(t) for t in one(spark, *[G.geojson(g) for g in wanted.values()])]
+    square = lambda a: [[[a, 0], [a + 1, 0], [a + 1, 1], [a, 1], [a, 0]]]
+    assert [s.get("coordinates") for s in shapes] == [[[1, 2], [1, 2]], [[[0, 0], [1, 2]], [[0, 0], [1, 2]]], [square(0), square(5)], None, [1, 2, 0], [[1, 2]]]
+    assert [g["coordinates"] for g in shapes[3]["geometries"]] == [square(0), [1, 2], [[0, 0], [1, 2]]]
+    assert tuple(one(spark, *G.box(many("MultiPolygon", box(0.0), box(5.0))).values())) == (0.0, 0.0, 6.0, 1.0)
+    assert one(spark, G.wkt(F.lit(None).cast(G.GEOM_TYPE)), G.geojson(F.lit(None).cast(G.GEOM_TYPE)))[:] == (None, None)
+
+
+def test_filter_texts(spark):
+    sql = catalogue.spark_sql
+    assert sql("\"pop\" > 10 AND $area >= 2") == "`pop` > 10 AND area(geom) >= 2"
+    assert sql("attribute($currentfeature, 'my name') = 'it''s'") == r"`my name` = 'it\'s'"
+    assert sql("to_date('2024-01-01') < now() AND length($geometry) > 3 AND length(name) > 2 AND name LIKE '$x%'") == "as_date('2024-01-01') < now() AND line_length(geom) > 3 AND length(name) > 2 AND name LIKE '$x%'"
+    with pytest.raises(ValueError, match="unknown variable"):
+        sql("$nothing = 1")
+
+
+def test_measures_as_sql_functions(spark):
+    catalogue.register(spark)
+    p = lambda x, y: G.point(F.lit(x), F.lit(y))
+    square, hole = F.array(p(0, 0), p(4, 0), p(4, 4), p(0, 4), p(0, 0)), F.array(p(1, 1), p(2, 1), p(2, 2), p(1, 2), p(1, 1))
+    shapes = spark.range(1).select(
+        G.geometry("Polygon", 4326, F.array(square, hole)).alias("poly"), G.make_line(F.array(p(0, 0), p(3, 4), p(3, 10))).alias("line"), G.make_point(F.lit(1.0), F.lit(2.0)).alias("dot")
+    )
+    for g in ("poly", "line", "dot"):
+        c = G.centroid(F.col(g))
+        row = shapes.select(
+            F.expr(f"area({g})"), G.area(F.col(g)), F.expr(f"perimeter({g})"), G.perimeter(F.col(g)), F.expr(f"line_length({g})"), G.length(F.col(g)),
+            F.expr(f"centroid({g}).x"), c["x"], F.expr(f"centroid({g}).y"), c["y"], F.expr(f"num_geometries({g})"), G.num_geometries(F.col(g)),
+            F.expr(f"area(buffer({g}, 2))"), G.area(G.point_buffer(F.col(g), F.lit(2.0))),
+        ).first()
+        assert row[0::2] == pytest.approx(row[1::2]), g
+    assert shapes.selectExpr("point_x(dot)", "point_y(dot)", "point_x(line)").first()[:] == (1.0, 2.0, None)
