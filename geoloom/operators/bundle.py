@@ -131,7 +131,8 @@ def rewrite_attributes(documents: DataFrame, pairs: DataFrame, key: str, text: s
     """Rewriting by many pairs (f, t): references are taken out of src and href attributes, joined, and only a
     document's own pairs are replaced in it, attribute and quotes included, so no path can hit part of another."""
     refs = documents.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit('(?:src|href)="([^"]+)"'), 1))).alias("f"))
-    own = refs.join(pairs, "f").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("pairs"))  # one document's references
+    # Written down, so that the join has exchanges of its own and a very popular reference can be split.
+    own = refs.join(durable(pairs), "f").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("pairs"))  # one document's
     one = lambda acc, p, name: F.replace(acc, F.concat(F.lit(f'{name}="'), p["f"], F.lit('"')), F.concat(F.lit(f'{name}="'), p["t"], F.lit('"')))
     done = F.aggregate("pairs", F.col(text), lambda acc, p: one(one(acc, p, "src"), p, "href"))
     return documents.join(own, key, "left").withColumn(text, F.when(F.col("pairs").isNull(), F.col(text)).otherwise(done)).drop("pairs")

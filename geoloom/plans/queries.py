@@ -445,6 +445,14 @@ def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.hashed(bundle.read_files(spark, f"{path}/files"))
 
 
+@query(f"SELECT name, sha256(text) AS hash, strlen(text)::bigint AS raw_size, strlen(text)::bigint AS n_bytes FROM {ENTRIES}")
+def bundle_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot packed, and opened again."""
+    path = scratch_path(spark, "bundle")
+    bundle.pack(views.entries(spark, sf_dir).select("name", "content"), path)
+    return bundle.open_bundle(spark, path).select("name", "hash", "raw_size", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 @query(f"SELECT name, 'resource' AS type, strlen(text)::bigint AS size, sha256(text) AS hash, name || '.orig' AS path, 4 AS version FROM {ENTRIES}")
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot's manifest written as one JSON document and read again."""
