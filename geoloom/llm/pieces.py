@@ -6,6 +6,9 @@ is that of its parts; parts are kept with their ids in a table of bounded size,
 Models with markers inside pieces are segmented whole. A character that no piece covers becomes its UTF-8 bytes'
 pieces where the model has them, else the unknown id, at a penalty below every score.
 
+Of the model's normaliser only two settings are followed, the marker put in front and the squeezing of spaces; its
+character map is not, so texts are taken as they are (the map of the vocabulary used here changes nothing).
+
 Decoding joins the pieces, collects byte pieces into characters, turns markers into spaces and drops the first one
 that encoding has put in front.
 
@@ -19,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.llm.common import table
 from geoloom.llm.packing import texts_of
@@ -251,6 +254,11 @@ def model(path: str) -> Model:
     return _models[path]
 
 
+def fields_of(rows: DataFrame, key: str, **others: T.DataType) -> T.StructType:
+    """The key's field as it is in `rows`, and others."""
+    return T.StructType([T.StructField(key, rows.schema[key].dataType), *(T.StructField(n, t) for n, t in others.items())])
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): the pieces of every text."""
 
@@ -262,7 +270,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             ids = pa.array([encode(t) for t in texts_of(batch.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return docs.select(key, text).mapInArrow(run, fields_of(docs, key, ids=T.ArrayType(T.IntegerType())))
 
 
 def decoded(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -276,7 +284,7 @@ def decoded(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -
             texts = pa.array([decode(i or []) for i in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[key, "text"])
 
-    return rows.select(key, ids).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")
+    return rows.select(key, ids).mapInArrow(run, fields_of(rows, key, text=T.StringType()))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,8 +314,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 names=[key, "n_tokens", "n_byte_tokens", "ids_crc32", "decoded_crc32", "round_trip"],
             )
 
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
-    return docs.select(key, text).mapInArrow(run, schema)
+    numbers = dict.fromkeys(("n_tokens", "n_byte_tokens", "ids_crc32", "decoded_crc32"), T.LongType())
+    return docs.select(key, text).mapInArrow(run, fields_of(docs, key, **numbers, round_trip=T.BooleanType()))
 
 
 def default_model() -> str:

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import pytest
 
 from geoloom.llm import pieces
@@ -101,3 +104,23 @@ def test_jobs(spark, docs_of):
     rows = pieces.digests(docs, path).collect()
     assert len(rows) == len(TEXTS) + 3 and sum(not r.round_trip for r in rows) == 1
     assert pieces.digests(docs.limit(0), path).count() == 0
+
+
+def test_the_query_on_the_given_table(spark, sf_dir, ours, library):
+    """Ids by the library's Unigram segmentation, or others whose scores add up to no less; decoded texts."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = pieces.op2_sentencepiece(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    same = 0
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        ids = library.encode(text)
+        if zlib.crc32(struct.pack(f"<{len(ids)}i", *ids)) == r.ids_crc32:
+            same += 1
+        else:
+            mine = ours.encode(text)
+            assert zlib.crc32(struct.pack(f"<{len(mine)}i", *mine)) == r.ids_crc32
+            assert score_of(ours, mine) >= score_of(ours, ids) - 1e-3
+        back = ours.decode(ours.encode(text))
+        assert r.decoded_crc32 == zlib.crc32(back.encode()) and r.round_trip == (back == text)
+    assert same > 0.5 * len(rows)
