@@ -5,7 +5,8 @@ long (its hash above, its position below), the row's longs are sorted as primiti
 give the positions. No shuffle, no Python, memory bounded by one text.
 
 Defined results: a null or blank text has no words, all counts are 0 and it fails the base rule; repeated rows
-and repeated ids are judged one by one; columns other than the text are passed through. The hash that stands for
+and repeated ids are judged one by one; other columns are passed through, and one with the name of a result gives way
+to it (`filtered` adds none, so there all stay). The hash that stands for
 a window keeps 64 - log2(n_words) bits, so two different windows of one text are taken for equal with a
 probability under n_words**3 / 2**65 (2e-12 for 400 words, 2e-7 for 20,000).
 """
@@ -133,20 +134,30 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def judged(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """Counts, base_failed and kept for every row.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", "base_failed", "kept")
+
+
+def numbered(df: DataFrame, text: str, rules) -> DataFrame:
+    """The columns of `df` as c0, c1, ..., which no working column is called, with the results.
 
     The row number in `kept` changes nothing in it, but keeps the optimiser from copying a filter's expression down
     through the steps of the repeat count, where each copy would be worked out anew (and doubles at every step)."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~F.col("base_failed") & compiled(rules) & (F.monotonically_increasing_id() >= 0)
-    return measured(df, text).withColumn("base_failed", failed).withColumn("kept", kept)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return measured(plain, f"c{df.columns.index(text)}").withColumn("base_failed", failed).withColumn("kept", kept)
+
+
+def judged(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """Counts, base_failed and kept for every row, behind its other columns."""
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c not in RESULTS]
+    return numbered(df, text, rules).select(*own, *RESULTS)
 
 
-def filtered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that are kept, with the columns of `docs`; working columns never meet theirs (they live in a struct)."""
-    inner = judged(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
-    return inner.filter("kept").select("_row.*")
+def filtered(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows that are kept, with the columns of `docs`."""
+    own = [F.col(f"c{i}").alias(c, metadata=docs.schema[c].metadata) for i, c in enumerate(docs.columns)]
+    return numbered(docs, text, rules).filter("kept").select(*own)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

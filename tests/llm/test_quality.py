@@ -38,3 +38,11 @@ def test_filter_keeps_rows_and_columns(docs_of, prose):
 def test_plan_has_no_python_and_no_shuffle(docs_of, prose):
     plan = quality.judged(docs_of([(1, prose(1, 60))]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns(spark, prose):
+    good = "the of and " + prose(3, 40) + " the is of " + prose(4, 40)
+    docs = spark.createDataFrame([(1, good, "w", "l", 7, "yes", "c")], "doc_id long, text string, _words string, _lines string, n_words int, kept string, c1 string")
+    row = quality.judged(docs).first()
+    assert (row.n_words, row.kept, row._words, row.c1) == (86, True, "w", "c")
+    assert quality.filtered(docs).collect() == docs.collect() and quality.filtered(docs).schema == docs.schema
