@@ -21,10 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-#: Where SQL cannot express the method (packing, minimax sharding), tests hold the query against brute force.
+#: Where SQL cannot express the result (ids of a tokenizer, packing, minimax sharding, a graph's own answers), tests hold
+#: the query against brute force.
 ORACLES: dict[str, str] = {
     "op1_warc": warc.oracle(),
+    "op3_minhash_dedup": minhash.oracle(),
     "op5_url_filters": urls.oracle(),
     "op6_license_scan": licenses.oracle(),
+    "op9_suffix_dedup": suffixes.oracle(),
     "op10_quality_rules": quality.oracle(),
 }

@@ -63,3 +63,24 @@ def test_best_fit_and_fullest_out():
     assert w.place(3) == (1, 7)  # fills window 1, which closes
     assert w.place(5) == (2, 0) and w.place(4) == (0, 6)
     assert w.place(6) == (3, 0)
+
+
+def test_the_query_on_the_given_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    t = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in packing.op7_packing(spark, sf_dir).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(texts)
+    for i, rows in by_doc.items():
+        ids = t.encode(texts[i] or "", add_special_tokens=False).ids + [0]
+        rows.sort(key=lambda r: r.start)
+        assert [r.start for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))]
+        for r in rows:
+            part = ids[r.start : r.start + r.length]
+            assert len(part) == r.length > 0 and zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r.ids_crc32 and r.doc_tokens == len(ids)
+        assert sum(r.length for r in rows) == len(ids)
+    for rows in by_sequence.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and sum(r.length for r in rows) <= 1024

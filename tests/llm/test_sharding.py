@@ -76,3 +76,23 @@ def test_even_cuts_stay_within_the_least_capacity():
         loads = [b - a for a, b in zip([0, *cuts], cuts)]
         assert len(cuts) == shards and cuts[-1] == ends[-1] and set(cuts) <= set(ends) and max(loads) <= capacity
         assert sum(x > 0 for x in loads) == min(shards, len(sizes))
+
+
+def test_the_query_on_the_given_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = sharding.op4_sharding(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    groups, home, slots, load = {}, {}, {}, {}
+    for i in sorted(texts):
+        raw = (texts[i] or "").encode()
+        groups[texts[i]] = groups.get(texts[i], 0) + len(raw) + 8  # in order of their smallest id
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        assert home.setdefault(texts[r.doc_id], r.shard) == r.shard and 0 <= r.shard < 24
+        slots.setdefault(r.shard, []).append(r.slot)
+        load[r.shard] = load.get(r.shard, 0) + r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) == least_capacity(list(groups.values()), 24)
+    in_order = [home[t] for t in groups]
+    assert in_order == sorted(in_order)
