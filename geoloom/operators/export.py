@@ -249,6 +249,16 @@ def in_row_order(rows: DataFrame, key: str = "fid") -> DataFrame:
 # --- the whole ----------------------------------------------------------------------------------------------------
 
 
+def missing_value(layer: DataFrame, spec: ExportSpec) -> Column:
+    """Why a row breaks the constraints that a spec keeps: a column whose metadata says not_null holds none."""
+    reason = F.lit(None).cast("string")
+    if spec.include_constraints and not spec.skip_attributes:
+        for f in layer.schema.fields:
+            if (f.metadata or {}).get("not_null") and f.name in chosen(layer, spec.field_names):
+                reason = F.coalesce(reason, F.when(F.col(f.name).isNull(), F.lit(f"no value in {f.name}")))
+    return reason
+
+
 def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
     """The rows that a spec asks for with their geometry changed (type, Z, Multi), then reprojected, then their boxes
     taken anew; `_reason` says why a row cannot be written, null where it can. Filters come first and on plain columns."""
@@ -259,14 +269,14 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
         rows = by_selection(rows, selection)
     rows = by_expression(rows, spec.filter_expression)
     target = target_srid(spec, source_srid)
-    reason = F.lit(None).cast("string")
+    reason = missing_value(layer, spec)
     if spec.geometry_type == "NoGeometry":
         return rows.withColumn("_reason", reason)
     if "x" in rows.columns and source_srid != target:
         there = F.col("x").isNotNull() & F.col("y").isNotNull()
         moved = reprojected_points(rows.withColumn("_there", there), source_srid, target)
         outside = F.col("_there") & (F.col("x").isNull() | F.col("y").isNull())
-        rows = moved.withColumn("_reason", F.when(outside, OUTSIDE)).drop("_there")
+        rows = moved.withColumn("_reason", F.coalesce(reason, F.when(outside, OUTSIDE))).drop("_there")
     else:
         rows = rows.withColumn("_reason", reason)
     if "geom" not in rows.columns:

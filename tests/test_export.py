@@ -226,3 +226,13 @@ def test_names_and_counts(spark, sf_dir):
     assert [r.source for r in batch.remote_rasters(layers).collect()] == ["WMS:url=x", "https://h/x.tif"]
     boxes = views.boxes(spark, sf_dir)
     assert [r.fid for r in export.in_row_order(boxes.select("fid")).collect()] == sorted(r.fid for r in boxes.collect())
+
+
+def test_not_null_constraints(spark):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType(), metadata={"not_null": True}), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    layer = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, None, 0.0, 0.0), (3, "c", 0.0, 90.0)], schema)
+    spec = ExportSpec("l", "o", include_constraints=True, target_srid=3857)
+    assert [r.id for r in export.exported(layer, spec).collect()] == [1]
+    assert {r.id: r.reason for r in export.rejected(layer, spec).collect()} == {2: "no value in name", 3: export.OUTSIDE}
+    assert export.exported(layer, ExportSpec("l", "o")).count() == 3
+    assert export.exported(layer, ExportSpec("l", "o", include_constraints=True, field_names=("id",))).count() == 3
