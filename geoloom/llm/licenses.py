@@ -43,8 +43,8 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def text_words(text: Column) -> Column:
-    cleaned = F.regexp_replace(F.lower(text), r"[^a-z0-9.]+", " ")
+def text_words(lowered: Column) -> Column:
+    cleaned = F.regexp_replace(lowered, r"[^a-z0-9.]+", " ")
     return F.array_remove(F.transform(F.split(cleaned, " "), lambda w: F.btrim(w, F.lit("."))), "")
 
 
@@ -56,16 +56,23 @@ def least_shared(n: int, threshold: float) -> int:
 
 def hints(grams: list[list[str]], threshold: float) -> list[str]:
     """Words of which a text with a match holds at least one: a match lacks so few of a template's bigrams that one of
-    those with its longest words is left."""
+    those with these words is left. Few words do, as those that most bigrams of most templates hold are taken first;
+    short ones, which stand in any text, only where nothing else is left."""
+    spare = [len(g) - least_shared(len(g), threshold) for g in grams]
+    holders = [{w: {x for x in g if w in x.split(" ")} for x in g for w in x.split(" ")} for g in grams]
+    covered: list[set[str]] = [set() for _ in grams]
     words: set[str] = set()
-    for g in grams:
-        spare = len(g) - least_shared(len(g), threshold)
-        covered: set[str] = set()
-        for w in sorted({w for x in g for w in x.split(" ")}, key=lambda w: (-len(w), w)):
-            if len(covered) > spare:
-                break
-            covered.update(x for x in g if w in x.split(" "))
-            words.add(w)
+    # Long words first, then numbers, then the others by length.
+    rank = lambda w: 0 if len(w) >= 7 else 1 if any(c.isdigit() for c in w) else 9 - len(w)
+    while open_ := [i for i in range(len(grams)) if len(covered[i]) <= spare[i]]:
+        gains: dict[str, int] = {}
+        for i in open_:
+            for w, held in holders[i].items():
+                gains[w] = gains.get(w, 0) + min(len(held - covered[i]), spare[i] + 1 - len(covered[i]))
+        best = min((w for w in gains if gains[w]), key=lambda w: (rank(w), -gains[w], w))
+        words.add(best)
+        for i in open_:
+            covered[i] |= holders[i].get(best, set())
     return sorted(words)
 
 
@@ -97,10 +104,12 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
         starts = F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(t["grams"], F.get("grams", i)))
         return F.struct(F.array_max(F.transform(starts, dice)).alias("dice"), t["license"].alias("license"))
 
-    body = F.coalesce(F.col(text), F.lit(""))
-    hinted = F.rlike(F.lower(body), F.lit("|".join(map(re.escape, hints([g for _, _, g in wanted], threshold)))))
+    hinted = F.lit(False)
+    for word in hints([g for _, _, g in wanted], threshold):
+        hinted = hinted | F.contains(F.col("_text"), F.lit(word))
     none = F.array().cast("array<string>")
-    words = docs.select(key, F.when(hinted, text_words(body)).otherwise(none).alias("_words"))
+    lowered = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    words = lowered.select(key, F.when(hinted, text_words(F.col("_text"))).otherwise(none).alias("_words"))
     grams = words.select(key, F.transform(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get("_words", i + 1))).alias("grams"))
     held = grams.select(key, "grams", F.array_distinct(F.filter("grams", lambda g: g.isin(*all_grams))).alias("held"))
     candidates = F.filter(table_of, lambda t: F.size(F.array_intersect("held", t["grams"])) >= t["need"])
@@ -126,9 +135,9 @@ def oracle() -> str:
 WITH t(id, license, m, g) AS (VALUES {rows}),
 w AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.]+', ' ', 'g'), ' '), lambda w: trim(w, '.')), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) > 1),
-p AS (SELECT doc_id, unnest(b) AS gram, unnest(range(1, len(b) + 1)) AS at FROM b),
-s AS (SELECT doc_id, at, id, license, m, g FROM p JOIN (SELECT id, license, m, g, unnest(g) AS gram FROM t) USING (gram)),
-r AS (SELECT doc_id, id, license, g, list_distinct(b[at:at + m - 2]) AS h FROM s JOIN b USING (doc_id)),
+p AS (SELECT doc_id, unnest(b) AS gram, unnest(range(1, len(b) + 1)) AS place FROM b),
+s AS (SELECT doc_id, place, id, license, m, g FROM p JOIN (SELECT id, license, m, g, unnest(g) AS gram FROM t) USING (gram)),
+r AS (SELECT doc_id, id, license, g, list_distinct(b[place:place + m - 2]) AS h FROM s JOIN b USING (doc_id)),
 d AS (SELECT doc_id, id, license, 2.0 * len(list_intersect(h, g)) / (len(h) + len(g)) AS dice FROM r WHERE len(h) BETWEEN len(g) * {low} - 1e-9 AND len(g) * {high} + 1e-9),
 x AS (SELECT doc_id, id, license, max(dice) AS dice FROM d GROUP BY doc_id, id, license HAVING max(dice) >= {THRESHOLD}),
 a AS (SELECT doc_id, count(*) AS n, arg_min(license, struct_pack(d := -dice, l := license)) AS license, max(dice) AS dice FROM x GROUP BY doc_id)
