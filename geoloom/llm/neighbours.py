@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import saved, table
+from geoloom.llm.common import Work, table
 
 SHARD_NODES = 6000
 DEGREE = 32
@@ -303,6 +303,8 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding")).filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    graphs = saved(index(saved(nodes(rows, "vec_id", "embedding", NEAREST + 1), "vector-nodes")), "vector-graphs")
+    work = Work(spark, "vectors")
+    graphs = work.saved(index(work.saved(nodes(rows, "vec_id", "embedding", NEAREST + 1), "nodes")), "graphs")
+    work.drop("nodes")
     queries = rows.filter("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("id")).agg(F.min("embedding").alias("vector")).withColumn("dim", F.size("vector"))
     return search(graphs, queries)
