@@ -51,6 +51,15 @@ def test_spans_match_brute_force(docs_of, prose, monkeypatch, hot, bucket, piece
     same(suffixes.cut(docs_of(rows).repartition(5)).collect(), rows, prose)
 
 
+def test_common_grams_are_dealt_by_context(docs_of, prose, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLE", 1.0)
+    monkeypatch.setattr(suffixes, "COMMON", 3)
+    rows = rows_of(prose)
+    docs = docs_of(rows).repartition(5)
+    assert suffixes.common_grams(docs.select(suffixes.doc_key(docs.doc_id, docs.text, 0).alias("doc"), "text"), 100)
+    same(suffixes.cut(docs).collect(), rows, prose)
+
+
 def test_repeated_rows_keep_what_stands_once(docs_of, prose):
     def text(seed):
         return "".join(prose(seed + i, 40) + prose(700 + i, 30)[:80] for i in range(6))
