@@ -43,10 +43,13 @@ PERCENT = 85
 #: Members of a list, or partners of one class, that one block holds on average.
 BLOCK = 256
 #: Pairs that are estimated at a time.
-PAIRS_AT_ONCE = 1 << 15
+PAIRS_AT_ONCE = 1 << 13
+#: Members of blocks that a task unpacks at a time (two blocks at least).
+MEMBERS_AT_ONCE = 4096
 #: Members of a list beyond which they are listed anew by their full sets.
 HOT_LIST = 128
-SLICE_BYTES = 4 << 20
+#: Text that is shingled at a time; a worker keeps tables of 16 bytes for each byte of it.
+SLICE_BYTES = 1 << 20
 
 
 def sketch_plan(percent: int) -> tuple[int, int]:
@@ -292,9 +295,16 @@ def open_pairs(rows: DataFrame, classes: DataFrame, percent: int, work: Work) ->
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                a, b = agreeing(batch, k, overlap, percent)
+            sizes = [(len(one) if one.is_valid else 0) + (len(other) if other.is_valid else 0) for one, other in zip(*batch.columns, strict=True)]
+            start = 0
+            while start < batch.num_rows:
+                stop, held = start + 1, sizes[start]
+                while stop < batch.num_rows and held + sizes[stop] <= MEMBERS_AT_ONCE:
+                    held += sizes[stop]
+                    stop += 1
+                a, b = agreeing(batch.slice(start, stop - start), k, overlap, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                start = stop
 
     long_list = F.col("size") > BLOCK
     step = max(log(100 / percent), 0.05) * 1.000001  # alike sizes lie in one band or two neighbouring ones
