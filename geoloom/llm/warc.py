@@ -4,7 +4,8 @@ Writing is native: a record is one string and the records' blank-line ends are t
 commit protocol keeps retried tasks from leaving half files, on any store. A record of equal payload is a revisit of
 the one with the largest id and holds HTTP headers only.
 
-Reading: the source plans partitions of whole files up to a target size, takes predicates on the record type and on
+Reading: the source plans partitions of whole files, as many as the session has cores where the files allow it and up
+to a target size each, takes predicates on the record type and on
 named headers from Spark, parses the headers first and passes over the payload of records that fail them (or of
 all, with option payload=false). Plain and gzip files are read.
 
@@ -40,7 +41,8 @@ SCHEMA = (
 )
 #: Columns that headers alone decide.
 HEADER_COLUMNS = ("warc_type", "record_id", "target_uri", "payload_digest", "refers_to", "content_length", "http_length")
-TARGET_BYTES = 128 << 20
+#: Bytes of files in a partition: at most, and at least where there are more cores than that makes partitions.
+TARGET_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 BATCH_BYTES = 8 << 20
 RECORD_END = "\r\n\r\n"
 PAGE_URN = "urn:geoloom:page:"
@@ -73,6 +75,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() == "true"
         self.target = int(options.get("targetBytes", TARGET_BYTES))
+        self.cores = int(options.get("cores", 1))
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  (the interface's name)
@@ -86,16 +89,17 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = store_of(self.path)
         info = store.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         files = [f for f in found if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
+        target = min(self.target, max(LEAST_BYTES, -(-sum(f.size for f in files) // self.cores)))
         groups: list[Files] = []
         room = 0
         for f in sorted(files, key=lambda f: f.path):
             if not groups or room < f.size:
                 groups.append(Files([]))
-                room = self.target
+                room = target
             groups[-1].paths.append(f.path)
             room -= f.size
         return groups
@@ -104,9 +108,7 @@ class WarcReader(DataSourceReader):
         import gzip
         import io
 
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = store_of(self.path)
         rows: list[tuple] = []
         held = 0
         for path in partition.paths:
@@ -124,6 +126,13 @@ class WarcReader(DataSourceReader):
             yield batch_of(rows)
 
 
+def store_of(path: str):
+    """The file system of an address, and the path in it; Hadoop's own name of the S3 scheme is known."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a://") else path)
+
+
 def batch_of(rows: list[tuple]):
     import pyarrow as pa
 
@@ -206,9 +215,11 @@ def records(stream, path: str, tests, payload: bool) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of the files below `path`. Predicates reach a Python source only where the session allows it, so
+    that setting is switched on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("cores", spark.sparkContext.defaultParallelism).load()
 
 
 # --- writing ---------------------------------------------------------------------------------------------------

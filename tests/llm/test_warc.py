@@ -65,3 +65,11 @@ def test_empty_table(spark, pages, tmp_path):
     path = f"file://{tmp_path}/warc"
     warc.write_warc(pages[1].limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_partitions_follow_the_cores(tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:02}.warc").write_bytes(b"x" * 300_000)
+    plan = lambda **options: warc.WarcReader({"path": f"file://{tmp_path}", **options}).partitions()
+    assert len(plan()) == 1 and 8 <= len(plan(cores="8")) <= 14 and sum(len(p.paths) for p in plan(cores="8")) == 40
+    assert len(plan(cores="1000")) == 14 and len(plan(targetBytes="300000")) == 40
