@@ -11,7 +11,7 @@ from geoloom.functions import catalogue, crs, names
 from geoloom.functions import geometry as G
 from geoloom.operators import batch, bundle, export, raster, registry, sinks, tree
 from geoloom.operators.export import ExportSpec
-from geoloom.operators.ranks import with_previous
+from geoloom.operators.ranks import durable, with_previous
 from geoloom.sources import archives, views
 from geoloom.sources.scratch import scratch_path
 
@@ -470,7 +470,7 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT doc_id || '.arc', NULL, NULL, NULL, NULL, NULL, 'truncated' FROM documents WHERE text IS NOT NULL AND doc_id % 13 = 0""")
 def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entries of many archives, and the archives that cannot be read."""
-    files = views.archives(spark, sf_dir, b"ARCH")
+    files = durable(views.archives(spark, sf_dir, b"ARCH"))  # as files would be: the bytes stand before they are read
     rows = archives.listed(files, b"ARCH").select("path", "entry", "name", "flags", "data_size", F.col("hash").cast("string").alias("hash"))
     return rows.unionByName(archives.quarantined(files, b"ARCH"), allowMissingColumns=True)
 

@@ -66,23 +66,22 @@ def archives(spark: SparkSession, sf_dir: str, magic: bytes) -> DataFrame:
     """`documents` as packed archives (path, content) of version 4, each of a text and an empty entry; every 13th is cut off."""
 
     def number(value, width: int):
-        digits = F.lpad(F.hex(value), 2 * width, "0")
+        """Little-endian hexadecimal digits of a column or an integer."""
+        if isinstance(value, int):
+            return F.lit(value.to_bytes(width, "little").hex())
+        digits = F.lpad(F.hex(value.cast("long")), 2 * width, "0")
         return F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1)])
 
-    text, style = F.format_string("%s/%d.txt", "lang", "doc_id"), F.format_string("styles/%d.qml", "doc_id")
-    size = F.octet_length("text").cast("long")
-    long = lambda v: F.lit(v).cast("long")
-
-    def seek_row(name, flags: int, at, n, mark):
-        return F.concat(number(long(flags), 4), number(F.length(name).cast("long"), 4), number(long(0), 4), number(at, 8), number(n, 8), number(n, 8), number(mark, 8))
-
-    rows = F.concat(seek_row(text, 7, long(0), size, F.col("doc_id") * 2654435761), seek_row(style, 1, size, long(0), long(0)))
-    index = F.concat(number(long(2), 4), rows, F.hex(F.encode(text, "UTF-8")), F.hex(F.encode(style, "UTF-8")))
-    head = F.concat(F.hex(F.lit(magic)), number(long(4), 4), number(long(0), 8), number(long(48), 8), number((long(48) + F.length(index) / 2).cast("long"), 8), number(size, 8), number(size, 8))
-    whole = F.concat(head, index, F.hex(F.encode("text", "UTF-8")))
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    cut = F.when(F.col("doc_id") % 13 == 0, F.substring(whole, 1, 40)).otherwise(whole)
-    return docs.select(F.format_string("%d.arc", "doc_id").alias("path"), F.unhex(cut).alias("content"))
+    named = docs.select("doc_id", "text", F.format_string("%s/%d.txt", "lang", "doc_id").alias("name"), F.format_string("styles/%d.qml", "doc_id").alias("style"), F.octet_length("text").alias("size"))
+    first = F.concat(number(7, 4), number(F.length("name"), 4), number(0, 12), number(F.col("size"), 8), number(F.col("size"), 8), number(F.col("doc_id") * 2654435761, 8))
+    second = F.concat(number(1, 4), number(F.length("style"), 4), number(0, 4), number(F.col("size"), 8), number(0, 24))
+    indexed = named.withColumn("index", F.concat(number(2, 4), first, second, F.hex(F.encode("name", "UTF-8")), F.hex(F.encode("style", "UTF-8"))))
+    total = number(F.col("size"), 8)
+    head = F.concat(F.lit(magic.hex()), number(4, 4), number(0, 8), number(48, 8), number(F.lit(48) + F.length("index") / 2, 8), total, total)
+    whole = indexed.select("doc_id", F.concat(head, "index", F.hex(F.encode("text", "UTF-8"))).alias("whole"))
+    cut = F.when(F.col("doc_id") % 13 == 0, F.substring("whole", 1, 40)).otherwise(F.col("whole"))
+    return whole.select(F.format_string("%d.arc", "doc_id").alias("path"), F.unhex(cut).alias("content"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
