@@ -295,7 +295,9 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
         rows = rows.withColumn("_reason", F.coalesce("_reason", F.when(lost, OUTSIDE)))
         if "xmin" in rows.columns:
             rows = rows.withColumns(G.box(geom))
-    return rows
+    # The partition's number changes nothing, but keeps the optimiser from copying a filter on the reason down through
+    # the steps above, where each copy would be worked out anew. The user's filters stand below already.
+    return rows.withColumn("_reason", F.when(F.spark_partition_id() >= 0, F.col("_reason")))
 
 
 def written_columns(layer: DataFrame, rows: DataFrame, spec: ExportSpec) -> list[Column]:
