@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import licenses, minhash, neighbours, packing, pieces, quality, sharding, suffixes, urls, warc
+from geoloom.llm import lexical, licenses, minhash, mixing, negatives, neighbours, packing, pieces, quality, sharding, suffixes, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_mixing": mixing.op13_mixing,
 }
 
 #: Where SQL cannot express the result (ids of a tokenizer, packing, minimax sharding, a graph's own answers), tests hold
@@ -30,4 +33,7 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": licenses.oracle(),
     "op9_suffix_dedup": suffixes.oracle(),
     "op10_quality_rules": quality.oracle(),
+    "op11_hard_negatives": negatives.oracle(),
+    "op12_lexical_search": lexical.oracle(),
+    "op13_mixing": mixing.oracle(),
 }
