@@ -2,10 +2,12 @@
 
 Equal vectors are one node that keeps its smallest ids, so a vector held by a third of all rows is one node. Nodes are
 dealt to shards of bounded size by hash. A shard's graph is built in rounds of growing size: a greedy search from the
-entry proposes neighbours among the nodes already in, pruning keeps an edge only if no kept neighbour is nearer to its
-target by the factor ALPHA, and reverse edges are pruned alike. Every query then searches every shard: a shard's graph
-goes to one task once, its queries stream in behind it, and the ten best of all shards are exact distances on the
-original vectors.
+entries proposes neighbours among the nodes already in, pruning keeps an edge only if no kept neighbour is nearer to its
+target by the factor ALPHA, and reverse edges are pruned alike. Entries lie spread over the shard, each as far from those
+before it as any node. When the graph stands, every node is searched for by its own vector; those that this does not
+find, as in clusters that hold no entry, become entries too, so that every node can be reached. Every query then searches
+every shard: a shard's graph goes to one task once, the queries stream in behind it in blocks, and the ten best of all
+shards are exact distances on the original vectors.
 
 Searches run for many queries at once in numpy: each step expands the best unexpanded node of every query. All nodes
 of the beam that are as near as the last one wanted count, so ties are settled by id; only where more than SEARCH_BEAM
@@ -31,13 +33,16 @@ SHARD_NODES = 6000
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 160
-#: Nodes at which a search starts; more than one, so that no cluster is out of reach.
-ENTRIES = 32
+#: Spread entries of a shard, and the nearest of all entries at which a search starts.
+ENTRIES, STARTS = 256, 32
+#: Beam by which each node must be found when the graph stands.
+CHECK_BEAM = 32
 ALPHA = 1.2
 QUERY_BLOCK = 512
 NEAREST = 10
-#: Differences of vectors that are held at a time.
+#: Differences of vectors that are held at a time, and vectors of one block of queries.
 DISTANCE_BYTES = 64 << 20
+BLOCK_BYTES = 256 << 10
 
 
 def valid(vector):
@@ -79,20 +84,20 @@ def between(a, b):
 def beam_search(points, edges, queries, entries, beam: int):
     """The `beam` nearest nodes found for each query (rows of `queries`), nearest first; -1 where there are fewer.
 
-    `edges` holds neighbours, -1 for none; `entries` are the nodes to start from, `beam` at most."""
+    `edges` holds neighbours, -1 for none; a search starts at the STARTS of `entries` that are nearest to its query."""
     import numpy as np
 
-    entries = np.asarray(entries, np.int32)[:beam]
+    entries = np.asarray(entries, np.int32)
     q, d = len(queries), edges.shape[1]
     near = np.full((q, beam + d), np.inf, np.float32)
     node = np.full((q, beam + d), -1, np.int32)
     done = np.ones((q, beam + d), bool)
     seen = np.zeros((q, len(points)), bool)
+    m = min(len(entries), beam, STARTS)
     start = between(queries, points[entries])
-    order = np.argsort(start, axis=1)
-    m = len(entries)
+    order = np.argsort(start, axis=1)[:, :m]
     node[:, :m], done[:, :m], near[:, :m] = entries[order], False, np.take_along_axis(start, order, 1)
-    seen[:, entries] = True
+    seen[np.arange(q)[:, None], entries[order]] = True
     live = np.arange(q)
     while len(live):
         # The beam is kept sorted: the first that is not done is the best.
@@ -146,19 +151,33 @@ def robust_prune(points, centres, candidates, degree: int):
     return out
 
 
+def spread(points, most: int):
+    """`most` nodes (all, if fewer), the most central first, then always the one that is farthest from those before."""
+    import numpy as np
+
+    near = ((points - points.mean(0)) ** 2).sum(1)
+    found = [int(np.argmin(near))]
+    near = ((points - points[found[0]]) ** 2).sum(1)
+    while len(found) < min(most, len(points)):
+        found.append(int(np.argmax(near)))
+        near = np.minimum(near, ((points - points[found[-1]]) ** 2).sum(1))
+        near[found] = -1.0
+    return np.array(found, np.int64)
+
+
 def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM):
     """(edges, entries) for the rows of `points` (float32), which come in random order."""
     import numpy as np
 
     n = len(points)
-    entry = int(np.argmin(((points - points.mean(0)) ** 2).sum(1)))
+    seeds = spread(points, ENTRIES)
     edges = np.full((n, degree), -1, np.int32)
-    order = np.concatenate(([entry], np.delete(np.arange(n), entry)))
+    order = np.concatenate((seeds, np.delete(np.arange(n), seeds)))
     have = 1
     while have < n:
         step = min(n - have, max(1, have), QUERY_BLOCK)
         new = order[have : have + step]
-        found = beam_search(points, edges, points[new], order[: min(have, ENTRIES)], beam)
+        found = beam_search(points, edges, points[new], order[: min(have, len(seeds))], beam)
         # The round's own nodes propose each other too, as none of them is in the graph yet.
         near = np.argsort(between(points[new], points[new]), axis=1)[:, : 1 + min(8, step)]
         edges[new] = robust_prune(points, new, np.concatenate((found, new[near].astype(np.int32)), axis=1), degree)
@@ -167,7 +186,8 @@ def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM):
         back = targets >= 0
         add_reverse(points, edges, targets[back], sources[back], degree)
         have += step
-    return edges, order[:ENTRIES].astype(np.int32)
+    lost = [at + np.flatnonzero((beam_search(points, edges, points[at : at + QUERY_BLOCK], seeds, CHECK_BEAM) != np.arange(at, min(n, at + QUERY_BLOCK))[:, None]).all(1)) for at in range(0, n, QUERY_BLOCK)]
+    return edges, np.concatenate((seeds, *lost)).astype(np.int32)
 
 
 def add_reverse(points, edges, owners, others, degree: int) -> None:
@@ -257,23 +277,19 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
                     )
                     at += 1
                     continue
-                stop = at + 1
-                while stop < batch.num_rows and stop - at < QUERY_BLOCK and not of_graph[stop] and shards[stop] == shards[at]:
-                    stop += 1
                 if shards[at] == shard:  # else the hash has left that shard empty
-                    block = batch.slice(at, stop - at)
-                    yield answers(graph, block.column("id"), block.column("vector"))
-                at = stop
+                    yield answers(graph, batch.column("asked_ids")[at].as_py(), batch.column("asked")[at].as_py())
+                at += 1
 
     def answers(graph: tuple, query_ids, vectors):
         import numpy as np
         import pyarrow as pa
 
         points, edges, entries, ids, begins, counts = graph
-        wanted = np.array(vectors.to_pylist(), np.float32)
+        wanted = np.array(vectors, np.float32)
         found = beam_search(points, edges, wanted, entries, min(beam, len(points)))
         rows = []
-        for q, vector, hits in zip(query_ids.to_pylist(), wanted.astype(np.float64), found, strict=True):
+        for q, vector, hits in zip(query_ids, wanted.astype(np.float64), found, strict=True):
             hits = hits[hits >= 0]
             diff = points[hits].astype(np.float64) - vector
             score = np.sqrt((diff * diff).sum(1))
@@ -285,8 +301,12 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
         )
 
     last = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
-    asked = queries.join(F.broadcast(last), "dim").select(  # one row per vector length
-        "dim", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), "id", "vector"
+    sizes = queries.groupBy("dim").agg(F.ceil(F.sum(F.col("dim").cast("long") * 4) / BLOCK_BYTES).alias("blocks"))
+    spans = last.join(sizes, "dim")  # one row per vector length
+    dealt = queries.join(F.broadcast(spans), "dim").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    blocks = dealt.groupBy("dim", "block", "last").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
+    asked = blocks.select(
+        "dim", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), F.col("asked.id").alias("asked_ids"), F.col("asked.vector").alias("asked")
     )
     sent = graphs.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("n").isNull())
     hits = sent.mapInArrow(run, "query_id long, vec_id long, score double")
