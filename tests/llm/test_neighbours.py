@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from geoloom.llm import neighbours as nb
 
@@ -7,10 +8,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, ids int")
 
 
-def found(spark, rows, nearest=10):
+def found(spark, rows, nearest=10, shard_nodes=nb.SHARD_NODES):
     df = frame(spark, [(i, v, 0, 0) for i, v in rows])
     good = df.filter(nb.valid(df.embedding) & df.vec_id.isNotNull()).select("vec_id", "embedding")
-    graphs = nb.index(nb.nodes(good, "vec_id", "embedding", nearest + 1))
+    graphs = nb.index(nb.nodes(good, "vec_id", "embedding", nearest + 1), shard_nodes)
     queries = good.filter("vec_id % 100 = 0").groupBy("vec_id").agg({"embedding": "min"}).toDF("id", "vector").selectExpr("id", "vector", "size(vector) AS dim")
     out = {}
     for r in nb.search(graphs, queries, nearest).collect():
@@ -18,14 +19,13 @@ def found(spark, rows, nearest=10):
     return {q: [x[1:] for x in sorted(v)] for q, v in out.items()}
 
 
-def test_recall_scores_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(nb, "SHARD_NODES", 700)
+def test_recall_scores_and_ties(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
     points = (centres[rng.integers(0, 20, 2000)] + 0.3 * rng.normal(size=(2000, 16))).astype(np.float32)
     points[1000:1300] = points[0]  # one vector many times
     points[1400:1500] = points[5] + 1e-4 * rng.normal(size=(100, 16)).astype(np.float32)
-    got = found(spark, [(i, p.tolist()) for i, p in enumerate(points)])
+    got = found(spark, [(i, p.tolist()) for i, p in enumerate(points)], shard_nodes=700)
     exact = points.astype(np.float64)
     recall = []
     for q in range(0, 2000, 100):
@@ -90,3 +90,42 @@ def test_several_vectors_under_one_id(spark):
     rows = [(0, [1.0, 2.0]), (0, [5.0, 5.0]), (1, [1.0, 2.0]), (1, [9.0, 9.0]), (2, [4.0, 4.0])]
     got = found(spark, rows)[0]
     assert [v for v, _ in got] == [1, 2] and got[0][1] == 0.0
+
+
+def clustered(clusters, spread, nodes=6000, width=128):
+    rng = np.random.default_rng(clusters)
+    return (rng.normal(size=(clusters, width))[rng.integers(0, clusters, nodes)] + spread * rng.normal(size=(nodes, width))).astype(np.float32)
+
+
+@pytest.mark.parametrize(("clusters", "spread"), [(60, 0.3), (400, 0.1), (1, 1.0)])
+def test_recall_and_reach_of_a_whole_shard(clusters, spread):
+    """Shards as large as in production, with fewer and with more clusters than entries: no query is lost, and every
+    node can be reached."""
+    points = clustered(clusters, spread)
+    edges, entries = nb.build_graph(points)
+    queries = np.arange(0, len(points), 20)
+    hits = nb.beam_search(points, edges, points[queries], entries, nb.SEARCH_BEAM)
+    exact = nb.between(points[queries].astype(float), points.astype(float))
+    exact[np.arange(len(queries)), queries] = np.inf
+    want = np.argpartition(exact, 10, axis=1)[:, :10]
+    recall = np.array([len(set(a) & set(b)) / 10 for a, b in zip(hits, want, strict=True)])
+    assert recall.mean() >= 0.9 and recall.min() > 0
+    reached, front = set(entries.tolist()), entries
+    while len(front):
+        front = np.array(sorted(set(edges[front].ravel().tolist()) - reached - {-1}), int)
+        reached |= set(front.tolist())
+    assert len(reached) == len(points)
+
+
+def test_entries_lie_apart():
+    points = clustered(30, 0.01, 900, 16)
+    seeds = nb.spread(points, 40)
+    assert len(set(seeds.tolist())) == 40
+    groups = {tuple(np.round(points[i]).astype(int)) for i in seeds[:30]}
+    assert len(groups) >= 28
+    assert sorted(nb.spread(points[:3], 40).tolist()) == [0, 1, 2]
+
+
+def test_empty_table_through_the_query(spark, tmp_path):
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert nb.op8_neighbours(spark, str(tmp_path)).collect() == []
