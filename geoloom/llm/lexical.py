@@ -7,9 +7,10 @@ impact, worked out once; the head of a term's runs in a stratum bounds all of th
 item's terms for each stratum, visits strata from the highest bound down, and ends where the bound falls below the score
 of the last document kept. The postings' weights are exact integers, sums below 2**53 are exact in float64.
 
-Counts of documents and terms take one pass over the texts without user functions, the index a second one; it is
-written down, and document frequencies are sums over its segments. Items are held in groups of bounded size, segments
-stream past each group (`grid.dealt`); what a task has found for an item so far ends its visits in later segments too.
+Counts of documents and terms take one pass over the texts without user functions, the index a second one. It is
+written down, a row for each term of a segment and one for the segment's documents; document frequencies are sums over
+it, and only rows of asked terms are read for a search. Items are held in groups of bounded size, segments stream past
+each group (`grid.dealt`); what a task has found for an item so far ends its visits in later segments too.
 
 Defined results: every row is a document, repeated rows and ids too (among rows with one id and score the order is
 open, as they cannot be told apart); null and blank texts have no terms; a null doc_id comes before all others; rows of
@@ -28,20 +29,21 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import MIN_LONG, Work, arrow_slices, partitions, table
 from geoloom.llm.grid import dealt, group_of
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII other than letters and digits, one by one: a class of single characters is one look-up in Java's patterns.
+SEPARATORS = [b for b in range(128) if not chr(b).isalnum()]
+TERM = "[^" + "".join(f"\\x{b:02X}" for b in SEPARATORS) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text in a segment, of an Arrow slice, and of items that one task holds.
-SEGMENT_BYTES, SLICE_BYTES, GROUP_BYTES = 16 << 20, 8 << 20, 8 << 20
+SEGMENT_BYTES, SLICE_BYTES, GROUP_BYTES = 16 << 20, 4 << 20, 8 << 20
 #: Strata that a search visits first; each further step takes twice as many.
 FIRST_VISIT = 16
 BEST = 10
 #: Terms of one item up to which sums of float64 are exact.
 EXACT_TERMS = 100_000
 
-INDEX = (
-    "segment long, n_docs long, terms array<string>, dfs array<int>, doc_ids binary, strata binary, term_runs binary,"
-    " run_stratum binary, run_tf binary, run_length binary, postings binary"
-)
+#: A term's runs (stratum, tf, number of documents) and their documents, by place in `doc_ids`; or, with a null term,
+#: the segment's documents and its strata's normalisers.
+INDEX = "segment long, term string, df int, strata array<int>, tfs array<int>, lengths array<int>, docs array<int>, doc_ids array<long>, ms array<long>"
 
 
 def lowered(text: Column) -> Column:
@@ -57,7 +59,7 @@ def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 def _separators() -> bytes:
     """A byte table: terms' bytes lowered, all others a blank."""
-    return bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+    return bytes(b + 32 if 65 <= b <= 90 else 32 if b in SEPARATORS else b for b in range(256))
 
 
 class Segment:
@@ -68,7 +70,7 @@ class Segment:
 
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.lengths, self.distinct = array("q"), array("q"), array("q")
-        self.terms, self.tfs = array("i"), array("q")
+        self.terms, self.tfs = array("i"), array("i")
         self.bytes = 0
 
     def add(self, doc_id: int, body: bytes) -> None:
@@ -93,57 +95,59 @@ class Segment:
         self.distinct.append(len(counts))
         self.bytes += len(body)
 
-    def row(self, number: int, n_docs: int, n_terms: int) -> dict:
-        """The segment by strata; the docstring of this module says how it lies."""
+    def rows(self, number: int, n_docs: int, n_terms: int):
+        """The segment by strata, as rows of INDEX: the documents first, then a row for each term."""
         import numpy as np
+        import pyarrow as pa
 
         ids, lengths = np.frombuffer(self.ids, np.int64), np.frombuffer(self.lengths, np.int64)
         m = np.array([10 + 90 * int(n) * n_docs // n_terms for n in lengths], np.int64)
         order = np.lexsort((ids, m))
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids))
-        values, starts = np.unique(m[order], return_index=True)
-        stratum = np.searchsorted(values, m)
-        doc = np.repeat(np.arange(len(ids)), np.frombuffer(self.distinct, np.int64))
-        term, tf = np.frombuffer(self.terms, np.int32), np.frombuffer(self.tfs, np.int64)
+        values = np.unique(m)
+        stratum = np.searchsorted(values, m).astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.frombuffer(self.distinct, np.int64))
+        term, tf = np.frombuffer(self.terms, np.int32), np.frombuffer(self.tfs, np.int32)
         by = np.lexsort((place[doc], -tf, stratum[doc], term))
         term, tf, doc = term[by], tf[by], doc[by]
         s = stratum[doc]
         heads = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (s[1:] != s[:-1]) | (tf[1:] != tf[:-1]))))
-        n = len(self.vocabulary)
-        return {
-            "segment": number, "n_docs": len(ids), "terms": [t.decode("utf-8", "replace") for t in self.vocabulary],
-            "dfs": np.bincount(term, minlength=n).astype(np.int32), "doc_ids": ids[order].tobytes(),
-            "strata": np.stack((values, starts)).astype(np.int64).tobytes(),
-            "term_runs": np.searchsorted(term[heads], np.arange(n + 1)).astype(np.int64).tobytes(),
-            "run_stratum": s[heads].astype(np.int32).tobytes(), "run_tf": tf[heads].astype(np.int64).tobytes(),
-            "run_length": np.diff(np.concatenate((heads, [len(term)]))).astype(np.int32).tobytes(), "postings": place[doc].astype(np.int32).tobytes(),
+        terms = np.arange(len(self.vocabulary) + 1)
+        runs, posts = np.searchsorted(term[heads], terms), np.searchsorted(term, terms)
+
+        def lists(offsets, items, kind=None):
+            kind = kind or pa.int32()
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], offsets)), pa.int32()), pa.array(items, kind))
+
+        whole = lambda items: pa.array([items.tolist(), *[None] * len(self.vocabulary)], pa.list_(pa.int64()))
+        length = np.diff(np.concatenate((heads, [len(term)])))
+        columns = {
+            "segment": pa.array(np.full(len(terms), number), pa.int64()), "term": pa.array([None, *(t.decode("utf-8", "replace") for t in self.vocabulary)], pa.string()),
+            "df": pa.array([None, *np.diff(posts).tolist()], pa.int32()), "strata": lists(runs, s[heads]), "tfs": lists(runs, tf[heads]), "lengths": lists(runs, length),
+            "docs": lists(posts, place[doc]), "doc_ids": whole(ids[order]), "ms": whole(values),
         }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def index(docs: DataFrame, n_docs: int, n_terms: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each segment of documents, with its terms and their local document frequencies."""
+    """The rows of INDEX for all segments of documents."""
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         table_of, segment, number = _separators(), Segment(), TaskContext.get().partitionId() << 32
-        types = {"segment": pa.int64(), "n_docs": pa.int64(), "terms": pa.list_(pa.string()), "dfs": pa.list_(pa.int32())}
-
-        def batch_of(row: dict):
-            return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], names=list(row))
-
         for batch in batches:
             for part in arrow_slices(batch, "text", SLICE_BYTES):
                 ids = part.column("id").to_pylist()
                 for doc_id, body in zip(ids, part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     segment.add(doc_id, (body or b"").translate(table_of))
                     if segment.bytes >= SEGMENT_BYTES:
-                        yield batch_of(segment.row(number, n_docs, n_terms))
+                        yield segment.rows(number, n_docs, n_terms)
                         segment, number = Segment(), number + 1
         if len(segment.ids):
-            yield batch_of(segment.row(number, n_docs, n_terms))
+            yield segment.rows(number, n_docs, n_terms)
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(MIN_LONG)).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(build, INDEX)
@@ -155,10 +159,14 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return items.select(F.col(key).cast("long").alias("item_id"), F.explode(found).alias("term")).distinct()
 
 
+def of_terms(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked terms."""
+    return segments.join(asked.select("term").distinct(), "term", "left_semi")
+
+
 def weighted(asked: DataFrame, segments: DataFrame, n_docs: int) -> DataFrame:
     """(item_id, terms, weights): terms that documents hold, with their weights in all documents."""
-    local = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.dfs").cast("long").alias("df"))
-    known = local.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    known = of_terms(segments.select("term", "df"), asked).groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(F.lit(1000.0) * F.ln(F.lit(float(2 * n_docs + 2)) / (F.col("df") * 2 + 1).cast("double"))).cast("long")
     pairs = asked.join(known, "term").select("item_id", F.struct("term", weight.alias("weight")).alias("x")).filter("x.weight > 0")
     lists = pairs.groupBy("item_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
@@ -166,23 +174,27 @@ def weighted(asked: DataFrame, segments: DataFrame, n_docs: int) -> DataFrame:
 
 
 class Strata:
-    """A segment opened for searching."""
+    """A segment opened for searching, from its rows of INDEX (all of its documents, some of its terms)."""
 
-    def __init__(self, row: dict):
+    def __init__(self, batches: list):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        self.terms = pa.array(row["terms"], pa.string())
-        self.doc_ids = np.frombuffer(row["doc_ids"], np.int64)
-        m, _ = np.frombuffer(row["strata"], np.int64).reshape(2, -1)
+        rows = pa.Table.from_batches(batches)
+        head = rows.filter(pc.is_null(rows["term"]))
+        rows = rows.filter(pc.is_valid(rows["term"]))
+        flat = lambda name, of=rows: pc.list_flatten(of[name]).to_numpy()
+        self.terms = rows["term"]
+        self.doc_ids, m = flat("doc_ids", head), flat("ms", head)
         self.count = len(m)
-        self.term_runs = np.frombuffer(row["term_runs"], np.int64)
-        self.stratum = np.frombuffer(row["run_stratum"], np.int32)
-        tf = np.frombuffer(row["run_tf"], np.int64)
+        sizes = pc.list_value_length(rows["strata"]).to_numpy()
+        self.term_runs = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self.stratum, tf = flat("strata"), flat("tfs").astype(np.int64)
         self.impact = 1_000_000_000 * tf // (1000 * tf + 8 * m[self.stratum])
-        self.length = np.frombuffer(row["run_length"], np.int32).astype(np.int64)
+        self.length = flat("lengths").astype(np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.postings = np.frombuffer(row["postings"], np.int32)
+        self.postings = flat("docs")
         self.heads = np.ones(len(tf), bool)  # the highest frequency of a term in a stratum
         self.heads[1:] = self.stratum[1:] != self.stratum[:-1]
         self.heads[self.term_runs[:-1]] = True
@@ -253,47 +265,61 @@ class Best:
 
 
 def search(segments: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
-    """(item_id, rank, doc_id, score) for `items` (item_id, item_terms, weights) over all segments."""
+    """(item_id, rank, doc_id, score) for `items` (item_id, item_terms, weights) over `segments`, which hold the items'
+    terms and every segment's documents."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        cell, items_here = None, []
-
-        def rows():
-            found = [(item, s, i) for item, _, _, kept in items_here for s, i in zip(kept.scores.tolist(), kept.ids.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1, 2)], names=["item_id", "score", "doc_id"])
-
+        def opened(parts: list, asked: list) -> None:
+            """Every item against one segment."""
+            strata = Strata(parts)
+            names = pa.concat_arrays([terms for _, terms, _, _ in asked])
+            places = pc.fill_null(pc.index_in(names, value_set=strata.terms), -1).to_numpy().astype(np.int64)
+            at = 0
+            for _, terms, weights, kept in asked:
+                mine = places[at : at + len(terms)]
+                at += len(terms)
+                strata.search(mine[mine >= 0], weights[mine >= 0], kept)
+
+        def found(asked: list):
+            rows = [(item, s, i) for item, _, _, kept in asked for s, i in zip(kept.scores.tolist(), kept.ids.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1, 2)], names=["item_id", "score", "doc_id"])
+
+        at, parts, asked = (None, None, None), [], []
         for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                number, held = one.column("cell")[0].as_py(), one.column("held")[0].as_py()
-                if number != cell:
-                    if items_here:
-                        yield rows()
-                    cell, items_here, asked, offsets = number, [], None, None
-                if held:
-                    weights = np.array(one.column("weights")[0].as_py(), np.int64)
-                    items_here.append((one.column("item_id")[0].as_py(), one.column("item_terms")[0].values, weights, Best(best)))
-                elif items_here:
-                    if asked is None:
-                        asked = pa.concat_arrays([t for _, t, _, _ in items_here])
-                        offsets = np.cumsum([0, *(len(t) for _, t, _, _ in items_here)])
-                    names = [c for c in one.schema.names if c not in ("item_id", "item_terms", "weights", "cell", "held")]
-                    strata = Strata({c: one.column(c)[0].values if c == "terms" else one.column(c)[0].as_py() for c in names if c != "dfs"})
-                    places = pc.fill_null(pc.index_in(asked, value_set=strata.terms), -1).to_numpy(zero_copy_only=False)
-                    for k, (_, _, weights, kept) in enumerate(items_here):
-                        mine = places[offsets[k] : offsets[k + 1]]
-                        strata.search(mine[mine >= 0].astype(np.int64), weights[mine >= 0], kept)
-        if items_here:
-            yield rows()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "held", "segment")), strict=True))
+            start = 0
+            while start < len(keys):
+                stop = start + 1
+                while stop < len(keys) and keys[stop] == keys[start]:
+                    stop += 1
+                if keys[start] != at:
+                    if parts and asked:
+                        opened(parts, asked)
+                    parts = []
+                    if keys[start][0] != at[0] and asked:
+                        yield found(asked)
+                        asked = []
+                    at = keys[start]
+                part = batch.slice(start, stop - start)
+                if at[1]:
+                    columns = (part.column("item_id").to_pylist(), part.column("item_terms"), part.column("weights").to_pylist())
+                    asked += [(item, terms.values, np.array(weights, np.int64), Best(best)) for item, terms, weights in zip(*columns, strict=True)]
+                else:
+                    parts.append(part.select(["term", "strata", "tfs", "lengths", "docs", "doc_ids", "ms"]))
+                start = stop
+        if parts and asked:
+            opened(parts, asked)
+        if asked:
+            yield found(asked)
 
     weight = items.agg(F.coalesce(F.sum(F.aggregate("item_terms", F.lit(0).cast("long"), lambda t, x: t + F.octet_length(x) + 16)), F.lit(0))).first()[0]
     groups = max(1, -(-weight // GROUP_BYTES))
     cells = dealt(
-        items.withColumn("group", group_of(F.col("item_id"), groups)), segments.drop("dfs", "n_docs"), groups, partitions(items.sparkSession), F.col("segment"), []
+        items.withColumn("group", group_of(F.col("item_id"), groups)), segments.drop("df"), groups, partitions(items.sparkSession), F.col("segment"), ["segment"]
     )
     order = W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     found = cells.mapInArrow(run, "item_id long, score long, doc_id long").withColumn("rank", F.row_number().over(order))
@@ -306,7 +332,8 @@ def ranked(docs: DataFrame, items: DataFrame, best: int = BEST) -> DataFrame:
     n_docs, n_terms = totals(docs)
     segments = work.saved(index(docs, n_docs, n_terms), "index")
     asked = work.saved(item_terms(items), "terms")
-    return search(segments, work.saved(weighted(asked, segments, n_docs), "items"), best)
+    needed = segments.filter("term IS NULL").unionByName(of_terms(segments, asked))
+    return search(needed, work.saved(weighted(asked, segments, n_docs), "items"), best)
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
