@@ -90,3 +90,41 @@ def reprojected(x: Column, y: Column, source: int, target: int) -> tuple[Column,
     if target == 4326:
         return lon, lat
     return lonlat_to_mercator(lon, lat) if target == 3857 else lonlat_to_utm(lon, lat, target)
+
+
+#: Parts into which an edge is cut to find how far it bulges.
+EDGE_PARTS = 32
+
+
+def straight(source: int, target: int) -> bool:
+    """Whether edges along the axes of one system are such edges in the other, so that corners bound a box."""
+    return source == target or {source, target} == {4326, 3857}
+
+
+def edges(xmin: Column, ymin: Column, xmax: Column, ymax: Column, source: int, target: int) -> Column:
+    """The four edges of a box in another system: arrays of EDGE_PARTS + 1 points (x, y), null outside its domain."""
+    at = F.array(*[F.lit(i / EDGE_PARTS) for i in range(EDGE_PARTS + 1)])
+
+    def point(x: Column, y: Column) -> Column:
+        px, py = reprojected(x, y, source, target)
+        return F.struct(px.alias("x"), py.alias("y"))
+
+    def flat(y: Column) -> Column:
+        return F.transform(at, lambda t: point(xmin + (xmax - xmin) * t, y))
+
+    def upright(x: Column) -> Column:
+        return F.transform(at, lambda t: point(x, ymin + (ymax - ymin) * t))
+
+    return F.array(flat(ymin), flat(ymax), upright(xmin), upright(xmax))
+
+
+def least_of_edge(v: Column) -> Column:
+    """The least value that a smooth edge takes, from its values at equal steps: the lowest point of the parabola through
+    the three values around the least, and below it what the third differences leave open; else the least value."""
+    lowest = F.array_min(v)
+    i = F.least(F.greatest(F.array_position(v, lowest).cast("int") - 1, F.lit(1)), F.lit(EDGE_PARTS - 1))
+    a, b, c = (F.get(v, i + k) for k in (-1, 0, 1))
+    bend = a - 2 * b + c
+    third = F.greatest(F.abs(F.coalesce(F.get(v, i + 2) - 3 * c + 3 * b - a, F.lit(0.0))), F.abs(F.coalesce(c - 3 * b + 3 * a - F.get(v, i - 2), F.lit(0.0))))
+    inner = b - (a - c) ** 2 / (8 * bend) - third * (1 / (9 * math.sqrt(3)))
+    return F.when((bend > 0) & (F.abs(a - c) < 2 * bend), F.least(lowest, inner)).otherwise(lowest)

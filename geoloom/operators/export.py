@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,7 @@ class ExportSpec:
     include_constraints: bool = False
     skip_attributes: bool = False
     target_srid: int | None = None
+    strict_reprojection: bool = False
     extent: tuple[float, float, float, float] | None = None
     geometry_type: str = ""
     force_z: bool = False
@@ -174,12 +175,33 @@ def reprojected_points(df: DataFrame, source: int, target: int, strict: bool = F
 
 
 def reprojected_boxes(df: DataFrame, source: int, target: int) -> DataFrame:
-    """Boxes without a geometry by their corners, which bound them exactly between EPSG:4326 and EPSG:3857."""
+    """Boxes without a geometry: the least boxes that hold them in another system, null where an edge leaves its domain.
+    Corners bound them exactly between EPSG:4326 and EPSG:3857; elsewhere edges are curves, followed point by point."""
     if source == target:
         return df
-    low = crs.reprojected(F.col("xmin"), F.col("ymin"), source, target)
-    high = crs.reprojected(F.col("xmax"), F.col("ymax"), source, target)
-    return df.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), (*low, *high), strict=True)))
+    sides = ("xmin", "ymin", "xmax", "ymax")
+    if crs.straight(source, target):
+        low = crs.reprojected(F.col("xmin"), F.col("ymin"), source, target)
+        high = crs.reprojected(F.col("xmax"), F.col("ymax"), source, target)
+        return df.withColumns(dict(zip(sides, (*low, *high), strict=True)))
+    made = df.withColumn("_edges", crs.edges(*map(F.col, sides), source, target))
+    whole = ~F.exists(F.flatten("_edges"), lambda q: q["x"].isNull() | q["y"].isNull())
+
+    def along(axis: str, sign: int) -> Column:
+        return F.transform("_edges", lambda e: F.transform(e, lambda q: q[axis] * sign))
+
+    values = {"_xp": along("x", 1), "_yp": along("y", 1), "_xn": along("x", -1), "_yn": along("y", -1)}
+    made = made.withColumn("_whole", whole).withColumns(values)
+    least = lambda name: F.when(F.col("_whole"), F.array_min(F.transform(name, crs.least_of_edge)))
+    box = {"xmin": least("_xp"), "ymin": least("_yp"), "xmax": -least("_xn"), "ymax": -least("_yn")}
+    return made.withColumns(box).drop("_edges", "_whole", *values)
+
+
+def extent_in(spark: SparkSession, extent: tuple[float, float, float, float], source: int, target: int) -> tuple[float, float, float, float] | None:
+    """The least extent in another system that holds one; None where it leaves the system's domain."""
+    sides = ("xmin", "ymin", "xmax", "ymax")
+    row = reprojected_boxes(spark.range(1).select(*[F.lit(float(v)).alias(c) for c, v in zip(sides, extent, strict=True)]), source, target).select(*sides).first()
+    return None if None in row else tuple(row)
 
 
 def quarantined(df: DataFrame, column: str, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -200,31 +222,25 @@ def global_extent(extents: DataFrame) -> DataFrame:
 
 
 def effective_extent(own, overall, overall_srid: int, layer_srid: int):
-    """The extent to use for a layer: its own, given in its own system, else the overall one with its corners
-    reprojected. Both are tuples or None; the corners' arithmetic is done by Spark's expressions."""
+    """The extent to use for a layer: its own, given in its own system, else the overall one in the layer's system, so
+    that no point inside the overall one is outside. Both are tuples or None."""
     if own is not None or overall is None or overall_srid == layer_srid:
         return own if own is not None else overall
-    from pyspark.sql import SparkSession
-
-    low = crs.reprojected(F.lit(overall[0]), F.lit(overall[1]), overall_srid, layer_srid)
-    high = crs.reprojected(F.lit(overall[2]), F.lit(overall[3]), overall_srid, layer_srid)
-    row = SparkSession.active().range(1).select(*low, *high).first()
-    return None if None in row else tuple(row)
+    return extent_in(SparkSession.active(), overall, overall_srid, layer_srid)
 
 
 def effective_extents(specs: DataFrame, overall: tuple[float, float, float, float] | None, overall_srid: int, srids: tuple[int, ...]) -> DataFrame:
     """`specs` (layer_srid and an extent of their own or null) with the extent to use: their own, else the overall one
-    with its corners in the layer's system, which must be one of `srids`."""
+    in the layer's system, which must be one of `srids`."""
     if overall is None:
         return specs
-    corners = {"xmin": (0, 0), "ymin": (0, 1), "xmax": (1, 0), "ymax": (1, 1)}
-    moved = {s: [crs.reprojected(F.lit(overall[i]), F.lit(overall[i + 1]), overall_srid, s) for i in (0, 2)] for s in srids}
+    moved = {s: extent_in(specs.sparkSession, overall, overall_srid, s) for s in srids}
     own = F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymax").isNotNull()
     out = {}
-    for name, (corner, axis) in corners.items():
+    for i, name in enumerate(("xmin", "ymin", "xmax", "ymax")):
         shared = F.lit(None).cast("double")
-        for s, points in moved.items():
-            shared = F.when(F.col("layer_srid") == s, points[corner][axis]).otherwise(shared)
+        for s, box in moved.items():
+            shared = F.when(F.col("layer_srid") == s, F.lit(None if box is None else box[i]).cast("double")).otherwise(shared)
         out[name] = F.when(own, F.col(name)).otherwise(shared)
     return specs.withColumns(out)
 
@@ -280,7 +296,12 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
     else:
         rows = rows.withColumn("_reason", reason)
     if "geom" not in rows.columns:
-        return reprojected_boxes(rows, source_srid, target) if "xmin" in rows.columns else rows
+        if "xmin" not in rows.columns or source_srid == target:
+            return rows
+        there = F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymax").isNotNull()
+        moved = reprojected_boxes(rows.withColumn("_there", there), source_srid, target)
+        outside = F.col("_there") & (F.col("xmin").isNull() | F.col("ymin").isNull() | F.col("xmax").isNull() | F.col("ymax").isNull())
+        return moved.withColumn("_reason", F.coalesce("_reason", F.when(outside, OUTSIDE))).drop("_there")
     geom = F.col("geom")
     if spec.geometry_type:
         made = G.as_type(geom, spec.geometry_type)
@@ -314,9 +335,13 @@ def written_columns(layer: DataFrame, rows: DataFrame, spec: ExportSpec) -> list
 
 
 def exported(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:
-    """The rows and columns that a spec writes. Rows without a geometry stay; see `rejected` for those that cannot."""
+    """The rows and columns that a spec writes. Rows without a geometry stay; see `rejected` for those that cannot be
+    written. With `strict_reprojection` a row outside the target system fails the layer."""
     rows = prepared(layer, spec, source_srid, selection)
-    return rows.filter("_reason IS NULL").select(*written_columns(layer, rows, spec))
+    good = F.col("_reason").isNull()
+    if spec.strict_reprojection:
+        good = F.when(F.col("_reason") == OUTSIDE, F.raise_error(F.lit(f"{spec.name}: {OUTSIDE}")).cast("boolean")).otherwise(good)
+    return rows.filter(good).select(*written_columns(layer, rows, spec))
 
 
 def rejected(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, selection: DataFrame | None = None) -> DataFrame:

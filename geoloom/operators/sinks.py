@@ -1,14 +1,21 @@
-"""Sinks: one layer to files or tables, with options, overwrite policy and spatial clustering."""
+"""Sinks: one layer to files or tables, with options, overwrite policy and spatial clustering.
+
+What overwrites is first written beside its target and takes its place when it stands whole. A layer that fails midway
+leaves the old output as it was, and a layer may be read from the place that it overwrites."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import names
 from geoloom.operators import registry
 from geoloom.operators.export import GEOMETRY_COLUMNS, ExportSpec
+from geoloom.operators.ranks import durable
 
 
 def parse_options(text: str) -> dict[str, str]:
@@ -75,7 +82,7 @@ def geojson_lines(df: DataFrame) -> DataFrame:
         shape = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(F.array("x", "y")), F.lit("}")))
     else:
         shape = F.lit(None).cast("string")
-    properties = F.to_json(F.struct(*plain)) if plain else F.lit("{}")
+    properties = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}) if plain else F.lit("{}")
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), F.coalesce(shape, F.lit("null")), F.lit(',"properties":'), properties, F.lit("}")).alias("value"))
 
 
@@ -86,8 +93,9 @@ def insert_lines(df: DataFrame, table: str) -> DataFrame:
     quoted = [F.coalesce(F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")) for c in plain]
     if shape is not None:
         quoted.append(F.coalesce(F.concat(F.lit("ST_GeomFromText('"), shape, F.lit("')")), F.lit("NULL")))
-    columns = ", ".join(f'"{c}"' for c in [*plain, *(["geom"] if shape is not None else [])])
-    return df.select(F.concat(F.lit(f'INSERT INTO "{table}" ({columns}) VALUES ('), F.concat_ws(", ", *quoted), F.lit(");")).alias("value"))
+    name = lambda c: '"' + c.replace('"', '""') + '"'
+    columns = ", ".join(name(c) for c in [*plain, *(["geom"] if shape is not None else [])])
+    return df.select(F.concat(F.lit(f"INSERT INTO {name(table)} ({columns}) VALUES ("), F.concat_ws(", ", *quoted), F.lit(");")).alias("value"))
 
 
 def gmt_lines(df: DataFrame) -> DataFrame:
@@ -110,24 +118,74 @@ def output_path(spec: ExportSpec) -> str:
     return f"{spec.output_path.rstrip('/')}/{spec.name}{registry.extension_of(spec.driver)}"
 
 
+OVERWRITING = ("file", "layer", "overwrite")
+
+
+def replaced(spark: SparkSession, path: str, save: Callable[[str], None]) -> None:
+    """Let `save` write to a folder beside `path` and move it there when it is whole. The old one is moved aside first
+    and comes back if the new one cannot take its place."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    # Names with a leading underscore or dot are passed over by readers of the folder.
+    beside = lambda kind: context._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.{kind}-{mark}")
+    staged, old = beside("staged"), beside("old")
+    try:
+        save(staged.toString())
+        there = files.exists(target)
+        if there and not files.rename(target, old):
+            raise OSError(f"{path} cannot be moved aside")
+        if not files.rename(staged, target):
+            if there:
+                files.rename(old, target)
+            raise OSError(f"{path} cannot be replaced")
+        if there:
+            files.delete(old, True)
+    finally:
+        if files.exists(staged):
+            files.delete(staged, True)
+
+
+def replaced_table(spark: SparkSession, name: str, save: Callable[[str], None]) -> None:
+    """The same for a table: a new one of another name, which takes the old one's when it stands."""
+    staged = f"{name}_staged_{uuid.uuid4().hex}"
+    try:
+        save(staged)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+
+
 def write(df: DataFrame, spec: ExportSpec, seen: Observation | None = None) -> str:
     """Write to the format's files, or as a table of the schema named by output_path. Gives the path or table name.
 
+    `overwrite` is "error" (what exists stays and the export fails), "layer" (this layer is replaced, others of its
+    container stay) or "file" (the container is replaced: of a schema other than `default` all other tables go, once
+    the new one stands); files hold one layer, so for them both are one.
+
     `seen` counts the rows as `n` right before the writer: further up, the sample that a range partitioning takes of
     its input would be counted too."""
     form = registry.SPARK_FORMAT.get(spec.driver)
     if form is None:
         raise ValueError(f"{spec.driver} has no writer")
-    mode = "overwrite" if spec.overwrite in ("file", "layer", "overwrite") else "errorifexists"
+    spark, over = df.sparkSession, spec.overwrite in OVERWRITING
     rows = clustered(df) if spec.spatial_index.upper() == "YES" and form in ("parquet", "table") and {"x", "xmin"} & set(df.columns) else df
     if seen is not None:
         rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     if form == "table" or spec.target_mode == "gpkg":
-        name = f"{spec.output_path or 'default'}.{spec.name}"
-        rows.write.mode(mode).options(**writer_options(spec)).saveAsTable(name)
+        schema = spec.output_path or "default"
+        name = f"{schema}.{spec.name}"
+        save = lambda to: rows.write.mode("errorifexists").options(**writer_options(spec)).saveAsTable(to)
+        replaced_table(spark, name, save) if over else save(name)
+        if spec.overwrite == "file" and schema.lower() != "default":
+            for other in spark.catalog.listTables(schema):
+                if not other.isTemporary and other.name.lower() != spec.name.lower():
+                    spark.sql(f"DROP TABLE {schema}.`{other.name}`")
         if spec.description:
             text = spec.description.replace("'", "\\'")
-            df.sparkSession.sql(f"COMMENT ON TABLE {name} IS '{text}'")
+            spark.sql(f"COMMENT ON TABLE {name} IS '{text}'")
         return name
     path = output_path(spec)
     if spec.driver in ("GeoJSON", "GeoJSONSeq"):
@@ -138,24 +196,24 @@ def write(df: DataFrame, spec: ExportSpec, seen: Observation | None = None) -> s
         rows = gmt_lines(rows)
     elif form in ("csv", "xml"):
         rows = flat(rows)
-    out = rows.write.mode(mode).options(**writer_options(spec))
+    out = rows.write.mode("errorifexists").options(**writer_options(spec))
     if form in ("csv", "json", "text"):
         out = out.option("encoding", spec.encoding)
     if form == "csv":
         out = out.option("header", "true") if spec.driver == "CSV" else out.option("sep", " ")
     if form == "xml":
         out = out.option("rowTag", {"GPX": "wpt", "GeoRSS": "item", "GML": "featureMember"}.get(spec.driver, "Placemark")).option("rootTag", spec.driver.lower())
-    out.format(form).save(path)
+    if over:
+        replaced(spark, path, out.format(form).save)
+    else:
+        out.format(form).save(path)
     return path
 
 
 def write_many(df: DataFrame, specs: list[ExportSpec]) -> list[str]:
-    """Several formats of one layer: its plan runs once and is kept meanwhile."""
-    df.persist()
-    try:
-        return [write(df, s) for s in specs]
-    finally:
-        df.unpersist()
+    """Several formats of one layer: its plan runs once, and all are written from what that gave."""
+    rows = durable(df) if len(specs) > 1 else df
+    return [write(rows, s) for s in specs]
 
 
 def clashes(planned: DataFrame, existing: DataFrame) -> DataFrame:

@@ -65,13 +65,19 @@ def extent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.by_extent(views.features(spark, sf_dir), (0.0, 0.0, 20.0, 20.0)).select("fid", "event_type", "value", "x", "y")
 
 
-# The meridian arc and the expansion in longitude by powers of the eccentricity, another series than the operator's.
-_UTM = f"""(SELECT fid, lon, lat, 500000 + 0.9996 * nu * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120) AS east,
+def utm_sql(points: str, keep: str = "fid") -> str:
+    """Zone 32 of points (x, y): the meridian arc and the expansion in longitude by powers of the eccentricity, another
+    series than the operator's."""
+    e = crs.FLATTENING * (2 - crs.FLATTENING)
+    return f"""(SELECT {keep}, lon, lat, 500000 + 0.9996 * nu * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a ** 5 / 120) AS east,
   0.9996 * (m + nu * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a ** 6 / 720)) AS north
   FROM (SELECT *, {crs.RADIUS!r} / sqrt(1 - e * sin(phi) ** 2) AS nu, tan(phi) ** 2 AS t, ep * cos(phi) ** 2 AS c, radians(lon - 9) * cos(phi) AS a,
     {crs.RADIUS!r} * ((1 - e / 4 - 3 * e ** 2 / 64 - 5 * e ** 3 / 256) * phi - (3 * e / 8 + 3 * e ** 2 / 32 + 45 * e ** 3 / 1024) * sin(2 * phi)
       + (15 * e ** 2 / 256 + 45 * e ** 3 / 1024) * sin(4 * phi) - 35 * e ** 3 / 3072 * sin(6 * phi)) AS m
-    FROM (SELECT fid, x AS lon, y AS lat, radians(y) AS phi, {crs.FLATTENING * (2 - crs.FLATTENING)!r} AS e, {crs.FLATTENING * (2 - crs.FLATTENING) / (1 - crs.FLATTENING * (2 - crs.FLATTENING))!r} AS ep FROM {FEATURES} WHERE x BETWEEN 7 AND 11 AND y BETWEEN 0 AND 80)))"""
+    FROM (SELECT {keep}, x AS lon, y AS lat, radians(y) AS phi, {e!r} AS e, {e / (1 - e)!r} AS ep FROM {points})))"""
+
+
+_UTM = utm_sql(f"(SELECT * FROM {FEATURES} WHERE x BETWEEN 7 AND 11 AND y BETWEEN 0 AND 80)")
 
 
 @query(f"SELECT fid, round(lon, 6) AS x, round(lat, 6) AS y, round(east, 1) AS east, round(north, 1) AS north FROM {_UTM}")
@@ -126,6 +132,35 @@ def reproject_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("box_id", *[F.round(c, 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.round(G.area(F.col("geom")) / 1000000, 3).alias("area"))
 
 
+def edges_sql(boxes: str, parts: int) -> str:
+    """Points on all edges of boxes (fid, xmin, ymin, xmax, ymax)."""
+    t = f"(SELECT unnest(range({parts + 1})) / {parts}::double AS t)"
+    return f"""(SELECT fid, xmin + (xmax - xmin) * t AS x, ymin AS y FROM {boxes}, {t} UNION ALL SELECT fid, xmin + (xmax - xmin) * t, ymax FROM {boxes}, {t}
+      UNION ALL SELECT fid, xmin, ymin + (ymax - ymin) * t FROM {boxes}, {t} UNION ALL SELECT fid, xmax, ymin + (ymax - ymin) * t FROM {boxes}, {t})"""
+
+
+_NEAR_ZONE = f"(SELECT fid, xmin, ymin, xmin + side AS xmax, ymin + side AS ymax FROM {BOXES} WHERE xmin >= 3 AND xmin + side <= 15 AND ymin >= 0 AND ymin + side <= 80)"
+
+
+@query(f"SELECT fid AS box_id, round(min(east) / 100)::bigint AS xmin, round(min(north) / 100)::bigint AS ymin, round(max(east) / 100)::bigint AS xmax, round(max(north) / 100)::bigint AS ymax FROM {utm_sql(edges_sql(_NEAR_ZONE, 1000))} GROUP BY fid")
+def reproject_boxes_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least boxes in zone 32, in hundreds of metres, that hold boxes in degrees: their edges are curves there."""
+    layer = views.boxes(spark, sf_dir).drop("geom").withColumnRenamed("fid", "box_id")
+    spec = ExportSpec("boxes", "boxes", field_names=("box_id",), filter_expression="xmin >= 3 AND xmax <= 15 AND ymin >= 0 AND ymax <= 80", target_srid=32632)
+    return export.exported(layer, spec).select("box_id", *[F.round(F.col(c) / 100).cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@query(f"""SELECT p.fid, round(east, 1) AS east, round(north, 1) AS north FROM {utm_sql(f"(SELECT * FROM {FEATURES} WHERE x BETWEEN 3 AND 15 AND y BETWEEN 0 AND 80)")} p,
+  (SELECT min(east) AS xmin, min(north) AS ymin, max(east) AS xmax, max(north) AS ymax FROM {utm_sql(edges_sql("(SELECT 0 AS fid, 4.0::double AS xmin, 20.0::double AS ymin, 12.0::double AS xmax, 60.0::double AS ymax)", 4000))})
+  WHERE east BETWEEN xmin AND xmax AND north BETWEEN ymin AND ymax""")
+def utm_extent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a layer in zone 32 within an extent in degrees: the extent's edges bulge beyond its corners."""
+    near = export.by_extent(views.features(spark, sf_dir), (3.0, 0.0, 15.0, 80.0))
+    layer = export.reprojected_points(near, 4326, 32632)
+    extent = export.effective_extent(None, (4.0, 20.0, 12.0, 60.0), 4326, 32632)
+    return export.by_extent(layer, extent).select("fid", F.round("x", 1).alias("east"), F.round("y", 1).alias("north"))
+
+
 @query(f"""SELECT c_custkey AS spec_id, CASE WHEN driver IN ('GeoRSS', 'GML', 'KML') AND wanted IN (4326, 3857, 32632) THEN 4326 WHEN driver = 'MBTiles' AND wanted NOT IN (4326, 3857) THEN NULL WHEN wanted NOT IN (4326, 3857, 32632) THEN NULL ELSE wanted END::int AS target,
   CASE WHEN wanted NOT IN (4326, 3857, 32632) THEN 'unknown reference system' WHEN driver = 'MBTiles' AND wanted NOT IN (4326, 3857) THEN 'system not allowed' END AS reason
   FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'KML' WHEN 1 THEN 'MBTiles' WHEN 2 THEN 'CSV' ELSE 'GML' END AS driver, CASE c_custkey % 5 WHEN 0 THEN 3857 WHEN 1 THEN 32632 WHEN 2 THEN 2154 ELSE 4326 END AS wanted FROM customer)""")
@@ -575,6 +610,67 @@ def layer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree_json(views.tree(spark, sf_dir)).select(node.alias("n")).select("n.id", "n.depth", F.size("n.children").alias("children"))
 
 
+@query("""SELECT event_id::varchar AS id, (event_id % 300)::int AS depth, md5(coalesce(string_agg(event_type, '_') OVER (PARTITION BY event_id // 300 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS path FROM events""")
+def deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in trees of 300 levels."""
+    nodes = views.table(spark, sf_dir, "events").selectExpr(
+        "CAST(event_id AS STRING) AS id", "CASE WHEN event_id % 300 <> 0 THEN CAST(event_id - 1 AS STRING) END AS parent", "event_type AS name", "false AS layer"
+    )
+    return tree.with_paths(nodes).select("id", "depth", F.md5("path").alias("path"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 2 THEN 'cycle' WHEN 3 THEN 'cycle' WHEN 4 THEN 'cycle' WHEN 5 THEN 'missing parent' WHEN 6 THEN 'missing parent' END AS fault
+  FROM customer WHERE c_custkey % 7 BETWEEN 2 AND 6 AND c_custkey - c_custkey % 7 >= 1 AND c_custkey - c_custkey % 7 + 6 <= (SELECT max(c_custkey) FROM customer)""")
+def tree_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on cycles of two, below one, and with no parent or below such a node."""
+    customers = views.table(spark, sf_dir, "customer")
+    start = "c_custkey - c_custkey % 7"
+    whole = customers.filter(f"{start} >= 1").join(customers.agg(F.max("c_custkey").alias("last")), F.expr(f"{start} + 6 <= last"))
+    parent = "CASE c_custkey % 7 WHEN 1 THEN c_custkey - 1 WHEN 2 THEN c_custkey + 1 WHEN 3 THEN c_custkey - 1 WHEN 4 THEN c_custkey - 1 WHEN 5 THEN -c_custkey WHEN 6 THEN c_custkey - 1 END AS parent"
+    return tree.faults(whole.selectExpr("c_custkey AS id", parent, "c_name AS name", "false AS layer"))
+
+
+_LAYER = """'{"type":"layer","name":' || to_json(s_name)::varchar || '}'"""
+_GROUP = """'{{"type":"group","name":' || to_json({name})::varchar || ',"children":[' || coalesce(string_agg(doc, ',' ORDER BY id), '') || ']}}'"""
+
+
+@query(f"""WITH s AS (SELECT 's' || s_suppkey AS id, s_nationkey, {_LAYER} AS doc FROM supplier),
+  n AS (SELECT 'n' || n_nationkey AS id, n_regionkey, {_GROUP.format(name='n_name')} AS doc FROM nation LEFT JOIN (SELECT s_nationkey, id, doc FROM s) ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey, n_name)
+  SELECT 'r' || r_regionkey AS root, {_GROUP.format(name='r_name')} AS value FROM region LEFT JOIN (SELECT n_regionkey, id, doc FROM n) ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+def layer_tree_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer tree as one nested document a root."""
+    return tree.tree_documents(views.tree(spark, sf_dir))
+
+
+_CLICKS = f"(SELECT * FROM {FEATURES} WHERE event_type = 'click')"
+
+
+@query(f"""SELECT 'first' AS step, count(*)::bigint AS n, round(sum(value), 3) AS total, '' AS error FROM {_CLICKS} UNION ALL SELECT 'failed', count(*), round(sum(value), 3), 'failed' FROM {_CLICKS}
+  UNION ALL SELECT 'own rows', count(*), round(sum(value), 3), '' FROM {_CLICKS} WHERE value > 50 UNION ALL SELECT 'table', count(*), round(sum(value), 3), '' FROM {_CLICKS} WHERE value > 80""")
+def safe_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer written, overwritten by one that fails midway, by its own rows, and a table by its own rows."""
+    folder, steps = scratch_path(spark, "overwrite"), []
+    layer = views.features(spark, sf_dir).select("fid", "event_type", "value", "x", "y")
+    spec = ExportSpec("f", "clicks", output_path=folder, filter_expression="event_type = 'click'", overwrite="layer")
+    path = sinks.write(export.exported(layer, spec), spec)
+
+    def seen(step: str, rows: DataFrame, error: str = "") -> None:
+        steps.append((step, *rows.agg(F.count(F.lit(1)), F.round(F.sum("value"), 3)).first(), error))
+
+    seen("first", spark.read.parquet(path))
+    failing = ExportSpec("f", "clicks", output_path=folder, overwrite="layer", field_types={"event_type": "Integer"}, strict_types=True)
+    ended = batch.run(spark, [failing], lambda _: (layer, 4326)).first()
+    seen("failed", spark.read.parquet(path), "" if ended.success else "failed")
+    sinks.write(spark.read.parquet(path).filter("value > 50"), spec)
+    seen("own rows", spark.read.parquet(path))
+    table = ExportSpec("f", f"clicks_{scratch_path(spark, '')[-32:]}", driver="GPKG", target_mode="gpkg", overwrite="layer")
+    name = sinks.write(spark.read.parquet(path), table)
+    sinks.write(spark.table(name).filter("value > 80"), table)
+    seen("table", spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(steps, "step string, n long, total double, error string")
+
+
 # --- raster cells -----------------------------------------------------------------------------------------------------
 
 
@@ -608,3 +704,47 @@ def raster_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raster_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster.without_nodata(views.cells(spark, sf_dir), -9999.0)
     return raster.resampled(cells, 0.0, 0.0, 5.0, 5.0, "average").select("trow", "tcol", F.round("value", 6).alias("value"))
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, raster.Grid]:
+    """The cells and the grid that they lie on."""
+    cells = raster.without_nodata(views.cells(spark, sf_dir), -9999.0)
+    return cells, raster.Grid(-0.5, -0.5, 1.0, 1.0, 100, int(export.layer_extent(cells).first()["ymax"]) + 1)
+
+
+_FINE = f"""(SELECT trow, tcol, -0.5::double + (tcol + 0.5::double) * 0.4::double AS x, -0.5::double + (trow + 0.5::double) * 0.4::double AS y
+  FROM (SELECT unnest(range(ceil((max(y) + 1) / 0.4::double - 1e-9::double)::bigint)) AS trow FROM {CELLS}), (SELECT unnest(range(250)) AS tcol))"""
+
+
+@query(f"SELECT trow, tcol, nullif(value, -9999) AS value FROM (SELECT *, floor(x + 0.5::double) AS col, floor(y + 0.5::double) AS row FROM {_FINE}) t LEFT JOIN (SELECT row, col, value FROM {CELLS}) c ON c.row = t.row AND c.col = t.col")
+def raster_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finer grid: each new centre takes the cell it falls into."""
+    cells, grid = _raster(spark, sf_dir)
+    fine = raster.grid_over(grid.extent, 0.4, 0.4)
+    return raster.on_grid(cells, grid, fine).select("trow", "tcol", "value")
+
+
+@query(f"""SELECT trow, tcol, round(sum(w * v) / sum(w) FILTER (v IS NOT NULL), 6) AS value FROM (SELECT trow, tcol, unnest([{{'r': r, 'c': c, 'w': (1 - fr) * (1 - fc)}}, {{'r': r, 'c': c + 1, 'w': (1 - fr) * fc}}, {{'r': r + 1, 'c': c, 'w': fr * (1 - fc)}},
+    {{'r': r + 1, 'c': c + 1, 'w': fr * fc}}], recursive := true) FROM (SELECT trow, tcol, floor(x)::bigint AS c, floor(y)::bigint AS r, x - floor(x) AS fc, y - floor(y) AS fr FROM {_FINE})) q
+  LEFT JOIN (SELECT row, col, nullif(value, -9999) AS v FROM {CELLS}) s ON s.row = q.r AND s.col = q.c GROUP BY trow, tcol""")
+def raster_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = _raster(spark, sf_dir)
+    fine = raster.on_grid(cells, grid, raster.grid_over(grid.extent, 0.4, 0.4), "bilinear")
+    return fine.select("trow", "tcol", F.round("value", 6).alias("value"))
+
+
+_WORLD_Y = f"{crs.RADIUS!r} * ln(tan(pi() / 4 + radians({{lat}}::double) / 2))"
+
+
+@query(f"""SELECT trow, tcol, nullif(value, -9999) AS value, 3857 AS srid FROM (SELECT trow, tcol, floor((x / {crs.DEGREE!r} + 180) / 3.6::double) AS col, floor((degrees(2 * atan(exp(y / {crs.RADIUS!r})) - pi() / 2) + 85) / (170.0::double / n)) AS row
+    FROM (SELECT trow, tcol, n, {-180 * crs.DEGREE!r} + (tcol + 0.5::double) * {360 * crs.DEGREE / 200!r} AS x, {_WORLD_Y.format(lat=-85)} + (trow + 0.5::double) * (({_WORLD_Y.format(lat=85)} - {_WORLD_Y.format(lat=-85)}) / (2 * n)) AS y
+      FROM (SELECT unnest(range(2 * (max(row) + 1)::bigint)) AS trow, max(row) + 1 AS n FROM {CELLS}), (SELECT unnest(range(200)) AS tcol))) t
+  LEFT JOIN (SELECT row, col, value FROM {CELLS}) c ON c.row = t.row AND c.col = t.col""")
+def raster_warp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells laid over the world in degrees, on a grid of Web Mercator twice as fine: no cell stays empty."""
+    cells, plain = _raster(spark, sf_dir)
+    grid = raster.Grid(-180.0, -85.0, 3.6, 170.0 / plain.rows, 100, plain.rows)
+    world = cells.withColumns({"x": grid.x0 + (F.col("col") + 0.5) * grid.xres, "y": grid.y0 + (F.col("row") + 0.5) * grid.yres})
+    xmin, ymin, xmax, ymax = export.extent_in(spark, grid.extent, 4326, 3857)
+    target = raster.grid_over((xmin, ymin, xmax, ymax), (xmax - xmin) / 200, (ymax - ymin) / (2 * grid.rows), 3857)
+    return raster.on_grid(world, grid, target).select("trow", "tcol", "value", "srid")

@@ -13,10 +13,12 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once, unless workers find it by PYTHONPATH or their folder."""
+    """Add the package to the session's Python files, once, unless workers find it by PYTHONPATH or, where they run on
+    this machine, by the driver's folder."""
     paths = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] if os.environ.get("PYTHONPATH") else []
     context = spark.sparkContext
-    if ROOT in [*paths, Path.cwd()] or getattr(context, "_geoloom_shipped", False):
+    here = [Path.cwd()] if context.master.startswith("local") else []
+    if ROOT in [*paths, *here] or getattr(context, "_geoloom_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="geoloom-")) / "geoloom.zip"
     with zipfile.ZipFile(archive, "w") as z:
