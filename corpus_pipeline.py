@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from geoloom.llm import minhash, packing, quality, suffixes
 from geoloom.llm.common import saved, table
 
+#: Near copies share so many hundredths of their shingles.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -14,8 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return minhash.deduplicated(docs)
+    """Of each group of near copies (four fifths of their 5-word shingles in common) the document with the smallest id
+    stays."""
+    return minhash.deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -26,7 +26,7 @@ def brute(rows):
 
     for a, b in combinations(range(len(rows)), 2):
         inter = len(sets[a] & sets[b])
-        if inter and 100 * inter >= 85 * len(sets[a] | sets[b]):
+        if inter and 100 * inter >= percent * len(sets[a] | sets[b]):
             root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):

@@ -34,7 +34,7 @@ def test_each_stage_is_its_operator(spark, sf_dir):
     stages = dict(corpus_pipeline.STAGES)
     kept = {r.doc_id for r in quality.judged(docs).filter("kept").collect()}
     assert {r.doc_id for r in stages["quality_rules"](spark, docs, sf_dir).collect()} == kept
-    one = {r.doc_id for r in minhash.near_duplicates(docs).filter("kept").collect()}
+    one = {r.doc_id for r in minhash.near_duplicates(docs, percent=80).filter("kept").collect()}
     assert {r.doc_id for r in stages["minhash_dedup"](spark, docs, sf_dir).collect()} == one
     gone = {r.doc_id: r.n_bytes - r.n_removed for r in suffixes.cut(docs).collect()}
     for r in stages["suffix_dedup"](spark, docs, sf_dir).collect():
@@ -81,7 +81,7 @@ def test_the_pipeline_against_brute_force(spark, sf_dir):
     tokenizers = pytest.importorskip("tokenizers")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     good = [(i, t) for i, t in sorted(texts.items()) if quality_kept(t)]
-    single = {i for i, n, c in near_brute(good) if i == c or n == 0}
+    single = {i for i, n, c in near_brute(good, 80) if i == c or n == 0}
     left = without_repeats({i: t for i, t in good if i in single})
     encoder = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
     pieces, fill = defaultdict(list), defaultdict(list)
@@ -109,3 +109,14 @@ def test_nulls_repeats_and_clashing_names(spark, sf_dir, prose):
     assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "5", "None"]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in pieces.collect()} == {1, 5, None}
+
+
+def test_near_copies_between_80_and_85(spark, sf_dir, docs_of, prose):
+    """Links at four fifths, none below."""
+    words = prose(1, 204).split()  # 200 shingles
+    near = words[:-19] + prose(2, 19).split()  # 181 of 219
+    far = words[:-24] + prose(3, 24).split()  # 176 of 224
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    assert [c for _, _, c in near_brute(rows[:2])] == [1, 2] and [c for _, _, c in near_brute(rows[:2], 80)] == [1, 1]
+    kept = corpus_pipeline.near_dedup_stage(spark, docs_of(rows), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in near_brute(rows, 80)}) == [1, 3]
