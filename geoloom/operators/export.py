@@ -191,10 +191,10 @@ def reprojected_boxes(df: DataFrame, source: int, target: int) -> DataFrame:
         return F.transform("_edges", lambda e: F.transform(e, lambda q: q[axis] * sign))
 
     values = {"_xp": along("x", 1), "_yp": along("y", 1), "_xn": along("x", -1), "_yn": along("y", -1)}
-    made = made.withColumn("_whole", whole).withColumns(values)
-    least = lambda name: F.when(F.col("_whole"), F.array_min(F.transform(name, crs.least_of_edge)))
+    made = made.withColumn("_inside", whole).withColumns(values)
+    least = lambda name: F.when(F.col("_inside"), F.array_min(F.transform(name, crs.least_of_edge)))
     box = {"xmin": least("_xp"), "ymin": least("_yp"), "xmax": -least("_xn"), "ymax": -least("_yn")}
-    return made.withColumns(box).drop("_edges", "_whole", *values)
+    return made.withColumns(box).drop("_edges", "_inside", *values)
 
 
 def extent_in(spark: SparkSession, extent: tuple[float, float, float, float], source: int, target: int) -> tuple[float, float, float, float] | None:
