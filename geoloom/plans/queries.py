@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import catalogue, crs, names
 from geoloom.functions import geometry as G
-from geoloom.operators import batch, bundle, export, raster, registry, sinks, tree
+from geoloom.operators import batch, bundle, chunks, export, raster, registry, rewriting, sinks, tree
 from geoloom.operators.export import ExportSpec
 from geoloom.operators.ranks import durable, with_previous
 from geoloom.sources import archives, views
@@ -610,6 +610,38 @@ def layer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree_json(views.tree(spark, sf_dir)).select(node.alias("n")).select("n.id", "n.depth", F.size("n.children").alias("children"))
 
 
+@query(f"SELECT name, octet_length(encode(coalesce(text, '')))::bigint AS size, greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / 4096.0))::bigint AS parts, sha256(coalesce(text, '')) AS hash FROM {ENTRIES}")
+def chunked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files cut into chunks of 4096 bytes, each stored once, and put together again in another folder."""
+    here, there, path = (scratch_path(spark, name) for name in ("files", "restored", "chunked"))
+    bundle.restore(views.entries(spark, sf_dir).select("name", "content"), here)
+    chunks.pack_files(spark, here, path, 4096)
+    chunks.restore_files(spark, path, there)
+    files = spark.read.parquet(f"{path}/files").select("name", "size", "parts")
+    return bundle.hashed(bundle.read_files(spark, there)).select("name", "hash").join(files, "name").select("name", "size", "parts", "hash")
+
+
+@query(f"""SELECT doc_id || '.arc' AS path, doc_id % 13 <> 0 AS whole, CASE WHEN doc_id % 13 <> 0 THEN lang || '/' || doc_id || '.txt' ELSE '' END AS first, CASE WHEN doc_id % 13 <> 0 THEN octet_length(encode(text))::bigint ELSE 0 END AS raw_size,
+  CASE WHEN doc_id % 13 <> 0 THEN 2 ELSE 0 END::bigint AS entries FROM documents WHERE text IS NOT NULL""")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives in a folder, listed by reads of their headers and seek tables."""
+    magic, folder = b"ARC0", scratch_path(spark, "archives")
+    bundle.restore(views.archives(spark, sf_dir, magic).select(F.col("path").alias("name"), "content"), folder)
+    found = archives.files_listed(spark, folder, magic).groupBy("path")
+    return found.agg(
+        F.min(F.col("problem").isNull()).alias("whole"), F.coalesce(F.min_by("name", "entry"), F.lit("")).alias("first"), F.coalesce(F.sum("raw_size"), F.lit(0)).alias("raw_size"), F.count("entry").alias("entries")
+    )
+
+
+@query("""WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS f FROM pages), p AS (SELECT '(' || string_agg(regexp_escape(f), '|' ORDER BY length(f) DESC, f) || ')' AS p FROM f)
+  SELECT page_id, md5(regexp_replace(html, p, 'bundle://\\1', 'g')) AS html FROM pages, p""")
+def rewrite_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path that some page names, replaced wherever it stands in any page, the longest first."""
+    pages = views.table(spark, sf_dir, "pages").select("page_id", "html")
+    pairs = rewriting.path_forms(bundle.referenced(pages, "html").select(F.col("ref").alias("f"), F.concat(F.lit("bundle://"), "ref").alias("t")))
+    return rewriting.rewritten_everywhere(pages, pairs, "html").select("page_id", F.md5("html").alias("html"))
+
+
 @query("""SELECT event_id::varchar AS id, (event_id % 300)::int AS depth, md5(coalesce(string_agg(event_type, '_') OVER (PARTITION BY event_id // 300 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS path FROM events""")
 def deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in trees of 300 levels."""

@@ -5,6 +5,9 @@ offset, payload offset, payload size, raw total; at the seek offset the number o
 (flags, name length, name offset as 32 bits; data offset, data size, raw size, hash as 64 bits), then the names one
 after another. Version 2: flags, payload size, raw total; then flags, name length (32 bits), name, data length (64
 bits) and data, entry by entry.
+
+`files_listed` reads archives where they lie: of each the header and the seek table, or of version 2 the entries' heads
+with a seek over each payload, so what is read does not follow the archives' size. The other functions take contents.
 """
 
 from __future__ import annotations
@@ -12,9 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.sources import folders
+
 
 def unsigned(data: Column, at, width: int) -> Column:
     """Little-endian number of `width` bytes at byte `at` (from 0)."""
@@ -112,3 +117,99 @@ def listed_v2(files: DataFrame, magic: bytes) -> DataFrame:
     return walked.select("path", F.posexplode("found").alias("entry", "e")).select(
         "path", "entry", "e.name", "e.flags", "e.data_size", F.col("e.data_size").alias("raw_size"), F.lit(0).cast("decimal(20,0)").alias("hash")
     )
+
+
+# --- ranged reads -------------------------------------------------------------------------------------------------
+
+#: Entries of a seek table that are read at a time.
+AT_ONCE = 65_536
+LISTED = "path string, version int, problem string, entry long, name string, flags long, data_size long, raw_size long, hash decimal(20,0)"
+
+
+def walk(f, size: int, magic: bytes) -> Iterator[tuple]:
+    """(version, problem, entry, name, flags, data_size, raw_size, hash) of an open archive of `size` bytes: one row for
+    each entry, or one with a problem and no entry. `f` is read by read_at(bytes, place) only."""
+    import struct
+
+    def broken(version: int | None, problem: str) -> tuple:
+        return version, problem, None, None, None, None, None, None
+
+    head = f.read_at(min(size, 48), 0)
+    if len(head) < 8:
+        yield broken(None, "truncated")
+        return
+    if head[:4] != magic:
+        yield broken(None, "bad magic")
+        return
+    version = int.from_bytes(head[4:8], "little")
+    if version not in (2, 3, 4):
+        yield broken(version, "unknown version")
+        return
+    if len(head) < (32 if version == 2 else 48):
+        yield broken(version, "truncated")
+        return
+    if version == 2:
+        (payload,) = struct.unpack_from("<Q", head, 16)
+        at, stop, entry = 32, 32 + payload, 0
+        while at < stop:
+            flags, length = struct.unpack("<II", f.read_at(8, at)) if at + 8 <= size else (0, size)
+            if at + 16 + length > size:
+                yield broken(version, "truncated")
+                return
+            tail = f.read_at(length + 8, at + 8)
+            data_size = int.from_bytes(tail[length:], "little")
+            yield version, None, entry, tail[:length].decode("utf-8", "replace"), flags, data_size, data_size, 0
+            at, entry = at + 16 + length + data_size, entry + 1
+        return
+    (seek,) = struct.unpack_from("<Q", head, 16)
+    if seek + 4 > size:
+        yield broken(version, "truncated")
+        return
+    count = int.from_bytes(f.read_at(4, seek), "little")
+    table, heap = seek + 4, seek + 4 + 44 * count
+    if heap > size:
+        yield broken(version, "truncated")
+        return
+    for first in range(0, count, AT_ONCE):
+        n = min(AT_ONCE, count - first)
+        rows = list(struct.iter_unpack("<IIIQQQQ", f.read_at(44 * n, table + 44 * first)))
+        names = f.read_at(sum(r[1] for r in rows), heap)
+        if len(names) < sum(r[1] for r in rows):
+            yield broken(version, "truncated")
+            return
+        at = 0
+        for k, (flags, length, _, _, data_size, raw_size, digest) in enumerate(rows):
+            yield version, None, first + k, names[at : at + length].decode("utf-8", "replace"), flags, data_size, raw_size, digest
+            at += length
+        heap += at
+
+
+def files_listed(spark: SparkSession, folder: str, magic: bytes) -> DataFrame:
+    """(path, version, problem, entry, name, flags, data_size, raw_size, hash) of the archives below a folder, by ranged
+    reads; a file that is no archive or is cut off has a row with a problem and no entry."""
+
+    def run(batches: Iterator) -> Iterator:
+        import posixpath
+
+        import pyarrow as pa
+
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.decimal128(20, 0))
+        names = [c.split()[0] for c in LISTED.split(", ")]
+        store, root = folders.store_of(folder)
+
+        def made(rows: list):
+            rows = [(*r[:-1], None if r[-1] is None else Decimal(r[-1])) for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            held: list = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(posixpath.join(root, name)) as f:
+                    for row in walk(f, size, magic):
+                        held.append((name, *row))
+                        if len(held) >= AT_ONCE:
+                            yield made(held)
+                            held = []
+            yield made(held)
+
+    return folders.listing(spark, folder).select("name", "size").mapInArrow(run, LISTED)
