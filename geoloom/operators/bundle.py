@@ -193,10 +193,18 @@ def blobs(entries: DataFrame) -> DataFrame:
     return kept.select("hash", "content", F.octet_length("content").cast("long").alias("raw_size"))
 
 
-def pack(entries: DataFrame, path: str, dependencies: DataFrame | None = None, rewrites: DataFrame | None = None, created: str = "", plugin_version: str = "") -> None:
-    """Three tables below `path`: blobs, index (sorted by name), manifest."""
+#: Bytes of a row group of contents: what the look-up of one entry reads at most, but for a larger content.
+ROW_GROUP = 16 << 20
+
+
+def pack(
+    entries: DataFrame, path: str, dependencies: DataFrame | None = None, rewrites: DataFrame | None = None, created: str = "", plugin_version: str = "", row_group: int = ROW_GROUP
+) -> None:
+    """Three tables below `path`: blobs, index (sorted by name), manifest. Blobs lie by hash within their files and have
+    Bloom filters of it, so that a look-up opens the row group of its content."""
     out = lambda df, table: df.write.option("compression", "zstd").parquet(f"{path}/{table}")
-    out(blobs(entries), "blobs")
+    contents = blobs(entries).sortWithinPartitions("hash").write.option("compression", "zstd").option("parquet.block.size", row_group)
+    contents.option("parquet.bloom.filter.enabled#hash", "true").parquet(f"{path}/blobs")
     out(index(entries).repartitionByRange("name").sortWithinPartitions("name"), "index")
     out(manifest_entries(entries), "manifest")
     if dependencies is not None:
@@ -211,9 +219,11 @@ def open_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entry(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One entry; the name is pushed into the scan of the sorted index."""
-    found = spark.read.parquet(f"{path}/index").filter(F.col("name") == name).select("name", "hash")
-    return found.join(spark.read.parquet(f"{path}/blobs"), "hash").select("name", "content")
+    """(name, content) of one entry, in two steps: its hash from the index that is sorted by name, then the content by
+    the hash as a constant, which statistics and Bloom filters of the blobs are held against."""
+    found = spark.read.parquet(f"{path}/index").filter(F.col("name") == name).select("hash").distinct().collect()  # of one name
+    contents = spark.read.parquet(f"{path}/blobs").filter(F.col("hash").isin([r["hash"] for r in found]))
+    return contents.select(F.lit(name).alias("name"), "content")
 
 
 def verified(indexed: DataFrame, stored: DataFrame) -> DataFrame:

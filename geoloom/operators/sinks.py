@@ -5,6 +5,7 @@ leaves the old output as it was, and a layer may be read from the place that it
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.functions import names
 from geoloom.operators import registry
-from geoloom.operators.export import GEOMETRY_COLUMNS, ExportSpec
+from geoloom.operators.export import GEOMETRY_COLUMNS, ExportSpec, by_extent
 from geoloom.operators.ranks import durable
 
 
+#: The column of a row's place on the curve.
+MORTON = "morton"
+
+
 def parse_options(text: str) -> dict[str, str]:
     """KEY=VALUE pairs, one a line or separated by semicolons; others are passed over."""
     pairs = (p.split("=", 1) for p in text.replace(";", "\n").splitlines() if "=" in p)
@@ -43,12 +48,57 @@ def morton_key(x: Column, y: Column, extent=(-180.0, -90.0, 180.0, 90.0), bits:
     return spread(cell(x, xmin, xmax)).bitwiseOR(F.shiftleft(spread(cell(y, ymin, ymax)), 1))
 
 
-def clustered(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows near each other in the plane in one file, so that box filters skip files by their statistics."""
+def morton_ranges(box: tuple[float, float, float, float], extent=(-180.0, -90.0, 180.0, 90.0), bits: int = 15, most: int = 64) -> list[tuple[int, int]]:
+    """At most `most` ranges of keys that hold all cells which a box meets: squares of the grid are quartered as long as
+    they lie in part inside the box and the number allows it; what is still in part inside is taken whole."""
+    xmin, ymin, xmax, ymax = extent
+    cell = lambda v, lo, hi: min(max(math.floor((v - lo) / (hi - lo) * (1 << bits)), 0), (1 << bits) - 1)
+    x0, x1, y0, y1 = cell(box[0], xmin, xmax), cell(box[2], xmin, xmax), cell(box[1], ymin, ymax), cell(box[3], ymin, ymax)
+    if x0 > x1 or y0 > y1:
+        return []
+    whole: list[tuple[int, int]] = []
+    partly = [(0, 0, 0)]  # key of the first cell and its place, for squares of one size
+    for level in range(bits, -1, -1):
+        side = 1 << level
+        cut = []
+        for key, x, y in partly:
+            if x0 <= x and x + side - 1 <= x1 and y0 <= y and y + side - 1 <= y1:
+                whole.append((key, key + side * side - 1))
+            elif x <= x1 and x + side - 1 >= x0 and y <= y1 and y + side - 1 >= y0:
+                cut.append((key, x, y))
+        if level == 0 or len(whole) + 4 * len(cut) > most:
+            whole += [(key, key + side * side - 1) for key, _, _ in cut]
+            break
+        half = side // 2
+        partly = [(key + i * half * half, x + (i & 1) * half, y + (i >> 1) * half) for key, x, y in cut for i in range(4)]
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(whole):
+        if merged and merged[-1][1] + 1 == low:
+            merged[-1] = merged[-1][0], high
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def clustered(df: DataFrame, partitions: int | None = None, keep_key: bool = False) -> DataFrame:
+    """Rows near each other in the plane in one file, so that box filters skip files by their statistics. With
+    `keep_key` the place on the curve stays as MORTON, by which `by_extent_on_curve` skips files for boxes of any shape."""
     x, y = (F.col("x"), F.col("y")) if "x" in df.columns else ((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2)
-    keyed = df.withColumn("_cell", morton_key(x, y))
-    dealt = keyed.repartitionByRange(partitions, "_cell") if partitions else keyed.repartitionByRange("_cell")
-    return dealt.sortWithinPartitions("_cell").drop("_cell")
+    keyed = df.withColumn(MORTON, morton_key(x, y))
+    dealt = keyed.repartitionByRange(partitions, MORTON) if partitions else keyed.repartitionByRange(MORTON)
+    rows = dealt.sortWithinPartitions(MORTON)
+    return rows if keep_key else rows.drop(MORTON)
+
+
+def by_extent_on_curve(df: DataFrame, extent: tuple[float, float, float, float], margin: float = 0.0, most: int = 64) -> DataFrame:
+    """`export.by_extent` on rows that `clustered` wrote with their key: ranges of the key reach the scan beside the
+    comparisons, so that files and row groups outside the box go unread even where both its sides are long. `margin`
+    is half the longest side of a box among the rows, as a box has the key of its centre."""
+    xmin, ymin, xmax, ymax = extent
+    wanted = F.lit(False)
+    for low, high in morton_ranges((xmin - margin, ymin - margin, xmax + margin, ymax + margin), most=most):
+        wanted = wanted | F.col(MORTON).between(low, high)
+    return by_extent(df.filter(wanted), extent).drop(MORTON)
 
 
 def shape_text(df: DataFrame) -> Column | None:
@@ -165,6 +215,9 @@ def write(df: DataFrame, spec: ExportSpec, seen: Observation | None = None) -> s
     container stay) or "file" (the container is replaced: of a schema other than `default` all other tables go, once
     the new one stands); files hold one layer, so for them both are one.
 
+    `encoding` holds for CSV and its kin and for JSON records. GeoJSON is UTF-8 always, as its definition has it; Spark
+    writes other lines of text in UTF-8 too, so another encoding is refused for them.
+
     `seen` counts the rows as `n` right before the writer: further up, the sample that a range partitioning takes of
     its input would be counted too."""
     form = registry.SPARK_FORMAT.get(spec.driver)
@@ -196,8 +249,10 @@ def write(df: DataFrame, spec: ExportSpec, seen: Observation | None = None) -> s
         rows = gmt_lines(rows)
     elif form in ("csv", "xml"):
         rows = flat(rows)
+    if form == "text" and not spec.driver.startswith("GeoJSON") and spec.encoding.upper().replace("-", "") != "UTF8":
+        raise ValueError(f"{spec.driver} is written in UTF-8 only")
     out = rows.write.mode("errorifexists").options(**writer_options(spec))
-    if form in ("csv", "json", "text"):
+    if form in ("csv", "json"):
         out = out.option("encoding", spec.encoding)
     if form == "csv":
         out = out.option("header", "true") if spec.driver == "CSV" else out.option("sep", " ")

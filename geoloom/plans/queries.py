@@ -322,6 +322,103 @@ def expr_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.by_expression(layer, text).selectExpr(*map(catalogue.spark_sql, columns))
 
 
+@query("SELECT o_orderkey, (epoch(TIMESTAMP '2000-01-01 00:00:00') - epoch(o_orderdate))::bigint AS seconds FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01 00:00:00' OR o_orderdate > TIMESTAMP '2000-06-01 00:00:00'")
+def expr_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals between times, as a filter and in seconds."""
+    rows = views.table(spark, sf_dir, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
+    since = "age(TIMESTAMP '2000-01-01 00:00:00', at)"
+    far = export.by_expression(rows, f"at < TIMESTAMP '1999-01-01 00:00:00' OR {since} < INTERVAL '-152' DAY AND at > TIMESTAMP '2000-06-01 00:00:00'")
+    seconds = " + ".join(f"CAST(extract({part} FROM {since}) AS BIGINT) * {n}" for part, n in (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1)))
+    return far.selectExpr("o_orderkey", f"{seconds} AS seconds")
+
+
+# --- columns and geometry that a spec asks for ----------------------------------------------------------------------
+
+
+def _described(layer: DataFrame, **metadata: dict) -> DataFrame:
+    return layer.select(*[F.col(c).alias(c, metadata=metadata[c]) if c in metadata else F.col(c) for c in layer.columns])
+
+
+@query(f"SELECT event_type AS kind, value AS amount, x, y FROM {FEATURES}")
+def alias_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by their aliases, one renamed by the spec."""
+    layer = _described(views.features(spark, sf_dir), event_type={"alias": "kind"}, value={"alias": "worth"})
+    return export.exported(layer, ExportSpec("e", "e", field_names=("event_type", "value"), use_aliases=True, field_export_names={"value": "amount"}))
+
+
+@query("SELECT event_id AS id, CASE WHEN value < 10 THEN 'no value in kind' END AS reason FROM events")
+def kept_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that keep a column's constraint, and those that break it with the reason."""
+    layer = views.features(spark, sf_dir).select(F.col("fid").alias("id"), F.when(F.col("value") >= 10, F.col("event_type")).alias("kind"), "x", "y")
+    layer = _described(layer, kind={"not_null": True})
+    spec = ExportSpec("e", "e", include_constraints=True)
+    good = export.exported(layer, spec)
+    if not good.schema["kind"].metadata.get("not_null"):
+        raise ValueError("the constraint is lost")
+    return good.select("id", F.lit(None).cast("string").alias("reason")).unionByName(export.rejected(layer, spec).select("id", "reason"))
+
+
+@query(f"SELECT x * {crs.DEGREE!r} AS x, round({crs.RADIUS!r} * ln(tan(pi() / 4 + radians(y) / 2)), 3) AS y FROM {FEATURES} WHERE event_type = 'error'")
+def geometry_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No attributes."""
+    out = export.exported(views.features(spark, sf_dir), ExportSpec("e", "e", skip_attributes=True, filter_expression="event_type = 'error'", target_srid=3857))
+    return out.withColumn("y", F.round("y", 3))
+
+
+@query("SELECT lang AS title, source AS category FROM documents")
+def georss_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the columns that the format has."""
+    layer = views.table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS title", "source AS category", "n_chars AS size")
+    return export.exported(layer, ExportSpec("d", "d", driver="GeoRSS"))
+
+
+@query(f"SELECT fid AS box_id, side FROM {BOXES} WHERE xmin <= 90 AND xmin + side >= 0 AND ymin <= 45 AND ymin + side >= 0")
+def no_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of boxes within an extent, without their geometry."""
+    layer = views.boxes(spark, sf_dir).withColumnRenamed("fid", "box_id")
+    return export.exported(layer, ExportSpec("b", "b", field_names=("box_id", "side"), geometry_type="NoGeometry", extent=(0.0, 0.0, 90.0, 45.0), target_srid=3857))
+
+
+@query(f"SELECT fid, x, y FROM {FEATURES} WHERE x BETWEEN -170 AND 175 AND y BETWEEN 12 AND 18")
+def extent_on_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long box on files along the curve, by ranges of their key."""
+    path = f"{scratch_path(spark, 'curve')}/f"
+    sinks.clustered(views.features(spark, sf_dir).select("fid", "x", "y"), 8, keep_key=True).write.parquet(path)
+    return sinks.by_extent_on_curve(spark.read.parquet(path), (-170.0, 12.0, 175.0, 18.0))
+
+
+@query("""SELECT 'clicks' AS layer, count(*)::bigint AS n, round(sum(value), 3) AS total FROM events WHERE event_type = 'click' UNION ALL SELECT 'views', count(*), round(sum(value), 3) FROM events WHERE event_type = 'view'""")
+def container_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers as tables of one container, with the spec's options and description."""
+    schema = f"c_{scratch_path(spark, '')[-32:]}"
+    spark.sql(f"CREATE DATABASE {schema}")
+    layer, found = views.features(spark, sf_dir), []
+    for name, kind in (("clicks", "click"), ("views", "view")):
+        spec = ExportSpec("e", name, driver="GPKG", target_mode="gpkg", output_path=schema, filter_expression=f"event_type = '{kind}'", description=f"only {kind}", layer_options="compression=zstd")
+        written = spark.table(sinks.write(export.exported(layer, spec), spec))
+        found.append((name, *written.agg(F.count(F.lit(1)), F.round(F.sum("value"), 3)).first()))
+    spark.sql(f"DROP DATABASE {schema} CASCADE")
+    return spark.createDataFrame(found, "layer string, n long, total double")
+
+
+@query("SELECT driver, count(*)::bigint AS n, bit_xor(hash)::bigint AS hash FROM (SELECT ('0x' || substr(md5('é' || lang || doc_id), 1, 15))::bigint AS hash FROM documents), (VALUES ('CSV'), ('GeoJSONSeq'), ('Parquet')) AS d(driver) GROUP BY driver")
+def several_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One layer in three formats, CSV in the encoding that the spec names, read again."""
+    layer = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("é"), "lang", "doc_id").alias("name"))
+    folder = scratch_path(spark, "formats")
+    specs = [ExportSpec("d", "d", driver=d, output_path=folder, encoding="ISO-8859-1", datasource_options="compression=none") for d in ("CSV", "GeoJSONSeq", "Parquet")]
+    csv, lines, parquet = sinks.write_many(export.exported(layer, specs[0]), specs)
+    features = spark.read.schema("properties struct<name:string>").json(lines)
+    read = {
+        "CSV": spark.read.option("header", "true").option("encoding", "ISO-8859-1").csv(csv).select("name"), "GeoJSONSeq": features.select("properties.name"), "Parquet": spark.read.parquet(parquet).select("name"),
+    }
+    rows = None
+    for driver, names_read in read.items():
+        one = names_read.select(F.lit(driver).alias("driver"), F.conv(F.substring(F.md5("name"), 1, 15), 16, 10).cast("long").alias("hash"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("driver").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("hash").alias("hash"))
+
+
 # --- names, specs, registry -----------------------------------------------------------------------------------------
 
 
@@ -610,6 +707,15 @@ def layer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree_json(views.tree(spark, sf_dir)).select(node.alias("n")).select("n.id", "n.depth", F.size("n.children").alias("children"))
 
 
+@query(f"SELECT name, octet_length(encode(text))::bigint AS size, sha256(text) AS hash FROM {ENTRIES} WHERE name = (SELECT max(name) FROM {ENTRIES} WHERE text IS NOT NULL)")
+def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entry of a packed snapshot: by name, then by hash."""
+    entries, path = views.entries(spark, sf_dir).select("name", "content"), scratch_path(spark, "lookup")
+    bundle.pack(entries, path)
+    last = entries.filter("content IS NOT NULL").agg(F.max("name")).first()[0]
+    return bundle.entry(spark, path, last).select("name", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
+
+
 @query(f"SELECT name, octet_length(encode(coalesce(text, '')))::bigint AS size, greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / 4096.0))::bigint AS parts, sha256(coalesce(text, '')) AS hash FROM {ENTRIES}")
 def chunked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files cut into chunks of 4096 bytes, each stored once, and put together again in another folder."""

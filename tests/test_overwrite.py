@@ -60,3 +60,12 @@ def test_null_properties_and_quoted_names(spark):
     rows = spark.createDataFrame([(1, None)], 'id int, `a"b` string')
     assert json.loads(sinks.geojson_lines(rows).first().value)["properties"] == {"id": 1, 'a"b': None}
     assert sinks.insert_lines(rows, 'my"t').first().value == 'INSERT INTO "my""t" ("id", "a""b") VALUES (\'1\', NULL);'
+
+
+def test_encodings(spark, tmp_path):
+    made = lambda driver: ExportSpec("l", "out", driver=driver, output_path=f"file://{tmp_path}", encoding="ISO-8859-1")
+    path = sinks.write(layer(spark, ["é"]), made("CSV"))
+    assert spark.read.option("header", "true").option("encoding", "ISO-8859-1").csv(path).first().name == "é"
+    assert json.loads(spark.read.text(sinks.write(layer(spark, ["é"]), made("GeoJSONSeq"))).first().value)["properties"]["name"] == "é"
+    with pytest.raises(ValueError, match="UTF-8 only"):
+        sinks.write(layer(spark, ["é"]), made("PGDUMP"))
