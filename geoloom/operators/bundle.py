@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import names
-from geoloom.operators.ranks import durable, ranked_within, running_sum
+from geoloom.operators.ranks import durable, ranked_within, running_sum, with_previous
 from geoloom.sources import folders
 
 # --- gathering ----------------------------------------------------------------------------------------------------
@@ -290,8 +290,8 @@ def dependencies(files: DataFrame) -> DataFrame:
 def manifest_json(described: DataFrame, depends: DataFrame, rewrites: DataFrame, created: str, plugin_version: str, most: int = 1_000_000) -> DataFrame:
     """(manifest): one JSON document of (name, type, size, hash), (primary, companions) and (uri, path).
 
-    A single document is the format; collections of more than `most` entries are refused and keep the tables that
-    `pack` writes."""
+    A single document is the format; for collections of more than `most` entries see `manifest_fragments`, or keep the
+    tables that `pack` writes."""
     if described.count() > most:
         raise ValueError(f"a manifest of more than {most} entries stays in tables")
     e = described.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("type", "size", "hash"))))).alias("entries"))
@@ -304,6 +304,27 @@ def manifest_json(described: DataFrame, depends: DataFrame, rewrites: DataFrame,
     )
 
 
+def manifest_fragments(described: DataFrame, depends: DataFrame, rewrites: DataFrame, created: str, plugin_version: str) -> DataFrame:
+    """(section, name, fragment): the document of `manifest_json` in pieces, an entry a row, in the order of section and
+    name; strung together they are the document, however many there are."""
+    spark = described.sparkSession
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    pair = lambda section, key, value: (F.lit(section).alias("section"), F.col(key).alias("name"), F.concat(text(F.col(key)), F.lit(":"), value).alias("fragment"))
+    members = described.select(*pair(1, "name", F.to_json(F.struct("type", "size", "hash"))))
+    members = members.unionByName(depends.select(*pair(3, "primary", F.to_json("companions")))).unionByName(rewrites.select(*pair(5, "uri", text(F.col("path")))))
+    ordered = with_previous(members, ["section"], ["name"], ["name"])
+    joined = ordered.withColumn("fragment", F.concat(F.when(F.col("prev_name").isNull(), "").otherwise(","), "fragment")).select("section", "name", "fragment")
+    head = F.concat(F.lit('{"version":4,"created":'), text(F.lit(created)), F.lit(',"plugin_version":'), text(F.lit(plugin_version)), F.lit(',"entries":{'))
+    frame = {0: head, 2: F.lit('},"dependencies":{'), 4: F.lit('},"uri_rewrites":{'), 6: F.lit("}}")}
+    between = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("section"), F.lit(None).cast("string").alias("name"), v.alias("fragment")) for i, v in frame.items()])).alias("x"))
+    return joined.unionByName(between.select("x.*"))
+
+
+def write_manifest(fragments: DataFrame, path: str) -> None:
+    """The document as text files whose lines, one file after another, are its pieces in order."""
+    fragments.repartitionByRange("section", "name").sortWithinPartitions("section", "name").select("fragment").write.text(path)
+
+
 def read_manifest(df: DataFrame, content: str = "content") -> DataFrame:
     """`df` with `manifest`; null where the text is none."""
     return df.withColumn("manifest", F.from_json(F.decode(content, "UTF-8"), MANIFEST_SCHEMA, {"mode": "PERMISSIVE"}))

@@ -597,6 +597,18 @@ def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", "e.type", "e.size", "e.hash", F.element_at("r", names.to_bundle_uri(F.col("name"))).alias("path"), "version")
 
 
+@query(f"""WITH e AS (SELECT 1 AS section, name, '"' || name || '":{{"type":"resource","size":' || strlen(text) || ',"hash":"' || sha256(text) || '"}}' AS fragment FROM {ENTRIES}
+    UNION ALL SELECT 5, 'u/' || name, '"u/' || name || '":"' || name || '.orig"' FROM {ENTRIES} UNION ALL SELECT 3, name, '"' || name || '":["' || name || '.x"]' FROM {ENTRIES} WHERE doc_id % 10 = 0)
+  SELECT section::int AS section, name, CASE WHEN row_number() OVER (PARTITION BY section ORDER BY name) = 1 THEN '' ELSE ',' END || fragment AS fragment FROM e
+  UNION ALL SELECT section, NULL, fragment FROM (VALUES (0, '{{"version":4,"created":"2024","plugin_version":"1.0","entries":{{'), (2, '}},"dependencies":{{'), (4, '}},"uri_rewrites":{{'), (6, '}}}}')) AS f(section, fragment)""")
+def manifest_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot's manifest in pieces, an entry a row."""
+    entries = views.entries(spark, sf_dir)
+    depends = entries.filter("doc_id % 10 = 0").select(F.col("name").alias("primary"), F.array(F.concat("name", F.lit(".x"))).alias("companions"))
+    rewrites = entries.select(F.concat(F.lit("u/"), "name").alias("uri"), F.concat("name", F.lit(".orig")).alias("path"))
+    return bundle.manifest_fragments(bundle.manifest_entries(entries), depends, rewrites, "2024", "1.0")
+
+
 @query(f"""SELECT doc_id || '.arc' AS path, 0 AS entry, lang || '/' || doc_id || '.txt' AS name, 7::bigint AS flags, strlen(text)::bigint AS data_size, (doc_id * 2654435761)::varchar AS hash, NULL AS problem FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0
   UNION ALL SELECT doc_id || '.arc', 1, 'styles/' || doc_id || '.qml', 1, 0, '0', NULL FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0
   UNION ALL SELECT doc_id || '.arc', NULL, NULL, NULL, NULL, NULL, 'truncated' FROM documents WHERE text IS NOT NULL AND doc_id % 13 = 0""")

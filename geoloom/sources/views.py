@@ -23,17 +23,6 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's points in order of time as one line (as many points as a user has events)."""
-    points = F.array_sort(F.collect_list(F.struct("ts", "fid", "x", "y")))
-    return (
-        features(spark, sf_dir)
-        .groupBy("user_id")
-        .agg(points.alias("p"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
-        .select("user_id", G.make_line(F.transform("p", lambda q: G.point(q["x"], q["y"]))).alias("geom"), "xmin", "ymin", "xmax", "ymax")
-    )
-
-
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`part` as squares."""
     corner = table(spark, sf_dir, "part").selectExpr(
