@@ -34,9 +34,9 @@ GRAM = 24
 SLICE_BYTES = 512 << 10
 #: Texts are taken in pieces of this size (with overlap), so memory does not follow the longest text.
 PIECE_BYTES = 4 << 20
-BUCKET_BYTES = 1 << 20
-#: Contexts of one gram that one bucket takes: at 355 bytes at most, a bucket stays within about 2.5 MB, and its suffix
-#: array within about 200 MB.
+BUCKET_BYTES = 512 << 10
+#: Contexts of one gram that one bucket takes: at 355 bytes at most, a bucket stays within about 2 MB, and its suffix
+#: array within about 100 MB.
 HOT = 4096
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -278,18 +278,22 @@ def suffix_order(text, depth: int):
 
     n = len(text)
     twice = np.concatenate((text, np.resize(text, 8)))
-    rank = np.ascontiguousarray(np.ndarray((n,), ">u8", twice, 0, (1,))).astype(np.uint64)
+    rank = np.ndarray((n,), ">u8", twice, 0, (1,)).astype(np.uint64)
     width = 8
     while True:
-        order = np.argsort(rank)
+        order = np.argsort(rank).astype(np.int32)
         if width >= depth:
             return order
         in_order = rank[order]
-        dense = np.zeros(n, np.int64)
-        dense[order[1:]] = np.cumsum(in_order[1:] != in_order[:-1])
+        new = in_order[1:] != in_order[:-1]
+        del in_order
+        dense = np.zeros(n, np.int32)
+        dense[order[1:]] = np.cumsum(new, dtype=np.int32)
         if dense[order[-1]] == n - 1:
             return order
-        rank = dense.astype(np.uint64) * np.uint64(n) + np.roll(dense, -width % n).astype(np.uint64)
+        rank[:] = dense
+        rank *= np.uint64(n)
+        rank += np.roll(dense, -width % n).astype(np.uint32)
         width *= 2
 
 
@@ -310,10 +314,10 @@ def equal_groups(text, order, length: int):
     step[before] = np.arange(n, dtype=np.int32)
     differ = np.zeros(n + 1, bool)
     differ[0] = differ[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
         size = hi - lo
-        total = int(size.sum())
+        total = int(size.sum(dtype=np.int64))
         if not total:
             break
         if total * 6 > n:  # most rows are in play: mark them all and read the runs off the sorted column
@@ -324,10 +328,11 @@ def equal_groups(text, order, length: int):
             np.add.at(cover, lo, 1)
             np.add.at(cover, hi, -1)
             ids[np.cumsum(cover[:n], dtype=np.int32) == 0] = 0
+            del mark, cover
             seen = ids[before]
-            edge = np.flatnonzero((seen[1:] != seen[:-1]) | (column[1:] != column[:-1])) + 1
-            heads = np.concatenate(([0], edge))
-            tails = np.concatenate((edge, [n]))
+            edge = (np.flatnonzero((seen[1:] != seen[:-1]) | (column[1:] != column[:-1])) + 1).astype(np.int32)
+            heads = np.concatenate((np.zeros(1, np.int32), edge))
+            tails = np.concatenate((edge, np.array([n], np.int32)))
             live = seen[heads] > 0
             heads, tails = heads[live], tails[live]
         else:
