@@ -30,7 +30,7 @@ LENGTH = 1024
 OPEN_WINDOWS = 64
 END_ID = 0
 #: Words whose ids a Python worker keeps (about 150 bytes each); beyond that the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Open windows that one task merges.
 MERGED_AT_ONCE = 4096
 
