@@ -115,17 +115,15 @@ def spark_sql(expression: str) -> str:
     return _TOKEN.sub(one, expression)
 
 
-def register(spark: SparkSession) -> None:
-    """Make the functions known to a session."""
+def register(spark: SparkSession, *texts: str) -> None:
+    """Make the functions that the texts use known to a session; all of them where no text is given."""
+    used = {name.lower() for text in texts for name in re.findall(r"([A-Za-z_]\w*)\s*\(", spark_sql(text))}
     for signature, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+        if not texts or signature.split("(")[0] in used:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
 
 
 def condition(spark: SparkSession, expression: str) -> Column:
     """A filter text as a column; functions of the catalogue that it uses are made known first."""
-    text = spark_sql(expression)
-    used = {name.lower() for name in re.findall(r"([A-Za-z_]\w*)\s*\(", text)}
-    for signature, body in FUNCTIONS.items():
-        if signature.split("(")[0] in used:
-            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
-    return F.expr(text)
+    register(spark, expression)
+    return F.expr(spark_sql(expression))

@@ -233,7 +233,7 @@ def retyped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, length(p_name)::int AS n, trim(p_type) AS tr, substr(p_name, 2, 4) AS sub, concat(p_brand, '-', p_type) AS cat,
   replace(p_name, 'a', 'o') AS rep, regexp_matches(p_type, '^S.*L') AS rx, p_name LIKE '%e%' AS lk, p_name ILIKE '%E%' AS ilk FROM part""")
 def expr_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue.register(spark)
+    catalogue.register(spark, "regexp_match()")
     return views.table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "upper(p_name) AS up", "lower(p_brand) AS low", "length(p_name) AS n", "trim(p_type) AS tr", "substr(p_name, 2, 4) AS sub", "concat(p_brand, '-', p_type) AS cat",
         "replace(p_name, 'a', 'o') AS rep", "regexp_match(p_type, '^S.*L') AS rx", "p_name LIKE '%e%' AS lk", "p_name ILIKE '%E%' AS ilk",
@@ -243,7 +243,7 @@ def expr_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05::double) > 0.02::double AS far, floor(l_extendedprice)::bigint AS fl, ceil(l_extendedprice)::bigint AS ce, round(sqrt(l_quantity), 6) AS sq,
   round(ln(l_extendedprice), 6) AS nl, round(log10(l_extendedprice), 6) AS l10, round(pi() * l_tax, 6) AS p FROM lineitem""")
 def expr_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue.register(spark)
+    catalogue.register(spark, "natural_log()")
     return views.table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "abs(l_discount - 0.05d) > 0.02d AS far", "floor(l_extendedprice) AS fl", "ceil(l_extendedprice) AS ce", "round(sqrt(l_quantity), 6) AS sq",
         "round(natural_log(l_extendedprice), 6) AS nl", "round(log10(l_extendedprice), 6) AS l10", "round(pi() * l_tax, 6) AS p",
@@ -252,7 +252,6 @@ def expr_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, year(o_orderdate)::int AS y, month(o_orderdate)::int AS m, day(o_orderdate)::int AS d, hour(o_orderdate)::int AS h, minute(o_orderdate)::int AS mi, (epoch(TIMESTAMP '2000-01-01 00:00:00') - epoch(o_orderdate))::bigint AS age_seconds FROM orders")
 def expr_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue.register(spark)
     return views.table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "year(o_orderdate) AS y", "month(o_orderdate) AS m", "day(o_orderdate) AS d", "hour(o_orderdate) AS h", "minute(o_orderdate) AS mi",
         "unix_timestamp(TIMESTAMP '2000-01-01 00:00:00') - unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS age_seconds",
@@ -270,7 +269,7 @@ def expr_conditionals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, trunc(try_cast(regexp_extract(props, '-?[0-9]+(\\.[0-9]+)?') AS double))::int AS i, try_cast(regexp_extract(props, '-?[0-9]+(\\.[0-9]+)?') AS double) AS r, try_cast(event_type AS double) AS bad,
   try_cast('2024-01-' || lpad((1 + event_id % 40)::varchar, 2, '0') AS date)::varchar AS d FROM events""")
 def expr_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue.register(spark)
+    catalogue.register(spark, "to_int() to_real() as_date()")
     number = "regexp_extract(props, '-?[0-9]+(\\\\.[0-9]+)?', 0)"
     return views.table(spark, sf_dir, "events").selectExpr(
         "event_id", f"to_int({number}) AS i", f"to_real({number}) AS r", "to_real(event_type) AS bad", "CAST(as_date('2024-01-' || lpad(CAST(1 + event_id % 40 AS STRING), 2, '0')) AS STRING) AS d",
@@ -302,12 +301,11 @@ def expr_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = export.by_expression(
         views.boxes(spark, sf_dir), "$area > 2 AND $perimeter < 16 AND $id <> 7 AND num_geometries($geometry) = 1 AND centroid(geom).x > -999 AND to_int(round(attribute('side') * 10)) % 10 < 8"
     )
-    catalogue.register(spark)
-    return rows.withColumn("p", G.make_point(F.lit(1.0), F.lit(2.0))).selectExpr(
-        *map(catalogue.spark_sql, (
-            "fid", "round(area(geom), 6) AS area", "round($perimeter, 6) AS perimeter", "round(centroid(geom).x, 6) AS cx", "$length AS length", "num_geometries(geom) AS n", "round(area(buffer(p, 2)), 6) AS disc",
-        ))
+    columns = (
+        "fid", "round(area(geom), 6) AS area", "round($perimeter, 6) AS perimeter", "round(centroid(geom).x, 6) AS cx", "$length AS length", "num_geometries(geom) AS n", "round(area(buffer(p, 2)), 6) AS disc",
     )
+    catalogue.register(spark, *columns)
+    return rows.withColumn("p", G.make_point(F.lit(1.0), F.lit(2.0))).selectExpr(*map(catalogue.spark_sql, columns))
 
 
 @query("""SELECT event_id AS fid, event_type::varchar AS text, upper(substr(event_type, 1, 1)) || substr(event_type, 2) AS titled, try_cast('2024-01-' || lpad((1 + event_id % 40)::varchar, 2, '0') AS date)::varchar AS day
@@ -317,8 +315,8 @@ def expr_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = views.features(spark, sf_dir)
     text = """"value" < 80 AND $id != 5 AND like("event_type", '%i%') AND attribute($currentfeature, 'value') IS NOT NULL AND NOT ("event_type" IS NULL)
       AND (to_date('2024-01-' || lpad(to_string(1 + $id % 40), 2, '0')) IS NOT NULL OR to_int(to_string($id % 2)) = 0) AND to_datetime('no date') IS NULL AND today() <= to_date(now())"""
-    catalogue.register(spark)
     columns = ("fid", 'to_string("event_type") AS text', "title(event_type) AS titled", "to_string(to_date('2024-01-' || lpad(to_string(1 + $id % 40), 2, '0'))) AS day")
+    catalogue.register(spark, *columns)
     return export.by_expression(layer, text).selectExpr(*map(catalogue.spark_sql, columns))
 
 
