@@ -66,50 +66,97 @@ def with_folders(files: DataFrame, sources: DataFrame) -> DataFrame:
 
 def bundle_names(files: DataFrame) -> DataFrame:
     """`files` (pos, path, folder) with `name`: folder/basename, or folder/stem_k.ext with the least k >= 1 that is free
-    when files take their names in order of pos.
-
-    Every file starts at the least k it can have, its rank among the files of its basename. Of files that ask for one
-    name the first by pos keeps it, as no later one can ever have it; the others of that basename go on behind what
-    files before them hold, and so do all that come after them, until no name is asked for twice. Only names that
-    could meet (equal but for suffixes) take part in these rounds."""
-    base = ["folder", "_stem", "_ext"]
+    when files take their names in order of pos (unique).
+
+    A basename is met by others in two places only: files of stem `s` take s_1, s_2, ... and the first file of stem s_k
+    wants s_k itself. So where `s` has its own plain name, its files' numbers follow from their order and from the first
+    files of the stems s_k: number k is passed over by the file that gets to it if the first file of s_k came before.
+    Stems are taken level by level (s, then s_k, then s_k_l), numbers of all stems of a level at once by counting the
+    numbers passed over; see `passed_over`. As many levels are gone through as the longest chain of such stems has; stems
+    that no other could meet are numbered by rank alone."""
     split = files.withColumns({"_base": names.basename(F.col("path")), "_ext": names.extension(F.col("path"))})
     split = split.withColumn("_stem", F.substr("_base", F.lit(1), F.length("_base") - F.length("_ext"))).drop("_base")
-    ranked = ranked_within(split, base, ["pos"], "_rank").withColumn("_k", F.col("_rank") - 1)
-    suffix = F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise("")
-    name = F.concat("folder", F.lit("/"), "_stem", suffix, "_ext")
-    out = [*files.columns, "name"]
-    named = durable(ranked.withColumns({"name": name, "_family": F.regexp_replace("_stem", r"(_[1-9]\d*)+$", "")}))
-    meeting = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("folder").alias("folder"), F.first("_family").alias("_family"), F.first("_ext").alias("_ext"))
-    families = meeting.filter("n > 1").select("folder", "_family", "_ext").distinct()
-    on = ["folder", "_family", "_ext"]
-    apart = named.join(families, on, "left_anti")
-    rows = durable(named.join(families, on, "left_semi"))
+    ranked = durable(ranked_within(split, BASE, ["pos"], "_rank").withColumn("_rank", F.col("_rank") - 1))
+    stems = ranked.groupBy(*BASE).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    cut = stems.withColumn("_parent", F.regexp_extract("_stem", r"(?s)^(.*)_[1-9]\d{0,17}$", 1)).withColumn("_k", F.regexp_extract("_stem", r"_([1-9]\d{0,17})$", 1))
+    children = cut.filter("_k <> ''").select("folder", F.col("_parent").alias("_stem"), "_ext", F.col("_k").cast("long").alias("_k"), "first", F.col("_stem").alias("_child"))
+    links = durable(children.join(stems.select(*BASE), BASE, "left_semi"))
+    below = links.select("folder", F.col("_child").alias("_stem"), "_ext").distinct()
+    # A stem's level, whether its plain name is taken, then what its files passed over.
+    level = stems.select(*BASE, "n").join(below, BASE, "left_anti").withColumn("taken", F.lit(0))
+    taken_all, passed_all = [], []
     while True:
-        held = rows.groupBy("name").agg(F.min("pos").alias("holder"), F.first("folder").alias("folder"), F.first("_ext").alias("_ext"))
-        lost = rows.join(held.select("name", "holder"), "name").filter("pos > holder")
-        first_lost = durable(lost.groupBy(*base).agg(F.min_by(F.struct("_rank", "_k", "pos"), "_rank").alias("at")).select(*base, "at.*"))
-        if first_lost.isEmpty():
-            return apart.select(*out).unionByName(rows.select(*out))
-        rows = durable(pushed_on(rows, first_lost, held, base).withColumn("name", name))
-
-
-def pushed_on(rows: DataFrame, lost: DataFrame, held: DataFrame, base: list[str]) -> DataFrame:
-    """`rows` with `_k` raised: the file in `lost` (base, _rank, _k, pos; one a basename) goes behind the run of names
-    that files before it hold, the later files of its basename behind it in order."""
-    plain = F.substr("name", F.length("folder") + 2, F.length("name") - F.length("folder") - 1 - F.length("_ext"))
-    suffixed = held.withColumn("_plain", plain).select(
-        "folder", "_ext", "holder", F.regexp_extract("_plain", r"^(.*)_[1-9]\d*$", 1).alias("_stem"), F.regexp_extract("_plain", r"_([1-9]\d*)$", 1).alias("_number")
+        here = durable(links.join(level, BASE).withColumn("n", F.col("n") - 1 + F.col("taken")))
+        if here.isEmpty():
+            break
+        met = passed_over(here, ranked.join(here.select(*BASE, "taken").distinct(), BASE).select(*BASE, (F.col("_rank") + F.col("taken")).alias("_i"), "pos"))
+        passed_all.append(met.filter("passed").select(*BASE, "_i"))
+        children_of = met.select("folder", F.col("_child").alias("_stem"), "_ext", F.when(F.col("reached") & ~F.col("passed"), 1).otherwise(0).alias("taken"))
+        taken_all.append(children_of.filter("taken = 1").select(*BASE))
+        level = children_of.join(stems.select(*BASE, "n"), BASE)
+    rows = ranked.withColumn("_taken", F.lit(0))
+    for taken in taken_all:
+        rows = rows.join(taken.withColumn("_one", F.lit(1)), BASE, "left").withColumn("_taken", F.col("_taken") + F.coalesce("_one", F.lit(0))).drop("_one")
+    rows = rows.withColumn("_i", F.col("_rank") + F.col("_taken"))
+    if passed_all:
+        passed = passed_all[0]
+        for more in passed_all[1:]:
+            passed = passed.unionByName(more)
+        rows = behind(rows, durable(passed))
+    else:
+        rows = rows.withColumn("_k", F.col("_i"))
+    suffix = F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise("")
+    return rows.withColumn("name", F.concat("folder", F.lit("/"), "_stem", suffix, "_ext")).select(*files.columns, "name")
+
+
+BASE = ["folder", "_stem", "_ext"]
+
+
+def passed_over(children: DataFrame, files: DataFrame) -> DataFrame:
+    """`children` (base, _k, first, n: files of the base that need a number, _child) with `_i`, the file that gets to
+    number _k, `reached` (there is such a file) and `passed` (the child's first file came before it, so it goes on).
+
+    Where b numbers were passed over before, the file that gets to _k is number _k - b. It comes after the child's first
+    file if more than `_early` files do not, the files of the base that come before the child's. So one number decides
+    on each child, and children stream through in the order of _k with a single count for each base."""
+    both = files.filter("_i > 0").withColumn("_one", F.lit(1)).unionByName(
+        children.select(*BASE, F.col("first").alias("pos"), "_k", "_child", "n", F.lit(0).alias("_one")), allowMissingColumns=True
     )
-    numbered = suffixed.filter("_number <> ''").withColumn("_number", F.col("_number").cast("long"))
-    start = F.greatest("_k", F.lit(1))
-    ahead = lost.join(numbered, base).filter((F.col("holder") < F.col("pos")) & (F.col("_number") >= start))
-    # The run from `start` on: the i-th number held is start + i - 1.
-    run = ranked_within(ahead, base, ["_number"], "_i").filter(F.col("_number") == start + F.col("_i") - 1).groupBy(*base).agg(F.count(F.lit(1)).alias("_run"))
-    moved = lost.join(run, base, "left").select(*base, F.col("_rank").alias("_from"), (start + F.coalesce("_run", F.lit(0))).alias("_to"))
-    later = F.col("_rank") >= F.col("_from")
-    least = F.col("_to") + F.col("_rank") - F.col("_from")
-    return rows.join(moved, base, "left").withColumn("_k", F.when(later, F.greatest("_k", least)).otherwise(F.col("_k"))).drop("_from", "_to")
+    counted = durable(running_sum(both.drop("_i"), "_one", [*BASE, "pos"], "_upto"))
+    starts = counted.groupBy(*BASE).agg(F.min("_upto").alias("_start"))
+    early = counted.filter("_one = 0").join(starts, BASE).select(*BASE, "_k", "_child", "n", (F.col("_upto") - F.col("_start")).alias("_early"))
+
+    def stream(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        base, passed = None, 0
+        for batch in batches:
+            index, went = [], []
+            for *key, k, n, early in zip(*(batch.column(c).to_pylist() for c in (*BASE, "_k", "n", "_early")), strict=True):
+                if key != base:
+                    base, passed = key, 0
+                i = k - passed
+                index.append(i)
+                went.append(early < i <= n)
+                passed += went[-1]
+            columns = {**{c: batch.column(c) for c in (*BASE, "_child", "n")}, "_i": pa.array(index, pa.int64()), "passed": pa.array(went, pa.bool_())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    fields = ", ".join(f"{c} {dict(early.dtypes)[c]}" for c in (*BASE, "_child", "n"))
+    met = early.repartition(*BASE).sortWithinPartitions(*BASE, "_k").mapInArrow(stream, f"{fields}, _i long, passed boolean")
+    return durable(met.select(*BASE, "_child", "_i", (F.col("_i") <= F.col("n")).alias("reached"), "passed"))
+
+
+def behind(rows: DataFrame, passed: DataFrame) -> DataFrame:
+    """`rows` with `_k`: their `_i` and as many as the numbers that files up to them passed over."""
+    bases = passed.select(*BASE).distinct()
+    alone = rows.join(bases, BASE, "left_anti").withColumn("_k", F.col("_i"))
+    some = rows.join(bases, BASE, "left_semi")
+    both = some.withColumn("_flag", F.lit(0)).unionByName(passed.withColumn("_flag", F.lit(1)), allowMissingColumns=True).withColumn("_after", 1 - F.col("_flag"))
+    summed = durable(running_sum(both, "_flag", [*BASE, "_i", "_after"], "_upto"))
+    starts = summed.groupBy(*BASE).agg(F.min("_upto").alias("_start"))
+    counted = summed.filter("_flag = 0").join(starts, BASE).withColumn("_k", F.col("_i") + F.col("_upto") - F.col("_start"))
+    return alone.unionByName(counted.select(alone.columns))
 
 
 # --- references ---------------------------------------------------------------------------------------------------

@@ -717,6 +717,15 @@ def layer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.tree_json(views.tree(spark, sf_dir)).select(node.alias("n")).select("n.id", "n.depth", F.size("n.children").alias("children"))
 
 
+@query()
+def clashing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files whose own names are those that others would get: a third plain, the rest with one or two numbers.
+    Files take their names in turn, which SQL does not express on whole tables; tests do it in plain Python."""
+    number = "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_' || (doc_id * 7 % 40 + 1) ELSE '_' || (doc_id % 5 + 1) || '_' || (doc_id % 3 + 1) END"
+    files = views.table(spark, sf_dir, "documents").selectExpr("doc_id AS pos", f"lang || {number} || '.txt' AS path", "'r' AS folder")
+    return bundle.bundle_names(files).select("pos", "path", "name")
+
+
 @query(f"SELECT name, octet_length(encode(text))::bigint AS size, sha256(text) AS hash FROM {ENTRIES} WHERE name = (SELECT max(name) FROM {ENTRIES} WHERE text IS NOT NULL)")
 def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry of a packed snapshot: by name, then by hash."""

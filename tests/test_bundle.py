@@ -84,6 +84,37 @@ def test_bundle_names_against_taking_turns(spark):
         assert [r.name for r in bundle.bundle_names(df).orderBy("pos").collect()] == want
 
 
+def taking_turns(paths):
+    taken, out = set(), []
+    for path in paths:
+        stem, ext = path.rsplit("/", 1)[-1].rsplit(".", 1)
+        k = 0
+        while f"{stem}{f'_{k}' if k else ''}.{ext}" in taken:
+            k += 1
+        taken.add(f"{stem}{f'_{k}' if k else ''}.{ext}")
+        out.append(f"r/{stem}{f'_{k}' if k else ''}.{ext}")
+    return out
+
+
+def test_many_clashes_take_no_rounds(spark, monkeypatch):
+    """Numbers held before, between and after the files that pass over them, all of one stem: one level, one pass."""
+    levels, count = [], bundle.passed_over
+    monkeypatch.setattr(bundle, "passed_over", lambda *a: levels.append(1) or count(*a))
+    names_ = [f"a_{k}" for k in range(1, 100, 2)] + ["a"] * 40 + [f"a_{k}" for k in range(2, 160, 4)] + ["a"] * 40 + [f"a_{k}" for k in range(60, 200)] + ["a", "a_3", "a_200"]
+    paths = [f"/d/{n}.txt" for n in names_]
+    df = spark.createDataFrame([(i, p, "r") for i, p in enumerate(paths)], "pos int, path string, folder string")
+    assert [r.name for r in bundle.bundle_names(df).orderBy("pos").collect()] == taking_turns(paths)
+    assert len(levels) == 1
+
+
+def test_the_query_of_clashing_names(spark, sf_dir):
+    from geoloom.plans import queries
+
+    rows = sorted(queries.clashing_names(spark, sf_dir).collect(), key=lambda r: r.pos)
+    assert [r.name for r in rows] == taking_turns([r.path for r in rows])
+    assert sum(r.name[2:] != r.path for r in rows) > len(rows) / 4
+
+
 def test_manifest_size(entries):
     none = entries.limit(0)
     with pytest.raises(ValueError, match="stays in tables"):
