@@ -9,6 +9,8 @@ from geoloom.llm.common import saved, table
 
 #: Near copies share so many hundredths of their shingles.
 NEAR_PERCENT = 80
+#: Words whose ids a worker keeps: fewer than packing alone would, as the workers' memory serves all stages.
+KEPT_WORDS = 150_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' pieces in sequences of 1024 tokens."""
-    return packing.packed(docs, packing.default_tokenizer())
+    return packing.packed(docs, packing.default_tokenizer(), kept_words=KEPT_WORDS)
 
 
 STAGES = [

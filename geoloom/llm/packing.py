@@ -30,7 +30,7 @@ LENGTH = 1024
 OPEN_WINDOWS = 64
 END_ID = 0
 #: Words whose ids a Python worker keeps (about 150 bytes each); beyond that the table starts anew.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 #: Open windows that one task merges.
 MERGED_AT_ONCE = 4096
 
@@ -64,6 +64,7 @@ class Encoder:
         ranks = {bytes(symbols[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.added}
         self.bpe = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words: dict[str, bytes] = {}
+        self.most = KEPT_WORDS
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -88,7 +89,7 @@ class Encoder:
             if ids is None:
                 ids = self.whole(" " + word)
                 if len(word) <= 64:
-                    if len(known) >= KEPT_WORDS:
+                    if len(known) >= self.most:
                         known.clear()
                     known[word] = ids
             out.append(ids)
@@ -146,7 +147,7 @@ class Windows:
         return window, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, window, offset, [ids]) before the merge, written down. A window that
     is open at the end of its partition has a row of length 0 at its end."""
     fields = [
@@ -160,6 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         import pyarrow as pa
         from pyspark import TaskContext
 
+        encoder(tokenizer).most = kept_words
         encode, end = encoder(tokenizer).ids, END_ID.to_bytes(4, "little")
         windows = Windows(length, OPEN_WINDOWS, TaskContext.get().partitionId() << 40)
         for batch in batches:
@@ -215,9 +217,9 @@ def merge_windows(windows: DataFrame, length: int) -> DataFrame:
     return grouped.groupBy("group").applyInPandas(merge, "window long, sequence_id long, base long")
 
 
-def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """The pieces of all documents with sequence_id and offset; with `with_ids` also their ids (little-endian)."""
-    placed = pieces(docs, tokenizer, key, text, length, with_ids)
+    placed = pieces(docs, tokenizer, key, text, length, with_ids, kept_words)
     left_open = placed.filter("length = 0").select("window", F.col("offset").alias("fill"))
     moved = saved(merge_windows(left_open, length), "packed-moves")
     return placed.filter("length > 0").join(moved, "window", "left").select(
