@@ -219,7 +219,10 @@ def hashed(entries: DataFrame) -> DataFrame:
 def index(entries: DataFrame) -> DataFrame:
     """(name, hash, raw_size, stored_as, is_stored, offset): each content is stored at its first name; offsets run over
     the stored contents in order of name."""
-    rows = hashed(entries)
+    return _indexed(hashed(entries))
+
+
+def _indexed(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("hash").agg(F.min("name").alias("stored_as"), F.first("raw_size").alias("size"))
     stored = running_sum(first, "size", ["stored_as"], "offset").select("hash", "stored_as", "offset")
     return rows.join(stored, "hash").select("name", "hash", "raw_size", "stored_as", (F.col("name") == F.col("stored_as")).alias("is_stored"), "offset")
@@ -248,12 +251,14 @@ def pack(
     entries: DataFrame, path: str, dependencies: DataFrame | None = None, rewrites: DataFrame | None = None, created: str = "", plugin_version: str = "", row_group: int = ROW_GROUP
 ) -> None:
     """Three tables below `path`: blobs, index (sorted by name), manifest. Blobs lie by hash within their files and have
-    Bloom filters of it, so that a look-up opens the row group of its content."""
+    Bloom filters of it, so that a look-up opens the row group of its content. Contents are read twice: to be hashed, and
+    to be stored; index and manifest come from the hashes."""
+    rows = durable(hashed(entries))
     out = lambda df, table: df.write.option("compression", "zstd").parquet(f"{path}/{table}")
     contents = blobs(entries).sortWithinPartitions("hash").write.option("compression", "zstd").option("parquet.block.size", row_group)
     contents.option("parquet.bloom.filter.enabled#hash", "true").parquet(f"{path}/blobs")
-    out(index(entries).repartitionByRange("name").sortWithinPartitions("name"), "index")
-    out(manifest_entries(entries), "manifest")
+    out(_indexed(rows).repartitionByRange("name").sortWithinPartitions("name"), "index")
+    out(_described(rows), "manifest")
     if dependencies is not None:
         out(dependencies, "dependencies")
     if rewrites is not None:
@@ -324,7 +329,11 @@ MANIFEST_SCHEMA = (
 
 def manifest_entries(entries: DataFrame) -> DataFrame:
     """(name, type, size, hash)"""
-    return hashed(entries).select("name", names.entry_type(F.col("name")).alias("type"), F.col("raw_size").alias("size"), "hash")
+    return _described(hashed(entries))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    return rows.select("name", names.entry_type(F.col("name")).alias("type"), F.col("raw_size").alias("size"), "hash")
 
 
 def dependencies(files: DataFrame) -> DataFrame:

@@ -198,12 +198,24 @@ def replaced(spark: SparkSession, path: str, save: Callable[[str], None]) -> Non
 
 
 def replaced_table(spark: SparkSession, name: str, save: Callable[[str], None]) -> None:
-    """The same for a table: a new one of another name, which takes the old one's when it stands."""
-    staged = f"{name}_staged_{uuid.uuid4().hex}"
+    """The same for a table: a new one of another name takes the old one's when it stands, and the old one, moved aside
+    for that, comes back if it cannot."""
+    mark = uuid.uuid4().hex
+    staged, old = f"{name}_staged_{mark}", f"{name}_old_{mark}"
+    rename = lambda a, b: spark.sql(f"ALTER TABLE {a} RENAME TO {b}")
     try:
         save(staged)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        there = spark.catalog.tableExists(name)
+        if there:
+            rename(name, old)
+        try:
+            rename(staged, name)
+        except Exception:
+            if there:
+                rename(old, name)
+            raise
+        if there:
+            spark.sql(f"DROP TABLE {old}")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {staged}")
 

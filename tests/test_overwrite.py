@@ -69,3 +69,15 @@ def test_encodings(spark, tmp_path):
     assert json.loads(spark.read.text(sinks.write(layer(spark, ["é"]), made("GeoJSONSeq"))).first().value)["properties"]["name"] == "é"
     with pytest.raises(ValueError, match="UTF-8 only"):
         sinks.write(layer(spark, ["é"]), made("PGDUMP"))
+
+
+def test_a_table_comes_back_if_the_new_one_cannot_take_its_place(spark):
+    layer(spark, ["a", "b"]).write.saveAsTable("kept")
+    try:
+        with pytest.raises(Exception):
+            sinks.replaced_table(spark, "kept", lambda staged: None)  # nothing to take its place
+        assert spark.table("kept").count() == 2
+        sinks.replaced_table(spark, "kept", layer(spark, ["c"]).write.saveAsTable)
+        assert spark.table("kept").first().name == "c" and [t.name for t in spark.catalog.listTables() if t.name.startswith("kept")] == ["kept"]
+    finally:
+        spark.sql("DROP TABLE kept")
