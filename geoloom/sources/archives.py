@@ -212,4 +212,4 @@ def files_listed(spark: SparkSession, folder: str, magic: bytes) -> DataFrame:
                             held = []
             yield made(held)
 
-    return folders.listing(spark, folder).select("name", "size").mapInArrow(run, LISTED)
+    return folders.dealt(spark, folder).mapInArrow(run, LISTED)

@@ -1,4 +1,4 @@
-"""Listing of a folder's files as a Python data source: a partition for each entry of the top folder."""
+"""Listing of a folder's files as a Python data source: a partition for each folder in it, and one for its own files."""
 
 from __future__ import annotations
 
@@ -38,28 +38,55 @@ class FolderDataSource(DataSource):
         return FolderReader(self.options["path"])
 
 
+def below(store, root: str, recursive: bool = True) -> Iterator[tuple[str, int | None]]:
+    """(path, size) of what lies in a folder, size None for a folder; with `recursive` its files only, at any depth.
+    Folders of this machine are gone through entry by entry and never held as a list."""
+    import os
+
+    from pyarrow import fs
+
+    if not isinstance(store, fs.LocalFileSystem):
+        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=recursive)):
+            if f.type == fs.FileType.File or not recursive:
+                yield f.path, f.size if f.type == fs.FileType.File else None
+        return
+    open_ = [root] if os.path.isdir(root) else []
+    while open_:
+        with os.scandir(open_.pop()) as entries:
+            for e in entries:
+                if not e.is_dir():
+                    if e.is_file():  # not a link to nowhere
+                        yield e.path, e.stat().st_size
+                elif recursive:
+                    open_.append(e.path)
+                else:
+                    yield e.path, None
+
+
 class FolderReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[Below]:
-        from pyarrow import fs
-
+        """One for the files that lie in the folder itself, however many, and one for each folder in it."""
         store, root = store_of(self.path)
-        entries = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        return [Below(e.path, e.type == fs.FileType.Directory) for e in sorted(entries, key=lambda e: e.path)]
+        folders = sorted(path for path, size in below(store, root, recursive=False) if size is None)
+        return [Below(root, False), *(Below(path, True) for path in folders)]
 
     def read(self, partition: Below) -> Iterator[tuple[str, int]]:
-        from pyarrow import fs
-
         store, root = store_of(self.path)
-        found = store.get_file_info(fs.FileSelector(partition.path, recursive=True)) if partition.is_folder else [store.get_file_info(partition.path)]
-        for f in found:
-            if f.type == fs.FileType.File:
-                yield f.path[len(root.rstrip("/")) + 1 :], f.size
+        for path, size in below(store, partition.path, partition.is_folder):
+            if size is not None:
+                yield path[len(root.rstrip("/")) + 1 :], size
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(name, size) of the files below a folder, names relative to it."""
     spark.dataSource.register(FolderDataSource)
     return spark.read.format("folder_listing").option("path", folder).load()
+
+
+def dealt(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing in partitions of about equal numbers of files, for tasks that open them: a single task lists a flat
+    folder, but need not read all of it."""
+    return listing(spark, folder).repartition(spark.sparkContext.defaultParallelism * 4, "name")

@@ -7,7 +7,7 @@ import struct
 import pytest
 
 from geoloom.operators import chunks
-from geoloom.sources import archives
+from geoloom.sources import archives, folders
 
 MAGIC = b"ARC0"
 
@@ -107,3 +107,19 @@ def test_folders_of_archives(spark, tmp_path):
         "cut": "truncated", "names": "truncated", "head": "truncated", "few": "truncated", "other": "bad magic", "new": "unknown version",
     }
     assert all(r.entry is None for r in rows if r.problem)
+
+
+def test_a_flat_folder_is_no_partition_a_file(spark, tmp_path):
+    made = tmp_path / "made"
+    (made / "sub" / "deep").mkdir(parents=True)
+    (made / "none").mkdir()
+    names = {f"{i}.arc": i for i in range(300)} | {"sub/x": 3, "sub/deep/y z": 0}
+    for name, size in names.items():
+        (made / name).write_bytes(b"x" * size)
+    found = folders.listing(spark, str(made))
+    assert {r["name"]: r["size"] for r in found.collect()} == names
+    assert found.rdd.getNumPartitions() == 3
+    dealt = folders.dealt(spark, str(made))
+    assert {r["name"]: r["size"] for r in dealt.collect()} == names
+    assert dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 3
+    assert folders.listing(spark, str(tmp_path / "not there")).count() == 0
