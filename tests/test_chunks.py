@@ -122,4 +122,4 @@ def test_a_flat_folder_is_no_partition_a_file(spark, tmp_path):
     dealt = folders.dealt(spark, str(made))
     assert {r["name"]: r["size"] for r in dealt.collect()} == names
     assert dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 3
-    assert folders.listing(spark, str(tmp_path / "not there")).count() == 0
+    assert folders.listing(spark, str(tmp_path / "missing")).count() == 0
