@@ -192,7 +192,7 @@ def reprojected_boxes(df: DataFrame, source: int, target: int) -> DataFrame:
 
     values = {"_xp": along("x", 1), "_yp": along("y", 1), "_xn": along("x", -1), "_yn": along("y", -1)}
     made = made.withColumn("_inside", whole).withColumns(values)
-    least = lambda name: F.when(F.col("_inside"), F.array_min(F.transform(name, crs.least_of_edge)))
+    least = lambda name: F.when(F.col("_inside"), F.array_min(crs.least_of_edges(F.col(name))))
     box = {"xmin": least("_xp"), "ymin": least("_yp"), "xmax": -least("_xn"), "ymax": -least("_yn")}
     return made.withColumns(box).drop("_edges", "_inside", *values)
 
@@ -265,6 +265,12 @@ def in_row_order(rows: DataFrame, key: str = "fid") -> DataFrame:
 # --- the whole ----------------------------------------------------------------------------------------------------
 
 
+def worked_out_once(reason: Column) -> Column:
+    """The same value. The partition's number changes nothing, but keeps the optimiser from copying a filter on the reason
+    down through the steps below it, where each copy would be worked out anew. The user's filters stand below already."""
+    return F.when(F.spark_partition_id() >= 0, reason)
+
+
 def missing_value(layer: DataFrame, spec: ExportSpec) -> Column:
     """Why a row breaks the constraints that a spec keeps: a column whose metadata says not_null holds none."""
     reason = F.lit(None).cast("string")
@@ -292,7 +298,7 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
         there = F.col("x").isNotNull() & F.col("y").isNotNull()
         moved = reprojected_points(rows.withColumn("_there", there), source_srid, target)
         outside = F.col("_there") & (F.col("x").isNull() | F.col("y").isNull())
-        rows = moved.withColumn("_reason", F.coalesce(reason, F.when(outside, OUTSIDE))).drop("_there")
+        rows = moved.withColumn("_reason", worked_out_once(F.coalesce(reason, F.when(outside, OUTSIDE)))).drop("_there")
     else:
         rows = rows.withColumn("_reason", reason)
     if "geom" not in rows.columns:
@@ -301,7 +307,7 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
         there = F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & F.col("xmax").isNotNull() & F.col("ymax").isNotNull()
         moved = reprojected_boxes(rows.withColumn("_there", there), source_srid, target)
         outside = F.col("_there") & (F.col("xmin").isNull() | F.col("ymin").isNull() | F.col("xmax").isNull() | F.col("ymax").isNull())
-        return moved.withColumn("_reason", F.coalesce("_reason", F.when(outside, OUTSIDE))).drop("_there")
+        return moved.withColumn("_reason", worked_out_once(F.coalesce("_reason", F.when(outside, OUTSIDE)))).drop("_there")
     geom = F.col("geom")
     if spec.geometry_type:
         made = G.as_type(geom, spec.geometry_type)
@@ -316,9 +322,7 @@ def prepared(layer: DataFrame, spec: ExportSpec, source_srid: int = 4326, select
         rows = rows.withColumn("_reason", F.coalesce("_reason", F.when(lost, OUTSIDE)))
         if "xmin" in rows.columns:
             rows = rows.withColumns(G.box(geom))
-    # The partition's number changes nothing, but keeps the optimiser from copying a filter on the reason down through
-    # the steps above, where each copy would be worked out anew. The user's filters stand below already.
-    return rows.withColumn("_reason", F.when(F.spark_partition_id() >= 0, F.col("_reason")))
+    return rows.withColumn("_reason", worked_out_once(F.col("_reason")))
 
 
 def written_columns(layer: DataFrame, rows: DataFrame, spec: ExportSpec) -> list[Column]:

@@ -120,3 +120,10 @@ def test_strict_reprojection_fails_the_layer(spark):
     with pytest.raises(Exception, match="outside the target system"):
         export.exported(layer, ExportSpec("l", "o", target_srid=3857, strict_reprojection=True)).collect()
     assert export.exported(layer.limit(1), ExportSpec("l", "o", target_srid=3857, strict_reprojection=True)).count() == 1
+
+
+def test_boxes_are_worked_out_once(spark, sf_dir):
+    """A filter on the reason goes round the reprojection instead of copying it, and points are taken through in steps."""
+    boxes = spark.createDataFrame([(1, 6.0, 50.0, 7.0, 51.0)], "id int, xmin double, ymin double, xmax double, ymax double")
+    plan = export.exported(boxes, ExportSpec("b", "b", target_srid=32632))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SINH") + plan.count("sinh") < 60 and len(plan) < 40_000
