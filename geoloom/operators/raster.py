@@ -72,13 +72,20 @@ def on_grid(cells: DataFrame, source: Grid, target: Grid, method: str = "nearest
     if method != "bilinear":
         raise ValueError(f"unknown method {method}")
     inside = F.col("_row").between(0, source.rows) & F.col("_col").between(0, source.columns)
-    low = {"_r": F.floor(F.col("_row") - 0.5), "_c": F.floor(F.col("_col") - 0.5)}
-    corner = lambda r, c, wr, wc: F.struct((F.col("_r") + r).alias("_row"), (F.col("_c") + c).alias("_col"), (wr * wc).alias("w"))
     up, right = F.col("_row") - 0.5 - F.col("_r"), F.col("_col") - 0.5 - F.col("_c")
-    corners = F.array(corner(0, 0, 1 - up, 1 - right), corner(0, 1, 1 - up, right), corner(1, 0, up, 1 - right), corner(1, 1, up, right))
-    asked = wanted.withColumns(low).select(*kept, F.explode_outer(F.when(inside, F.filter(corners, lambda q: q["w"] > 0))).alias("q")).select(*kept, "q.*")
-    met = asked.join(known, ["_row", "_col"], "left").withColumn("w", F.when(F.col("value").isNotNull(), F.col("w")))
-    return met.groupBy(*kept).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value")).withColumn("srid", F.lit(target.srid))
+    weights = {(0, 0): (1 - up) * (1 - right), (0, 1): (1 - up) * right, (1, 0): up * (1 - right), (1, 1): up * right}
+    # A source cell is a corner of four squares between centres, so squares with their four values are few, and a target
+    # cell meets one of them, instead of four cells that would have to be brought together again.
+    corners = F.explode(F.array(*[F.struct((F.col("_row") - r).alias("_r"), (F.col("_col") - c).alias("_c"), F.lit(2 * r + c).alias("i")) for r, c in weights]))
+    squares = known.filter("value IS NOT NULL").select(corners.alias("q"), "value").groupBy("q._r", "q._c")
+    values = squares.agg(*[F.max(F.when(F.col("q.i") == 2 * r + c, F.col("value"))).alias(f"_v{r}{c}") for r, c in weights])
+    low = {c: F.when(inside, F.floor(F.col(of) - 0.5)) for c, of in (("_r", "_row"), ("_c", "_col"))}
+    met = wanted.withColumns(low).join(values, ["_r", "_c"], "left")
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for (r, c), w in weights.items():
+        counts = (w > 0) & F.col(f"_v{r}{c}").isNotNull()
+        total, weight = total + F.when(counts, w * F.col(f"_v{r}{c}")).otherwise(0.0), weight + F.when(counts, w).otherwise(0.0)
+    return met.select(*kept, F.when(weight > 0, total / weight).alias("value"), F.lit(target.srid).alias("srid"))
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:

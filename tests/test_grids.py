@@ -127,3 +127,12 @@ def test_boxes_are_worked_out_once(spark, sf_dir):
     boxes = spark.createDataFrame([(1, 6.0, 50.0, 7.0, 51.0)], "id int, xmin double, ymin double, xmax double, ymax double")
     plan = export.exported(boxes, ExportSpec("b", "b", target_srid=32632))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("SINH") + plan.count("sinh") < 60 and len(plan) < 40_000
+
+
+def test_bilinear_brings_no_target_cells_together(spark):
+    cells = spark.range(16).selectExpr("CAST(id % 4 AS DOUBLE) AS x", "CAST(id DIV 4 AS DOUBLE) AS y", "CASE WHEN id <> 5 THEN CAST(id AS DOUBLE) END AS value")
+    fine = raster.on_grid(cells, Grid(-0.5, -0.5, 1.0, 1.0, 4, 4), Grid(-1.0, -0.5, 0.5, 0.5, 10, 8), "bilinear")
+    assert "keys=[trow" not in fine._jdf.queryExecution().executedPlan().toString()
+    got = {(r.trow, r.tcol): r.value for r in fine.collect()}
+    # Between cells 0, 1, 4 and 5, of which 5 has no value; and a centre left of the source.
+    assert len(got) == 80 and abs(got[1, 2] - (0.5625 * 0 + 0.1875 * 1 + 0.1875 * 4) / 0.9375) < 1e-12 and got[0, 0] is None
