@@ -131,7 +131,7 @@ def test_boxes_are_worked_out_once(spark, sf_dir):
 
 def test_bilinear_brings_no_target_cells_together(spark):
     cells = spark.range(16).selectExpr("CAST(id % 4 AS DOUBLE) AS x", "CAST(id DIV 4 AS DOUBLE) AS y", "CASE WHEN id <> 5 THEN CAST(id AS DOUBLE) END AS value")
-    fine = raster.on_grid(cells, Grid(-0.5, -0.5, 1.0, 1.0, 4, 4), Grid(-1.0, -0.5, 0.5, 0.5, 10, 8), "bilinear")
+    fine = raster.on_grid(cells, raster.Grid(-0.5, -0.5, 1.0, 1.0, 4, 4), raster.Grid(-1.0, -0.5, 0.5, 0.5, 10, 8), "bilinear")
     assert "keys=[trow" not in fine._jdf.queryExecution().executedPlan().toString()
     got = {(r.trow, r.tcol): r.value for r in fine.collect()}
     # Between cells 0, 1, 4 and 5, of which 5 has no value; and a centre left of the source.
