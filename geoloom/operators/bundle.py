@@ -195,15 +195,38 @@ def absolute_flag(text: Column, absolute: bool = True) -> Column:
 # --- storing ------------------------------------------------------------------------------------------------------
 
 
+#: Bytes of contents that a task hands over at a time, but for a larger content.
+AT_ONCE = 4 << 20
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(name, content, size) of all files below a folder; columns that are not used are not read. Spark's reader passes
-    over empty files, so these come from a listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    folder = root.split(":", 1)[-1].rstrip("/")
-    full = files.select(names.relative_to(plain, "/" + folder.lstrip("/")).alias("name"), "content", F.col("length").alias("size"))
-    empty = folders.listing(spark, root).filter("size = 0").select("name", F.lit(b"").alias("content"), "size")
-    return full.unionByName(empty)
+    """(name, content, size) of all files below a folder, empty ones too. The listing is dealt to tasks, so that neither
+    the driver nor the plan follows the number of files; Spark's own reader lists on the driver and counts each file as
+    4 MB, which makes a task of every thirty small ones."""
+
+    def run(batches: Iterator) -> Iterator:
+        import posixpath
+
+        import pyarrow as pa
+
+        store, folder = folders.store_of(root)
+        for batch in batches:
+            held, size = [], 0
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(posixpath.join(folder, name)) as f:
+                    content = f.read()
+                held.append((name, content, len(content)))
+                size += len(content)
+                if size >= AT_ONCE:
+                    yield made(held, pa)
+                    held, size = [], 0
+            if held:
+                yield made(held, pa)
+
+    def made(rows: list, pa):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["name", "content", "size"])
+
+    return folders.dealt(spark, root).mapInArrow(run, "name string, content binary, size long")
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
@@ -306,10 +329,13 @@ def restore(bundle: DataFrame, folder: str) -> int:
         import pyarrow as pa
 
         store, root = folders.store_of(folder)
+        there = set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = posixpath.join(root, name)
-                store.create_dir(posixpath.dirname(path), recursive=True)
+                if posixpath.dirname(path) not in there:
+                    store.create_dir(posixpath.dirname(path), recursive=True)
+                    there.add(posixpath.dirname(path))
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as f:
                     f.write(content or b"")

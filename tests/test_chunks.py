@@ -6,7 +6,7 @@ import struct
 
 import pytest
 
-from geoloom.operators import chunks
+from geoloom.operators import bundle, chunks
 from geoloom.sources import archives, folders
 
 MAGIC = b"ARC0"
@@ -123,3 +123,13 @@ def test_a_flat_folder_is_no_partition_a_file(spark, tmp_path):
     assert {r["name"]: r["size"] for r in dealt.collect()} == names
     assert dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 0).count() > 3
     assert folders.listing(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    files = {f"sub/{i}.txt": b"x" * i for i in range(400)} | {"a.txt": b"\x00\xff"}
+    for name, body in files.items():
+        (tmp_path / "in" / name).write_bytes(body)
+    read = bundle.read_files(spark, f"file://{tmp_path}/in")
+    assert {r["name"]: (bytes(r["content"]), r["size"]) for r in read.collect()} == {n: (b, len(b)) for n, b in files.items()}
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * 4
