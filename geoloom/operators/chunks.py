@@ -16,6 +16,8 @@ from geoloom.sources import folders
 
 #: Bytes of a range.
 CHUNK = 64 << 20
+#: Bytes of small ranges that a task hands over at a time.
+AT_ONCE = 4 << 20
 
 
 def ranges(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -35,15 +37,30 @@ def _reading(folder: str, with_content: bool):
 
         import pyarrow as pa
 
+        columns = {"name": pa.string(), "number": pa.int64(), "start": pa.int64(), "size": pa.int64(), "hash": pa.string()} | ({"content": pa.binary()} if with_content else {})
+
+        def made(rows: list):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], names=list(columns))
+
         store, root = folders.store_of(folder)
         for batch in batches:
+            held, bytes_held, opened, f = [], 0, None, None
             for name, number, start, size in zip(*(batch.column(c).to_pylist() for c in ("name", "number", "start", "size")), strict=True):
-                with store.open_input_file(posixpath.join(root, name)) as f:
-                    content = f.read_at(size, start)
+                if name != opened:
+                    if f is not None:
+                        f.close()
+                    opened, f = name, store.open_input_file(posixpath.join(root, name))
+                content = f.read_at(size, start)
                 if len(content) != size:
                     raise OSError(f"{name} has changed while it was read")
-                row = {"name": name, "number": number, "start": start, "size": size, "hash": hashlib.sha256(content).hexdigest()} | ({"content": content} if with_content else {})
-                yield pa.RecordBatch.from_pylist([row])  # a range a batch
+                held.append((name, number, start, size, hashlib.sha256(content).hexdigest(), *([content] if with_content else [])))
+                bytes_held += size
+                if with_content and bytes_held >= AT_ONCE:  # a large range goes on alone
+                    yield made(held)
+                    held, bytes_held = [], 0
+            if f is not None:
+                f.close()
+            yield made(held)
 
     return run
 
@@ -85,7 +102,7 @@ def pack_files(spark: SparkSession, folder: str, path: str, chunk: int = CHUNK)
 
 def changed(spark: SparkSession, path: str, folder: str, chunk: int = CHUNK) -> DataFrame:
     """(name, problem): files of a snapshot that are missing below `folder` or differ there."""
-    now = described(hashed_ranges(ranges(folders.listing(spark, folder), chunk), folder)).select("name", F.col("size").alias("_size"), F.col("digest").alias("_digest"))
+    now = described(hashed_ranges(ranges(folders.dealt(spark, folder), chunk), folder)).select("name", F.col("size").alias("_size"), F.col("digest").alias("_digest"))
     problem = F.when(F.col("_digest").isNull(), "missing").when(F.col("_size") != F.col("size"), "size").when(F.col("_digest") != F.col("digest"), "content")
     return spark.read.parquet(f"{path}/files").join(now, "name", "left").select("name", problem.alias("problem")).filter("problem IS NOT NULL")
 
@@ -105,7 +122,7 @@ def restore_files(spark: SparkSession, path: str, folder: str) -> int:
         import pyarrow as pa
 
         store, root = folders.store_of(folder)
-        name, part, stream, count = None, "", None, 0
+        name, part, stream, count, there = None, "", None, 0, set()
 
         def close():
             stream.close()
@@ -118,7 +135,9 @@ def restore_files(spark: SparkSession, path: str, folder: str) -> int:
                         close()
                     name = this
                     whole = posixpath.join(root, name)
-                    store.create_dir(posixpath.dirname(whole), recursive=True)
+                    if posixpath.dirname(whole) not in there:
+                        store.create_dir(posixpath.dirname(whole), recursive=True)
+                        there.add(posixpath.dirname(whole))
                     part = f"{whole}.{uuid.uuid4().hex}.part"
                     stream, count = store.open_output_stream(part), count + 1
                 stream.write(content.as_buffer())

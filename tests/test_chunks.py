@@ -133,3 +133,16 @@ def test_small_files_are_read_by_few_tasks(spark, tmp_path):
     read = bundle.read_files(spark, f"file://{tmp_path}/in")
     assert {r["name"]: (bytes(r["content"]), r["size"]) for r in read.collect()} == {n: (b, len(b)) for n, b in files.items()}
     assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism * 4
+
+
+def test_small_ranges_go_on_together(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "a").write_bytes(b"abcdefghij")
+    (tmp_path / "b").write_bytes(b"")
+    rows = [("a", 0, 0, 4), ("a", 1, 4, 4), ("b", 0, 0, 0), ("a", 2, 8, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["name", "number", "start", "size"])
+    for with_content in (False, True):
+        made = list(chunks._reading(str(tmp_path), with_content)(iter([batch])))
+        assert len(made) == 1 and made[0].column("hash").to_pylist() == [hashlib.sha256(p).hexdigest() for p in (b"abcd", b"efgh", b"", b"ij")]
+    assert made[0].column("content").to_pylist() == [b"abcd", b"efgh", b"", b"ij"]
