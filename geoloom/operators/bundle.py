@@ -407,6 +407,19 @@ def write_manifest(fragments: DataFrame, path: str) -> None:
     fragments.repartitionByRange("section", "name").sortWithinPartitions("section", "name").select("fragment").write.text(path)
 
 
+def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(version, name, type, size, hash) of the entries and (uri, path) of the rewrites of a document that
+    `write_manifest` wrote, piece by piece: what follows a piece's key tells its section, and no row holds more."""
+    lines = spark.read.text(path)
+    version = F.from_json(F.concat("value", F.lit("}}")), "version int")["version"]
+    head = lines.filter(F.col("value").startswith('{"version":')).select(version.alias("version"))
+    member = F.regexp_replace("value", "^,", "")
+    pieces = lines.select(member.alias("value")).withColumn("_kind", F.regexp_extract("value", r'^"(?:[^"\\]++|\\.)*+":(.)', 1))
+    of = lambda kind, value: pieces.filter(F.col("_kind") == kind).select(F.explode(F.from_json(F.concat(F.lit("{"), "value", F.lit("}")), f"map<string,{value}>")))
+    entries = of("{", "struct<type:string,size:bigint,hash:string>").select(F.col("key").alias("name"), "value.*")
+    return entries.crossJoin(F.broadcast(head)), of('"', "string").select(F.col("key").alias("uri"), F.col("value").alias("path"))
+
+
 def read_manifest(df: DataFrame, content: str = "content") -> DataFrame:
     """`df` with `manifest`; null where the text is none."""
     return df.withColumn("manifest", F.from_json(F.decode(content, "UTF-8"), MANIFEST_SCHEMA, {"mode": "PERMISSIVE"}))

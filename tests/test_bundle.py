@@ -207,3 +207,15 @@ def test_ranks(spark):
 
 def test_views(spark, sf_dir):
     assert views.cells(spark, sf_dir).columns == ["row", "col", "x", "y", "value"]
+
+
+def test_a_written_manifest_is_read_in_pieces(spark, tmp_path):
+    odd = ["a", ',b":{', 'c\\":"d', "line\nend\r", "\u00e9\U0001f600", "{", ""]
+    described = spark.createDataFrame([(n, "resource", i, f"h{i}") for i, n in enumerate(odd)], "name string, type string, size long, hash string")
+    depends = spark.createDataFrame([(n, ["x", n]) for n in odd], "primary string, companions array<string>")
+    rewrites = spark.createDataFrame([(n, f"{{{n}") for n in odd], "uri string, path string")
+    path = f"file://{tmp_path}/manifest"
+    bundle.write_manifest(bundle.manifest_fragments(described, depends, rewrites, "2024", "1"), path)
+    entries, uris = bundle.read_written(spark, path)
+    assert {(r.version, r.name, r.type, r.size, r.hash) for r in entries.collect()} == {(4, n, "resource", i, f"h{i}") for i, n in enumerate(odd)}
+    assert {(r.uri, r.path) for r in uris.collect()} == {(n, f"{{{n}") for n in odd}
