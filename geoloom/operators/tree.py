@@ -2,7 +2,8 @@
 
 A round replaces each node's pointer by that of the node it points to, so after k rounds a node knows its 2**k nearest
 ancestors, and a tree of depth d takes log2(d) rounds, each written down. A round that finishes no node leaves only
-nodes on cycles or below them."""
+nodes on cycles or below them. All nodes go only as far as the next chosen ancestor, and one in STRIDE is chosen, so that
+long paths are written down and shuffled for these alone."""
 
 from __future__ import annotations
 
@@ -18,6 +19,40 @@ CYCLE, ORPHAN, UNDER_LAYER = "cycle", "missing parent", "parent is a layer"
 LONGEST = 63
 
 
+#: One node in so many keeps its whole path while the tree is gone through.
+STRIDE = 8
+
+
+def _joined(lower: DataFrame, upper: DataFrame, longest: int | None) -> DataFrame:
+    """`lower` with what the nodes that their pointers name in `upper` know."""
+    other = upper.select(
+        F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("anchor").alias("_anchor"), F.col("fault").alias("_fault"), F.col("root").alias("_root"),
+        F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("_above").alias("_before"),
+    )
+    path = F.when(F.col("_depth") > 0, F.concat("_path", F.lit("_"), "path")).otherwise(F.col("path"))
+    moved = lower.join(other, "jump").withColumns(
+        {
+            "jump": F.col("_jump"), "anchor": F.col("_anchor"), "fault": F.coalesce("fault", "_fault"), "root": F.col("_root"), "depth": F.col("depth") + F.col("_depth"),
+            "path": path if longest is None else F.substring(path, 1, longest), "_above": F.concat("_before", "_above"),
+        }
+    )
+    return moved.select(lower.columns)
+
+
+def _doubled(state: DataFrame, longest: int | None) -> DataFrame:
+    """`state` with each pointer followed to its end; nodes on or below a cycle have that fault."""
+    state, left = durable(state), None
+    while True:
+        open_ = state.filter("jump IS NOT NULL")
+        count = open_.count()
+        if count in (0, left):
+            break
+        left = count
+        state = durable(state.filter("jump IS NULL").unionByName(_joined(open_, state, longest)))
+    stuck = F.col("jump").isNotNull()
+    return state.withColumns({"fault": F.when(stuck, CYCLE).otherwise(F.col("fault")), "jump": F.when(~stuck, F.col("jump"))})
+
+
 def walked(nodes: DataFrame, longest: int | None = None, places: bool = False) -> DataFrame:
     """`nodes` (id, parent, name, layer), ids unique, with `root`, `depth`, `path` (the cleaned names of the groups above,
     root first; its first `longest` characters where that is given) and `fault`, null where a node has its place. With
@@ -40,25 +75,14 @@ def walked(nodes: DataFrame, longest: int | None = None, places: bool = False) -
         *nodes.columns, "jump", "fault", F.coalesce("jump", "id").alias("root"), F.when(known, 1).otherwise(0).alias("depth"), F.when(known, F.col("_up")).otherwise("").alias("path"),
         F.when(known, F.col("_above")).otherwise(none).alias("_above"), "_place",
     )
-    state, left = durable(state), None
-    while True:
-        open_ = state.filter("jump IS NOT NULL")
-        count = open_.count()
-        if count in (0, left):
-            break
-        left = count
-        other = state.select(
-            F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("fault").alias("_fault"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("_above").alias("_before")
-        )
-        path = F.when(F.col("_depth") > 0, F.concat("_path", F.lit("_"), "path")).otherwise(F.col("path"))
-        moved = open_.join(other, "jump").withColumns(
-            {
-                "jump": F.col("_jump"), "fault": F.coalesce("fault", "_fault"), "root": F.col("_root"), "depth": F.col("depth") + F.col("_depth"),
-                "path": path if longest is None else F.substring(path, 1, longest), "_above": F.concat("_before", "_above"),
-            }
-        )
-        state = durable(state.filter("jump IS NULL").unionByName(moved.select(state.columns)))
-    found = state.withColumn("fault", F.when(F.col("jump").isNotNull(), CYCLE).otherwise(F.col("fault")))
+    # Every STRIDE-th node or so, by hash: first all nodes up to the next of these, by short paths, then these alone.
+    chosen = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(STRIDE)) == 0
+    nothing = F.lit(None).cast(state.schema["jump"].dataType)
+    near = _doubled(state.withColumns({"anchor": F.when(chosen("jump"), F.col("jump")), "jump": F.when(~chosen("jump"), F.col("jump"))}), longest)
+    far = _doubled(near.filter(chosen("id")).withColumns({"jump": F.col("anchor"), "anchor": nothing}), longest)
+    rest = near.filter(~chosen("id"))
+    under = rest.filter("anchor IS NOT NULL").withColumn("jump", F.col("anchor"))
+    found = far.unionByName(rest.filter("anchor IS NULL")).unionByName(_joined(under, far, longest))
     at = [F.concat("_above", F.array("_place")).alias("at")] if places else []
     return found.select(*nodes.columns, "root", "depth", "path", "fault", *at)
 

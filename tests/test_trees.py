@@ -73,3 +73,20 @@ def test_nested_documents(spark):
     got = {r.root: json.loads(r.value) for r in tree.tree_documents(df).collect()}
     assert got == nested(nodes) and len(got) == 7
     assert tree.tree_documents(df.limit(0)).count() == 0 and tree.with_paths(df.limit(0)).count() == 0
+
+
+def test_long_paths_are_written_down_for_few_nodes(spark, monkeypatch):
+    written, durable = [], tree.durable
+
+    def kept(df):
+        out = durable(df)
+        if "path" in out.columns:
+            written.append(out.selectExpr("coalesce(sum(length(path)), 0)").first()[0])
+        return out
+
+    monkeypatch.setattr(tree, "durable", kept)
+    n = 240
+    nodes = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS parent", "concat('n', id) AS name", "false AS layer")
+    got = {r.id: (r.depth, r.path) for r in tree.with_paths(nodes).collect()}
+    assert got == {i: (i, "_".join(f"n{j}" for j in range(i))) for i in range(n)}
+    assert sum(written) < 2 * sum(len(p) for _, p in got.values())
