@@ -4,15 +4,16 @@
    windows have equal anchors at equal offsets, whichever texts they stand in. An anchor's windows are one run of
    starts; the bytes they cover are its context.
 2. Anchors meet by gram. Of equal contexts (by 128 bits of hash) the first occurrence stays in play and the others are
-   settled: all their bytes go. (Within an Arrow batch this happens before the shuffle, so a common passage sends few
-   rows.) Grams with one context are dropped. What is left is the contexts that share a gram but differ. A gram at the
-   edge of a very common passage has as many contexts as texts: such grams are looked for in a sample of the texts, and
-   their anchors are dealt by gram and context, so that no task gets them all. The sample decides nothing else.
+   settled: all their bytes go. (Within SENT_BYTES of texts this happens before the shuffle, so a common passage sends
+   few rows.) Grams with one context are dropped. What is left is the contexts that share a gram but differ. A gram at
+   the edge of a very common passage has as many contexts as texts: such grams are looked for in a sample of the texts,
+   and their anchors are dealt by gram and context, so that no task gets them all. The sample decides nothing else.
 3. Those contexts are read again from their texts and dealt into buckets by gram. In a bucket, a suffix array, its
    Burrows-Wheeler transform and a breadth-first backward extension of intervals give the common prefixes of
    neighbouring suffixes by increasing value, up to LENGTH - 1. Boundaries still unset lie inside groups of equal
    windows; all but the first of a group are removed. A gram with over HOT contexts (the edge of a passage that
-   very many texts share) is decided by aggregating the digests of its windows instead, so no bucket grows unbounded.
+   very many texts share) is decided by aggregating the digests of its windows instead, and a bucket is taken some
+   grams at a time, so no suffix array grows unbounded.
 4. The removed spans go back to the texts by their keys (id and text digest, see `doc_key`).
 
 Order is by id, then position. Defined results: a null text is empty; a null id comes before all; rows that repeat an
@@ -35,9 +36,11 @@ SLICE_BYTES = 512 << 10
 #: Texts are taken in pieces of this size (with overlap), so memory does not follow the longest text.
 PIECE_BYTES = 4 << 20
 BUCKET_BYTES = 512 << 10
-#: Contexts of one gram that one bucket takes: at 355 bytes at most, a bucket stays within about 2 MB, and its suffix
-#: array within about 100 MB.
+#: Contexts of one gram that one bucket takes: 355 bytes each at most. A bucket may get several such grams, so a suffix
+#: array takes as many grams as fit BUCKET_BYTES, one at least: about 1.5 MB at most, at some 54 times that in memory.
 HOT = 4096
+#: Bytes of texts whose anchors are ordered and sent together, whatever an Arrow batch holds.
+SENT_BYTES = 8 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 #: Share of the texts in which common grams are looked for, contexts there that make one common, and grams kept at most.
@@ -171,44 +174,43 @@ def found_anchors(docs: DataFrame, length: int, common: list[int]) -> DataFrame:
         step = PIECE_BYTES - length + 1
         hot = np.array(sorted(common), np.int64)
         for batch in batches:
-            out, base = [], 0
-            for part in arrow_slices(batch, "text", SLICE_BYTES):
-                texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                cut = [(row, o, t[o : o + PIECE_BYTES]) for row, t in enumerate(texts) for o in range(0, max(1, len(t) - length + 1), step)]
-                data, starts, stops = padded([piece for _, _, piece in cut])
-                at, first, last, gram, context, check = anchors(data, starts, stops, length)
-                which = np.searchsorted(starts, first, side="right") - 1
-                row = np.array([c[0] for c in cut], np.int64)[which]
-                shift = np.array([c[1] for c in cut], np.int64)[which] - starts[which]
-                place = ((at + shift) << 16) | ((at - first) << 8) | (last - first)
-                out.append((gram, context, check, base + row, place))
-                base += len(texts)
-            if not out:
-                continue
-            gram, context, check, rows, place = (np.concatenate(c) for c in zip(*out, strict=True))
-            parts = key_parts(batch.column(0))[:, rows]
-            # Only grams that occur more than once here need an order among their rows.
-            by_gram = np.argsort(gram, kind="stable")
-            equal = gram[by_gram][1:] == gram[by_gram][:-1]
-            several = np.zeros(len(gram), bool)
-            several[1:] |= equal
-            several[:-1] |= equal
-            rest = by_gram[several]
-            rest = rest[np.lexsort((place[rest], *parts[::-1, rest], check[rest], context[rest], gram[rest]))]
-            order = np.concatenate((by_gram[~several], rest))
-            gram, context, check, place, parts = gram[order], context[order], check[order], place[order], parts[:, order]
-            again, same = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
-            again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])
-            same[1:] = again[1:] & (parts[:, 1:] == parts[:, :-1]).all(0) & (place[1:] == place[:-1])
-            # Settled rows need no partner: they spread over the shuffle. Rows of common grams meet by context.
-            shared = hot[np.searchsorted(hot[:-1], gram)] == gram if len(hot) else np.zeros(len(gram), bool)
-            gram = np.where(again, parts[1] + place * _ODD_SIGNED, np.where(shared, (gram ^ context) * _ODD_SIGNED, gram))
-            place = np.where(shared, place | OF_COMMON, place)
-            keep = ~same
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[keep]), pa.array(context[keep], mask=again[keep]), *(pa.array(c[keep]) for c in (check, *parts, place))],
-                names=["gram", "context", "check", *DOC, "place"],
-            )
+            for sent in arrow_slices(batch, "text", SENT_BYTES):
+                out, base = [], 0
+                for part in arrow_slices(sent, "text", SLICE_BYTES):
+                    texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+                    cut = [(row, o, t[o : o + PIECE_BYTES]) for row, t in enumerate(texts) for o in range(0, max(1, len(t) - length + 1), step)]
+                    data, starts, stops = padded([piece for _, _, piece in cut])
+                    at, first, last, gram, context, check = anchors(data, starts, stops, length)
+                    which = np.searchsorted(starts, first, side="right") - 1
+                    row = np.array([c[0] for c in cut], np.int64)[which]
+                    shift = np.array([c[1] for c in cut], np.int64)[which] - starts[which]
+                    place = ((at + shift) << 16) | ((at - first) << 8) | (last - first)
+                    out.append((gram, context, check, base + row, place))
+                    base += len(texts)
+                gram, context, check, rows, place = (np.concatenate(c) for c in zip(*out, strict=True))
+                parts = key_parts(sent.column(0))[:, rows]
+                # Only grams that occur more than once here need an order among their rows.
+                by_gram = np.argsort(gram, kind="stable")
+                equal = gram[by_gram][1:] == gram[by_gram][:-1]
+                several = np.zeros(len(gram), bool)
+                several[1:] |= equal
+                several[:-1] |= equal
+                rest = by_gram[several]
+                rest = rest[np.lexsort((place[rest], *parts[::-1, rest], check[rest], context[rest], gram[rest]))]
+                order = np.concatenate((by_gram[~several], rest))
+                gram, context, check, place, parts = gram[order], context[order], check[order], place[order], parts[:, order]
+                again, same = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
+                again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])
+                same[1:] = again[1:] & (parts[:, 1:] == parts[:, :-1]).all(0) & (place[1:] == place[:-1])
+                # Settled rows need no partner: they spread over the shuffle. Rows of common grams meet by context.
+                shared = hot[np.searchsorted(hot[:-1], gram)] == gram if len(hot) else np.zeros(len(gram), bool)
+                gram = np.where(again, parts[1] + place * _ODD_SIGNED, np.where(shared, (gram ^ context) * _ODD_SIGNED, gram))
+                place = np.where(shared, place | OF_COMMON, place)
+                keep = ~same
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[keep]), pa.array(context[keep], mask=again[keep]), *(pa.array(c[keep]) for c in (check, *parts, place))],
+                    names=["gram", "context", "check", *DOC, "place"],
+                )
 
     return docs.mapInArrow(run, f"gram long, context long, check long, {DOC_FIELDS}, place long")
 
@@ -374,18 +376,30 @@ def repeated_windows(bodies: list[bytes], length: int):
 
 
 def bucket_spans(length: int):
-    """For applyInArrow: a bucket's contexts to spans (id, mark, start, stop)."""
+    """For applyInArrow: a bucket's contexts to spans (id, mark, start, stop). Equal windows have one gram, so a suffix
+    array is made of whole grams, as many as fit BUCKET_BYTES."""
+    most = BUCKET_BYTES
 
     def run(bucket):
         import numpy as np
         import pyarrow as pa
 
         parts = [bucket.column(c).to_numpy() for c in DOC]
-        first, _ = unpacked(bucket.column("place").to_numpy())
-        order = np.lexsort((first, *parts[::-1]))
-        parts, first = [c[order] for c in parts], first[order]
-        which, start = repeated_windows(bucket.column("context").take(pa.array(order)).to_pylist(), length)
-        at = np.sort(which * (1 << 20) + start)
+        place, gram = bucket.column("place").to_numpy(), bucket.column("gram").to_numpy()
+        first, last = unpacked(place)
+        order = np.lexsort((first, *parts[::-1], gram))
+        parts, first, last, gram = [c[order] for c in parts], first[order], last[order], gram[order]
+        # Numbers of contexts and bytes up to the end of each gram.
+        grams = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+        sums = np.cumsum(last - first + length)[grams - 1]
+        found, row, done = [np.empty(0, np.int64)], 0, 0
+        while row < len(gram):
+            end = max(int(np.searchsorted(sums, done + most, side="right")) - 1, int(np.searchsorted(grams, row, side="right")))
+            stop = int(grams[end])
+            which, start = repeated_windows(bucket.column("context").take(pa.array(order[row:stop])).to_pylist(), length)
+            found.append((row + which) * (1 << 20) + start)
+            row, done = stop, int(sums[end])
+        at = np.sort(np.concatenate(found))
         fresh = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         ends = np.concatenate((fresh[1:], [len(at)])) - 1 if len(at) else fresh
         run_first, run_last, owner = at[fresh] & 0xFFFFF, at[ends] & 0xFFFFF, at[fresh] >> 20
@@ -445,7 +459,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(1, -(-size // BUCKET_BYTES))
     compared = (
         bodies.join(hot, "gram", "left_anti")
-        .select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), *DOC, "place", "context")
+        .select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "gram", *DOC, "place", "context")
         .groupBy("bucket")
         .applyInArrow(bucket_spans(length), SPANS)
     )

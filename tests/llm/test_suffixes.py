@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoloom.llm import suffixes
@@ -100,3 +101,45 @@ def test_texts_of_one_id_are_kept_apart(docs_of, prose):
     want = brute([(k, t) for k, (_, t) in enumerate(sorted(rows, key=lambda r: key(r[1])))])
     got = suffixes.cut(docs_of(rows).repartition(5)).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want) and any(w[1] for w in want)
+
+
+def test_a_bucket_is_taken_some_grams_at_a_time(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []  # (gram, id, mark, place, context): 40 grams of 60 contexts each, of one bucket
+    for gram in range(40):
+        edge = bytes(rng.integers(97, 123, 100, np.uint8))
+        tails = [bytes([48 + i]) + bytes(rng.integers(97, 123, 39, np.uint8)) for i in range(30)]
+        rows += [(gram, i, 0, (1000 * gram + 40 << 16) | (40 << 8) | 40, edge + tails[i % 30]) for i in range(60)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("context", pa.binary())])
+    bucket = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+    sizes, compare = [], suffixes.repeated_windows
+    monkeypatch.setattr(suffixes, "repeated_windows", lambda bodies, length: sizes.append(sum(map(len, bodies))) or compare(bodies, length))
+    one = 60 * 140  # bytes of a gram's contexts
+    results = []
+    for most, arrays in ((1, 40), (3 * one, 14), (3 * one + 5, 14), (1 << 30, 1)):
+        monkeypatch.setattr(suffixes, "BUCKET_BYTES", most)
+        sizes.clear()
+        results.append(sorted(suffixes.bucket_spans(100)(bucket).to_pylist(), key=lambda r: tuple(r.values())))
+        assert len(sizes) == arrays and max(sizes) <= max(most, one) and sum(sizes) == 40 * one
+    # The first text keeps all windows; the next 29 lose the one of the common edge, the rest all of them.
+    want = [{"id": i, "mark": 0, "start": 1000 * g, "stop": 1000 * g + (140 if i >= 30 else 100)} for i in range(1, 60) for g in range(40)]
+    assert all(r == want for r in results)
+
+
+def test_anchors_are_sent_by_bytes_of_texts(prose, monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [prose(800 + i % 15, 60) for i in range(40)]
+    keys = [(i ^ 1 << 63).to_bytes(8, "big") + (1 << 63 | i).to_bytes(8, "big") for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts)], names=["doc", "text"])
+    longest = max(map(len, texts))
+    found = []
+    for most in (1 << 30, 4 * longest):
+        monkeypatch.setattr(suffixes, "SENT_BYTES", most, raising=False)
+        sent = list(suffixes.found_anchors(Docs(), 100, [])(iter([batch])))
+        assert all(sum(len(texts[i]) for i in set(part.column("id").to_pylist())) <= most for part in sent)
+        found.append(sorted((r["id"], r["mark"], r["place"], r["check"]) for part in sent for r in part.to_pylist()))
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 40
